@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality, sharding
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_quality": op9_quality}
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op3_shards(documents(spark, sf_dir))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op7_mix(documents(spark, sf_dir))
+
+
+QUERIES = {"op3_shards": op3_shards, "op7_mix": op7_mix, "op9_quality": op9_quality}
 
 ORACLES: dict[str, str] = {}
