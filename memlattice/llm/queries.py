@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, simhash
 from .common import documents
 
 
@@ -16,10 +16,14 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op3_shards(documents(spark, sf_dir))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op6_neardup(documents(spark, sf_dir))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_shards": op3_shards, "op7_mix": op7_mix, "op9_quality": op9_quality}
+QUERIES = {"op3_shards": op3_shards, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op9_quality": op9_quality}
 
 ORACLES: dict[str, str] = {}
