@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, simhash
+from . import langid, mixing, quality, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2_toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.op5_tokens(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8_langid(spark, documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(documents(spark, sf_dir))
 
@@ -24,6 +43,6 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_shards": op3_shards, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op9_quality": op9_quality}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality}
 
 ORACLES: dict[str, str] = {}
