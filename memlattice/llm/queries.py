@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding, simhash, tokencount, toxicity
+from . import langid, mixing, pieces, quality, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op10_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 ORACLES: dict[str, str] = {}
