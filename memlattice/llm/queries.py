@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, quality, sharding, simhash, tokencount, toxicity
+from . import langid, lm, mixing, pieces, quality, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4_lm(spark, documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op5_tokens(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -47,6 +51,6 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op10_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 ORACLES: dict[str, str] = {}
