@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, mixing, pieces, quality, sharding, simhash, tokencount, toxicity
+from . import langid, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.op1_search(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2_toxicity(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,6 +55,6 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op10_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
 ORACLES: dict[str, str] = {}
