@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, slices
 
 #: Bound of the training sample.
 MAX_DOCS, MAX_BYTES = 1000, 65536
@@ -205,7 +205,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_i
     local: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             p = scores(b.column(at).to_pylist(), shared.value, local)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, "score"])
 
