@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, slices
 
 #: Bound of the training sample.
 MAX_DOCS, MAX_WINDOWS, MAX_BYTES = 800, 6, 65536
@@ -167,7 +167,7 @@ def identified(spark: SparkSession, docs: DataFrame, model: Model, key: str = "d
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             langs, sure = predictions(b.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[key, "lang_pred", "score"])
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import slices
+
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of a slice of texts, entries of a worker's cache, and the longest unit relaxed in rounds.
@@ -230,8 +232,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -
         if not local:
             local.append(Encoder(path))
         for b in batches:
-            for from_ in range(0, b.num_rows, 2000):  # bounded, whatever the batch
-                part = b.slice(from_, 2000)
+            for part in slices(b, at, SLICE):
                 ids = local[0].encode(part.column(at).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)

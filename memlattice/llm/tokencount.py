@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LIMIT = 2048
 #: Documents and bytes of the sample that the table comes from, and its entries.
 SAMPLE_DOCS, SAMPLE_BYTES, TABLE = 600, 32768, 50_000
@@ -102,7 +104,7 @@ def counted(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id"
             joined, lengths = table.value
             local.append(Counts(path, dict(zip(joined.decode().split("\n"), lengths)) if lengths else {}))
         of = local[0].of
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             n = np.fromiter((of(x) for x in b.column(1).to_pylist()), dtype=np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n)], names=[key, "n_bytes", "n_tokens"])
 
