@@ -111,7 +111,9 @@ def judged(df: DataFrame, host: str = "source", text: str = "text", min_texts: i
 
 def clean(df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The documents kept, without their boilerplate lines, with the columns of df; n_chars follows the text."""
-    out = judged(df, host, text, **limits).filter("kept").withColumn(text, F.col("clean_text"))
+    # the numbering keeps the optimizer from pushing the filter below the figures, which would have them computed anew for it
+    out = judged(df, host, text, **limits).withColumn("_stop", F.monotonically_increasing_id())
+    out = out.filter(F.col("kept") & (F.col("_stop") >= 0)).withColumn(text, F.col("clean_text"))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Most fingerprints that the driver sees to grow the top of the tree, and the sampled ones in a leaf.
@@ -228,18 +228,110 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     made = saved(fingerprints(df, key, text, shingle), "fps")
     nodes = saved(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     roots = components(edges(nodes.select("fp"), r))
+    return _named(made, nodes, roots).select(key, "fp", "component_id")
+
+
+# -- near copies beyond the radius --------------------------------------------------------------------------------
+
+#: Words of a shingle and least Jaccard similarity of near copies; sketches of a document and shingles in each.
+WORDS, SIMILAR, SKETCHES, MEMBERS = 5, 0.8, 12, 3
+_TURN = np.random.default_rng(23).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the n-word shingles of text."""
+    w = (text or "").encode().lower().split()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(w[i : i + n])) for i in range(max(1, len(w) - n + 1))] if w else [], dtype=np.uint64))
+
+
+def sketches(text: str | None) -> np.ndarray:
+    """SimHash fingerprints, each of the MEMBERS shingles that come first in an order of its own.
+
+    Two texts of similarity s agree in one of them with a chance of about s ** MEMBERS, however long they are.
+    """
+    own = shingles(text)
+    if not len(own):
+        return np.zeros(0, dtype=np.int64)
+    turned = own[None, :] * _TURN[:, None]
+    turned ^= turned >> np.uint64(32)
+    turned *= np.uint64(0x9E3779B97F4A7C15)
+    m = min(MEMBERS, len(own))
+    first = np.take_along_axis(turned, np.argpartition(turned, m - 1, axis=1)[:, :m], axis=1)
+    bits = np.unpackbits(first.view(np.uint8).reshape(SKETCHES, m, 8), axis=2, bitorder="little").sum(axis=1) * 2 > m
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, fp, sk): the fingerprint and the sketches of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                texts = b.column(1).to_pylist()
+                fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([sketches(t) for t in texts], pa.list_(pa.int64()))], names=[key, "fp", "sk"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint, sk array<bigint>")
+
+
+def _verified(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs: (a, b, ta, tb). (a, b) of those whose texts' shingles have a Jaccard similarity of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2):
+                keep = []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    one, two = shingles(x), shingles(y)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    keep.append(both >= least * (len(one) + len(two) - both) and both > 0)
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_links(df: DataFrame, made: DataFrame, nodes: DataFrame, key: str, text: str, least: float = SIMILAR) -> DataFrame:
+    """(a, b): fingerprints whose texts share a sketch and are verified; made: (key, fp, sk), nodes: (fp, least).
+
+    Every text is held against the two outermost members of each of its sketch groups, so a group of n gives 2n
+    pairs at most; links between the others follow through the groups of the other sketches.
+    """
+    chosen = made.join(nodes, "fp").filter(F.col(key) == F.col("least"))
+    by_sketch = chosen.select("fp", F.posexplode("sk").alias("_t", "_s")).distinct()
+    ends = by_sketch.groupBy("_t", "_s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
+    met = by_sketch.join(ends, ["_t", "_s"])
+    pairs = met.select(F.col("lo").alias("a"), F.col("fp").alias("b")).unionByName(met.select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    pairs = saved(pairs.filter("a < b").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes, "fp")
+    texts = saved(df.select(F.col(key).alias("least"), F.col(text).alias("t")).join(asked, "least").select("fp", "t"), "texts")
+    with_a = pairs.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a")
+    return _verified(with_a.join(texts.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b"), least).distinct()
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", r: int = RADIUS, least: float = SIMILAR) -> DataFrame:
+    """(key, component_id): groups under links of up to r bits or of a shingle similarity of at least `least`."""
+    made = saved(sketched(df, key, text), "sketched")
+    nodes = saved(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    links = edges(nodes.select("fp"), r).unionByName(near_links(df, made, nodes, key, text, least))
+    return _named(made.select(key, "fp"), nodes, components(links))
+
+
+def _named(made: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     label = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = saved(label, "labels")
     lowest = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = label.join(lowest, "root").select("fp", "component_id")
-    return made.join(named, "fp").select(key, "fp", "component_id")
+    return made.join(label.join(lowest, "root").select("fp", "component_id"), "fp")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows whose component holds a smaller key; of repeated rows with that key, one stays."""
-    keep = deduplicated(df, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct()
-    kept = df.join(keep, df[key].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([key])
+    """df without the rows whose group holds a smaller key; of repeated rows with that key, one stays; null keys stay."""
+    named = saved(near_duplicates(df, key, text), "groups")
+    keep = named.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_n"))
+    marked = df.join(keep, key).select(*[F.col(f"`{c}`") for c in df.columns], "_n")
+    single = marked.filter("_n = 1").drop("_n")
+    repeated = marked.filter("_n > 1").drop("_n").dropDuplicates([key])
+    return single.unionByName(repeated).unionByName(df.filter(F.col(key).isNull()))
 
 
 def op6_neardup(docs: DataFrame) -> DataFrame:
