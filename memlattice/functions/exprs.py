@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the rules: placeholder names, fallback names, labels.
 PLACEHOLDER = r"(?i)^(unknown|undefined|用户[0-9]+|[0-9]+|未知(用户)?[0-9]*)$"
@@ -281,21 +282,21 @@ def render(template: str, **values: object) -> str:
     return re.sub(r"\{\{|\}\}|\{(\w+)\}", lambda m: {"{{": "{", "}}": "}"}.get(m[0]) or str(values.get(m[1], m[0])), template)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized_alias(s: pd.Series) -> pd.Series:
     return s.map(normalize_alias)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cleaned_alias(s: pd.Series) -> pd.Series:
     return s.map(clean_alias)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def variants(s: pd.Series) -> pd.Series:
     return s.map(name_variants)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if (v := loose_json(t)) is None else json.dumps(v, ensure_ascii=False))
