@@ -186,7 +186,7 @@ def relative_part(days: Column) -> Column:
 
 
 def relative_precise(ts: Column, now: Column) -> Column:
-    s = (F.unix_micros(now) - F.unix_micros(ts))
+    s = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
     sec = F.floor(s / 1_000_000).cast("long")
 
     def text(*parts) -> Column:
@@ -221,7 +221,7 @@ def edge_qualifier(ts: Column, tz: str = "UTC") -> Column:
 
 
 def decay_factor(ts: Column, now: Column, half_life_days: float) -> Column:
-    age = (F.unix_micros(now) - F.unix_micros(ts)) / F.lit(86_400_000_000)
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(86_400_000_000)
     return F.when(ts.isNull(), 1.0).otherwise(F.pow(F.lit(2.0), -F.greatest(age, F.lit(0.0)) / F.lit(half_life_days)))
 
 

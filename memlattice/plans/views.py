@@ -107,8 +107,7 @@ def oracle(sql: str) -> str:
     want(sql)
     heads = [f"{v} AS ({_fill(VIEWS[v], DUCK | {b: b for b in BASE} | {x: x for x in VIEWS})})" for v in used]
     body = sql.replace("{now}", NOW).strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join([*heads, body[5:]])}"
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {', '.join([*heads, body[15:]])}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body[: len(start)].upper() == start:
+            return start + ", ".join([*heads, body[len(start) :]])
     return f"WITH {', '.join(heads)} {body}" if heads else body
