@@ -85,8 +85,8 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 src, meta = d.get("source") or {}, d.get("meta") or {}
                 rows.append({"id": d.get("id"), "type": d.get("type"), "text": d.get("text"), "importance": d.get("importance"), "session": src.get("session"), "time": None if src.get("time") is None else str(src["time"]), "meta_ts": meta.get("timestamp")})
-            out = pd.DataFrame(rows, columns=[f.name for f in FACT_FILE], index=pdf.index)
-            yield pd.concat([pdf[["path", "modificationTime"]], out], axis=1)
+            out = {"path": pd.Series(list(pdf["path"]), dtype=object), "modificationTime": pdf["modificationTime"].reset_index(drop=True)}
+            yield pd.DataFrame(out | {f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in FACT_FILE})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.toml").load(path).select("path", "modificationTime", "content")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), *FACT_FILE.fields])
