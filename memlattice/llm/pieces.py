@@ -58,7 +58,10 @@ class Vocabulary:
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
+        ones = sorted((ord(texts[i]), i) for i in plain if len(texts[i]) == 1)
+        self.one_codes, self.one_ids = np.array([c for c, _ in ones], dtype=np.uint32), np.array([i for _, i in ones], dtype=np.int64)
         multi = sorted((i for i in plain if len(texts[i]) > 1), key=lambda i: (-sp.get_score(i), i))
+        self.multi = np.array(multi)
         self.length = np.array([len(texts[i]) for i in multi])
         self.longest = int(self.length.max(initial=1))
         self.codes = np.zeros((len(multi), self.longest), dtype=np.uint32)
@@ -74,10 +77,17 @@ class Vocabulary:
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of codes in the order of their first `depth` codes (at least)."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    span = 1
+    kinds, dense = np.unique(codes, return_inverse=True)
+    # as many codes as fit one number are sorted at once; the end sorts last, as GAP does
+    base = len(kinds) + 1
+    span = max(1, min(depth, int(62 / np.log2(base))))
+    padded = np.concatenate([dense.astype(np.int64), np.full(span, base - 1)])
+    key = np.zeros(len(codes), dtype=np.int64)
+    for j in range(span):
+        key = key * base + padded[j : j + len(codes)]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     while span < depth:
-        after = np.zeros(len(rank), dtype=np.int64)
+        after = np.full(len(rank), len(rank) + 1, dtype=np.int64)
         after[:-span] = rank[span:] + 1
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
         span *= 2
@@ -175,17 +185,23 @@ def match(units: list[str], v: Vocabulary) -> list[bytes]:
     for u, s, e, k in zip(unit[~short].tolist(), place[~short].tolist(), ends[~short].tolist(), piece[~short].tolist()):
         b = int(begin[u])
         long[u][s - b, e - b] = k
+    # the id of the symbol that begins at each position, -1 where only bytes do
+    at = np.minimum(np.searchsorted(v.one_codes, codes), len(v.one_codes) - 1)
+    symbol = np.where(v.one_codes[at] == codes, v.one_ids[at], -1)
+    seen = np.concatenate(([0], np.cumsum(mark)))
+    done = short & mark[place] & mark[ends] & (seen[ends] - seen[place] == 1)
+    symbol[place[done]] = v.multi[piece[done]]
     bounds = np.flatnonzero(mark)
-    first = np.searchsorted(bounds, begin)
-    last = np.searchsorted(bounds, begin + lengths)
-    bounds = bounds.tolist()
-    out = []
-    for u, (t, b, i, j) in enumerate(zip(units, begin.tolist(), first.tolist(), last.tolist())):
-        cuts = _heap(len(t), long[u]) if u in long else [x - b for x in bounds[i : j + 1]]
-        ids: list[int] = []
-        for x, y in zip(cuts, cuts[1:]):
-            ids += v.symbol(t[x:y])
-        out.append(np.array(ids, dtype="<u2").tobytes())
+    first, last = np.searchsorted(bounds, begin), np.searchsorted(bounds, begin + lengths)
+    ids = symbol[bounds[bounds < len(codes)]]
+    plain = ids.astype("<u2").tobytes()
+    odd = np.concatenate(([0], np.cumsum(ids < 0)))
+    slow = (odd[np.minimum(last, len(ids))] > odd[first]) | (lengths > SHORT)
+    out = [plain[2 * i : 2 * j] for i, j in zip(first.tolist(), last.tolist())]
+    for u in np.flatnonzero(slow).tolist():
+        t, b = units[u], int(begin[u])
+        cuts = _heap(len(t), long[u]) if u in long else (bounds[first[u] : last[u] + 1] - b).tolist()
+        out[u] = np.array([x for p, q in zip(cuts, cuts[1:]) for x in v.symbol(t[p:q])], dtype="<u2").tobytes()
     return out
 
 
