@@ -189,7 +189,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     n = known.groupBy("_y").count().collect()
     share = {int(r["_y"]): min(1.0, 1.1 * MAX_DOCS / r["count"]) for r in n}
     keep = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.when(F.col("_y") > 0, int(share.get(1, 1) * (1 << 20))).otherwise(int(share.get(0, 1) * (1 << 20)))
-    got = rows.join(known.filter(keep), key).select(key, "_text", "_y").limit(int(2.5 * MAX_DOCS)).collect()
+    chosen = F.broadcast(known.filter(keep).limit(3 * MAX_DOCS))  # a bounded number of ids, so that no text is shuffled
+    got = rows.join(chosen, key).select(key, "_text", "_y").collect()
     got = sorted(got, key=lambda r: (r[0], r[1]))
     taken: list = []
     for y in (0, 1):
