@@ -194,20 +194,11 @@ def test_import(spark, tmp_path):
     assert len(f) == 1 and (f[0]["statement"], f[0]["confidence"], f[0]["session_id"]) == ("likes tea", "high", "5")
 
 
-def test_retain_step_and_stream(spark, tmp_path):
+def test_retain_step():
     rows = pd.DataFrame({"msg_key": ["1", "2", "1"], "line": ["a", "b", "a2"], "uid": ["u", "bot", "u"], "is_bot": [False, True, False], "ts": pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:02"])})
     s, due = retain.step(None, rows, 1)
     assert due and s["lines"] == ["b", "a2"] and s["rounds"] == 1
     assert not retain.step(None, rows[rows.uid == "bot"], 1)[1]
-    spark.createDataFrame([("qq:dm:1", "1", "hi", "u", False, T0), ("qq:dm:1", "2", "yo", "bot", True, T0 + dt.timedelta(seconds=5)), ("qq:gm:2", "3", "hm", "v", False, T0)], "session_key string, msg_key string, line string, uid string, is_bot boolean, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("session_key string, msg_key string, line string, uid string, is_bot boolean, ts timestamp").parquet(f"{tmp_path}/in")
-    q = retain.retained(stream).writeStream.format("memory").queryName("flushed").option("checkpointLocation", f"{tmp_path}/c").start()
-    try:
-        q.processAllAvailable()
-        got = spark.table("flushed").collect()
-    finally:
-        q.stop()
-    assert [(r["session_key"], r["n_lines"], r["reason"]) for r in got] == [("qq:dm:1", 2, "rounds")]
 
 
 def test_decay_needs_activity(spark):
