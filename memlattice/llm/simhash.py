@@ -235,6 +235,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 #: Words of a shingle and least Jaccard similarity of near copies; sketches of a document and shingles in each.
 WORDS, SIMILAR, SKETCHES, MEMBERS = 5, 0.8, 12, 3
+#: Texts and words of a block of a sketch group, and shingles counted at once.
+MEET, WEIGHT, COLUMNS = 192, 1 << 20, 4096
 _TURN = np.random.default_rng(23).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -263,16 +265,16 @@ def sketches(text: str | None) -> np.ndarray:
 
 
 def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, sk): the fingerprint and the sketches of each row."""
+    """(key, fp, sk, size): the fingerprint, the sketches and the number of words of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 1):
                 texts = b.column(1).to_pylist()
                 fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([sketches(t) for t in texts], pa.list_(pa.int64()))], names=[key, "fp", "sk"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([sketches(t) for t in texts], pa.list_(pa.int64())), pa.array([len((t or "").split()) for t in texts], pa.int64())], names=[key, "fp", "sk", "size"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint, sk array<bigint>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint, sk array<bigint>, size bigint")
 
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -291,29 +293,93 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(df: DataFrame, made: DataFrame, nodes: DataFrame, key: str, text: str, least: float = SIMILAR) -> DataFrame:
-    """(a, b): fingerprints whose texts share a sketch and are verified; made: (key, fp, sk), nodes: (fp, least).
-
-    Every text is held against the two outermost members of each of its sketch groups, so a group of n gives 2n
-    pairs at most; links between the others follow through the groups of the other sketches.
+def _joined(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """A forest of the links among the texts of one group; pdf: (fp, comp, t). Pairs of one component are skipped."""
+    own = [shingles(t) for t in pdf["t"]]
+    size = np.array([len(x) for x in own])
+    tokens, place = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(len(own)), size)
+    often = np.bincount(place, minlength=len(tokens)) > 1  # the others are in no intersection
+    place, row = (np.cumsum(often) - 1)[place[often[place]]], row[often[place]]
+    by = np.argsort(place, kind="stable")
+    place, row = place[by], row[by]
+    both = np.zeros((len(own), len(own)))
+    for at in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, [at, at + COLUMNS])
+        part = np.zeros((len(own), COLUMNS), dtype=np.float32)
+        part[row[lo:hi], place[lo:hi] - at] = 1
+        both += part @ part.T
+    comp = pdf["comp"].to_numpy()
+    x, y = np.nonzero(np.triu((both > 0) & (both >= least * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]), 1))
+    places = np.unique(comp, return_inverse=True)[1]
+    sets, keep = _Forest(len(places)), []
+    for i, j in zip(x.tolist(), y.tolist()):
+        one, two = sets.find(places[i]), sets.find(places[j])
+        if one != two:
+            sets.up[max(one, two)] = min(one, two)
+            keep.append((i, j))
+    fp = pdf["fp"].to_numpy()
+    return pd.DataFrame({"a": [min(fp[i], fp[j]) for i, j in keep], "b": [max(fp[i], fp[j]) for i, j in keep]}, dtype="int64")
+
+
+def _groups(members: DataFrame, block: int) -> DataFrame:
+    """(g, fp): groups of bounded size in which every two members of a sketch group and of different components meet.
+
+    members: (_t, _s, fp, size, comp). In a sketch group, a component of `block` members or more is a part of its own
+    and the others make one mixed part; parts are dealt into blocks, and every two blocks are a group, but for those
+    of one component.
+    """
+    at = ["_t", "_s"]
+    per = members.groupBy(*at, "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    per = per.withColumn("part", F.when((F.col("n") >= block) | (F.col("w") >= WEIGHT), F.col("comp")))
+    parts = per.groupBy(*at, "part").agg(F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("w") / WEIGHT)).alias("k"), F.count("*").alias("c"))
+    dealt = parts.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("part", "k"))).alias("parts"), F.sum("c").alias("c")).filter("c > 1").drop("c")
+    own = members.join(per.select(*at, "comp", "part"), [*at, "comp"]).join(dealt, at)
+    own = own.withColumn("me", F.expr("filter(parts, x -> x.part <=> part)[0]"))
+    own = own.withColumn("off", F.expr("aggregate(parts, 0L, (s, x) -> s + IF(part IS NOT NULL AND (x.part IS NULL OR x.part < part), x.k, 0L))"))
+    own = own.withColumn("i", F.expr("off + pmod(xxhash64(fp), me.k)")).withColumn("all", F.expr("aggregate(parts, 0L, (s, x) -> s + x.k)"))
+    others = F.expr("filter(sequence(0L, all - 1), j -> all = 1 OR (j <> i AND (part IS NULL OR j < off OR j >= off + me.k)))")
+    met = own.select(*at, "fp", "i", F.explode(others).alias("j")).groupBy(*at, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    same = met.agg(F.sort_array(F.collect_set("fp")).alias("fps")).select("fps").distinct()  # sketches often group the same texts
+    return same.select(F.xxhash64("fps").alias("g"), F.explode("fps").alias("fp"))
+
+
+def near_links(df: DataFrame, made: DataFrame, nodes: DataFrame, key: str, text: str, least: float = SIMILAR, known: DataFrame | None = None, block: int = MEET) -> DataFrame:
+    """(a, b): links of which follow those of all texts that share a sketch and are verified.
+
+    made: (key, fp, sk, size), nodes: (fp, least), known: links (a, b) found elsewhere. First every text is held
+    against three members of each of its sketch groups: the outermost two and the one that shares most sketches with
+    others, which in a group of edited copies is their original. What that leaves in more than one component is then
+    compared completely, in blocks; only pairs of one component are left out, as their link adds nothing.
     """
+    at = ["_t", "_s"]
     chosen = made.join(nodes, "fp").filter(F.col(key) == F.col("least"))
-    by_sketch = chosen.select("fp", F.posexplode("sk").alias("_t", "_s")).distinct()
-    ends = by_sketch.groupBy("_t", "_s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    met = by_sketch.join(ends, ["_t", "_s"])
-    pairs = met.select(F.col("lo").alias("a"), F.col("fp").alias("b")).unionByName(met.select(F.col("fp").alias("a"), F.col("hi").alias("b")))
-    pairs = saved(pairs.filter("a < b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes, "fp")
-    texts = saved(df.select(F.col(key).alias("least"), F.col(text).alias("t")).join(asked, "least").select("fp", "t"), "texts")
+    by_sketch = saved(chosen.select("fp", "size", F.posexplode("sk").alias("_t", "_s")).distinct(), "by_sketch")
+    met = by_sketch.join(by_sketch.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1"), at)
+    central = met.groupBy("fp").agg(F.sum("n").alias("c"))
+    met = saved(met.join(central, "fp"), "met")
+    ends = met.groupBy(*at).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max(F.struct("c", "fp"))["fp"].alias("mid"))
+    pairs = met.join(ends, at).select("fp", F.explode(F.array("lo", "hi", "mid")).alias("p")).filter("fp <> p")
+    pairs = saved(pairs.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct(), "pairs")
+    asked = met.select("fp").distinct().join(nodes, "fp")
+    texts = saved(df.select(F.col(key).alias("least"), F.col(text).alias("t")).join(asked, "least").select("fp", "t").dropDuplicates(["fp"]), "texts")
     with_a = pairs.join(texts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a")
-    return _verified(with_a.join(texts.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b"), least).distinct()
+    first = saved(_verified(with_a.join(texts.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b"), least).distinct(), "near")
+    roots = components(first if known is None else first.unionByName(known))
+    # all pairs of a group of up to three have been compared
+    left = met.filter("n > 3").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*at, "fp", "size", F.coalesce("root", "fp").alias("comp"))
+    groups = saved(_groups(saved(left, "left"), block), "groups")
+    rest = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(texts, "fp").select("g", "fp", F.coalesce("root", "fp").alias("comp"), "t")
+    more = rest.groupBy("g").applyInPandas(lambda pdf: _joined(pdf, least), "a bigint, b bigint")
+    return first.unionByName(more).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", r: int = RADIUS, least: float = SIMILAR) -> DataFrame:
     """(key, component_id): groups under links of up to r bits or of a shingle similarity of at least `least`."""
     made = saved(sketched(df, key, text), "sketched")
     nodes = saved(made.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    links = edges(nodes.select("fp"), r).unionByName(near_links(df, made, nodes, key, text, least))
+    close = saved(edges(nodes.select("fp"), r), "close")
+    links = close.unionByName(near_links(df, made, nodes, key, text, least, close))
     return _named(made.select(key, "fp"), nodes, components(links))
 
 

@@ -174,3 +174,45 @@ def test_classifiers_run_whole(spark, name):
     out = QUERIES[name](spark, sf)
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert out.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def jaccard_components(texts):
+    """Component of each text under links of texts that share a sketch and are similar, or lie up to two bits apart."""
+    sh = [set(simhash.shingles(t).tolist()) for t in texts]
+    sk = [simhash.sketches(t) for t in texts]
+    fp = [simhash.fingerprint(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sh[i] & sh[j])
+            if (fp[i] ^ fp[j]).bit_count() <= 2 or (both >= 0.8 * (len(sh[i]) + len(sh[j]) - both) and (sk[i] == sk[j]).any()):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(words, at, tag):
+    return " ".join(f"{tag}x{k}" if k in at else w for k, w in enumerate(words))
+
+
+def test_near_groups_are_complete(spark):
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(240)]
+    star = [" ".join(base)] + [edited(base, set(r.sample(range(4, 236), 4)), f"c{i}") for i in range(1000)]
+    fps = [simhash.fingerprint(t) - (1 << 64) * (simhash.fingerprint(t) >> 63) for t in star]
+    assert min(fps) != fps[0] != max(fps)
+    passage = [f"p{i}" for i in range(160)]  # pairs of near copies inside a group that shares a passage
+    own = [passage + [f"o{i}y{k}" for k in range(40)] for i in range(200)]
+    shared = [t for i, w in enumerate(own) for t in (" ".join(w), edited(w, {170}, f"s{i}"))]
+    texts = star + shared
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
