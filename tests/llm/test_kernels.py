@@ -151,3 +151,34 @@ def test_language_id():
     assert langid.predictions(["abc"], langid.fit([], []))[0] == ["und"]
     whole = langid.cut(b"x" * 1000)
     assert whole.shape[0] == 4 and (whole[0, langid.WINDOW :] == ord("x")).all()
+
+
+def test_search_of_long_queries_is_exact_over_shards():
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    long = [" ".join(r.choices(words, weights=[1 + i % 17 for i in range(300)], k=n)) for n in (13_000, 60_000, 250_000)]
+    short = [" ".join(r.choices(words, k=r.randint(60, 200))) for _ in range(120)]
+    places = [list(range(n, n + 120)) + [1000 - 10 * n + i for i in range(9)] for n in (0, 200, 400, 600)]  # later shards have smaller ids of the copies
+    texts = [t for _ in places for t in [*short, *long, *long, *long]]
+    ids = [i for p in places for i in [x + 5000 for x in p[:120]] + [x + 10_000 for x in p[120:]]]
+    per = len(texts) // len(places)
+    bags = [Counter(t.split()) for t in texts]
+    df, n = Counter(w for b in bags for w in b), len(bags)
+    avg = sum(b.total() for b in bags) / n
+    at = {search.term(w.encode()): c for w, c in df.items()}
+    q = search.Block(list(enumerate(long)))
+    df_of = np.array([at[int(t)] for t in q.terms])
+    q.idf = np.log(1 + (n - df_of + 0.5) / (df_of + 0.5)) + 1  # large scores, as words of many documents would have in a larger table
+    idf = {int(t): x for t, x in zip(q.terms, q.idf.tolist())}
+    best, found = np.full((len(long), 5), -np.inf), {i: [] for i in range(len(long))}
+    for p in range(len(places)):
+        shard = search.pack(ids[p * per : (p + 1) * per], texts[p * per : (p + 1) * per])
+        for i, d, s in search.search_shard(shard, q, avg, best, 5):
+            found[i] += [(-x, y) for x, y in zip(s.tolist(), d.tolist())]
+    for i, text in enumerate(long):
+        bag = Counter(text.split())
+        score = lambda b: math.fsum(f * (b[w] * (search.K1 + 1) / (b[w] + (search.K1 * (1 - search.B + search.B * b.total() / avg))) * idf[search.term(w.encode())]) for w, f in bag.items() if w in b)  # noqa: E731, B023
+        want = sorted((-round(score(b), 6), d) for d, b in zip(ids, bags))[:5]
+        got = sorted(found[i])[:5]
+        assert [d for _, d in got] == [d for _, d in want]
+        assert all(math.isclose(a, b, rel_tol=1e-9) for (a, _), (b, _) in zip(got, want))
