@@ -1,7 +1,7 @@
 """Quality rules: base figures of each document and cross-document line frequency. DataFrame functions only.
 
 A line is boilerplate on a host when the number of different texts of that host that hold it exceeds
-``greatest(min_texts, share * texts of the host)``. Such lines are removed; a document that keeps less than
+``greatest(min_texts, least(share * texts of the host, max_texts))``: the limit does not grow with a large host. Such lines are removed; a document that keeps less than
 ``min_left`` of its words is depleted and rejected, as is one that fails the base rules.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null source is a host of its own;
@@ -19,6 +19,8 @@ from .common import SPACE, SPACE_CHARS, WORD, nullable_key, saved, words
 
 #: Limits of the production query.
 MIN_TEXTS, SHARE, MIN_LEFT = 10, 0.02, 0.5
+#: In more texts than this a line is boilerplate on a host of any size.
+MAX_TEXTS = 200
 #: Up to so many repeated windows of a document are looked up in an array; the result is the same either way.
 FEW = 32
 
@@ -75,7 +77,7 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE, max_texts: int = MAX_TEXTS) -> DataFrame:
     """(_host, _th, _bad): for each host and text hash, the keys of its lines that are above the host's limit."""
     keyed = df.select(
         nullable_key(F.col(host)).alias("_host"),
@@ -88,15 +90,15 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_tex
     lines = lines.filter(F.col("_line").isNotNull())
     bad = (
         lines.groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_texts)
-        .join(hosts, "_host").filter(F.col("_n") > share * F.col("_texts")).select("_host", "_line")
+        .join(hosts, "_host").filter(F.col("_n") > F.least(share * F.col("_texts"), F.lit(float(max_texts)))).select("_host", "_line")
     )
     return lines.join(bad, ["_host", "_line"], "left_semi").groupBy("_host", "_th").agg(F.collect_set("_line").alias("_bad"))
 
 
-def judged(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judged(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT, max_texts: int = MAX_TEXTS) -> DataFrame:
     """df with the base figures, removed_words, kept and clean_text (text without its boilerplate lines)."""
     marked = df.withColumn("_host", nullable_key(F.col(host))).withColumn("_th", F.xxhash64(F.col(text)))
-    marked = marked.join(boilerplate(df, host, text, min_texts, share), ["_host", "_th"], "left")
+    marked = marked.join(boilerplate(df, host, text, min_texts, share, max_texts), ["_host", "_th"], "left")
     based = with_base(marked, text)
     gone = F.filter(_lines(F.col(text)), lambda x: _has_word(x) & F.array_contains(F.col("_bad"), _line_key(x)))
     stay = F.filter(_lines(F.col(text)), lambda x: ~(_has_word(x) & F.array_contains(F.col("_bad"), _line_key(x))))

@@ -216,3 +216,10 @@ def test_near_groups_are_complete(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(texts))] == jaccard_components(texts)
+
+
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    line = F.when((F.col("id") % 50 == 0) & (F.col("id") < 11000), "\nAccept all cookies").when(F.col("id") % 61 == 1, "\nanother line here").otherwise("")
+    df = spark.range(12000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), line).alias("text"), F.lit("a").alias("source"))
+    out = quality.judged(df).groupBy("removed_words").count().collect()
+    assert {r["removed_words"]: r["count"] for r in out} == {0: 11780, 3: 220}  # 220 texts are below 2 % of the host's, and 197 or fewer stay
