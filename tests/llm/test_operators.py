@@ -223,3 +223,12 @@ def test_quality_limit_does_not_grow_with_the_host(spark):
     df = spark.range(12000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), line).alias("text"), F.lit("a").alias("source"))
     out = quality.judged(df).groupBy("removed_words").count().collect()
     assert {r["removed_words"]: r["count"] for r in out} == {0: 11780, 3: 220}  # 220 texts are below 2 % of the host's, and 197 or fewer stay
+
+
+def test_language_model_learns_from_all_rows(spark):
+    path, schema = tokenizer_path("piece_bpe_32k.model"), "doc_id long, text string"
+    short = [(i, f"alpha beta {i}") for i in range(30)]
+    few, all_ = spark.createDataFrame(short, schema), spark.createDataFrame([*short, (99, "garden window " * 6000)], schema)
+    asked = spark.createDataFrame([(1, "garden window garden window")], schema)
+    a, b = (lm.scored(spark, asked, t, path).first()["score"] for t in (few, all_))
+    assert b > a + 1  # a row of more than MAX_BYTES counts, too
