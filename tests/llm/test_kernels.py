@@ -182,3 +182,9 @@ def test_search_of_long_queries_is_exact_over_shards():
         got = sorted(found[i])[:5]
         assert [d for _, d in got] == [d for _, d in want]
         assert all(math.isclose(a, b, rel_tol=1e-9) for (a, _), (b, _) in zip(got, want))
+
+
+def test_windows_of_the_language_model_overlap():
+    doc, first, scored = lm.windows(np.array([5, 200]))
+    assert lm.SPAN >= 24 and (scored[first > 0] - first[first > 0] >= 6).all()  # every later position sees that many before it
+    assert doc.tolist().count(0) == 1 and (np.diff(first[doc == 1]) <= lm.SPAN - 6).all()
