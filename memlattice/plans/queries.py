@@ -344,7 +344,7 @@ def graph_nodes(spark, d):
 
 def _relations(spark, d):
     e = frame(spark, d, "v_edge")
-    return e.filter("id % 4 < 2").select("platform", F.when(F.col("id") % 4 == 0, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(F.col("id") % 4 == 0, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"), "relation_label", F.col("object_name").alias("subject_name"), "object_name", "statement", "confidence", F.col("last_seen").alias("occurred_at"), F.concat(F.lit("n|"), (F.col("id") % 3).cast("string")).alias("evidence_key"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"), F.lit(True).alias("count_on_conflict"), F.col("id").alias("pos"))
+    return e.select("platform", F.when(F.col("id") % 4 == 0, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(F.col("id") % 4 == 0, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"), "relation_label", F.col("object_name").alias("subject_name"), "object_name", "statement", "confidence", F.col("last_seen").alias("occurred_at"), F.concat(F.lit("n|"), (F.col("id") % 3).cast("string")).alias("evidence_key"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"), F.lit(True).alias("count_on_conflict"), F.col("id").alias("pos"))
 
 
 @query()
@@ -455,3 +455,53 @@ def import_preview(spark, d):
 def migrate_ids(spark, d):
     c = frame(spark, d, "v_cluster")
     return store.id_map(c.filter("id % 3 = 0"), c.filter("id % 2 = 0"), ["user_id", "category", "canonical_statement"])
+
+
+# -- the same over every row --------------------------------------------------------------------------------------
+# The second input is all rows of its view with some values altered, not a part of the ids.
+
+
+def whole(part: str, *changes: tuple[str, str]):
+    """Registers a query whose SQL is that of the query `part` with the changes."""
+
+    def add(f: Query) -> Query:
+        sql = ORACLES[part]
+        for old, new in changes:
+            if old not in sql:
+                raise ValueError(f"{part}: no {old}")
+            sql = sql.replace(old, new)
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@whole("fact_merge", (" WHERE x.id % 2 = 0)", ")"))
+def fact_merge_all(spark, d):
+    c = frame(spark, d, "v_cluster").select(F.col("id").alias("cluster_id"), "platform", "user_id", "category", F.col("canonical_statement").alias("event_type"))
+    f = frame(spark, d, "v_fact").withColumn("evidence_key", F.concat("evidence_key", F.when(F.col("id") % 3 == 0, "|x").otherwise("")))
+    out = facts.merged(frame(spark, d, "v_cluster"), f.join(c, ["platform", "user_id", "category", "event_type"]), now(), CONFIG)
+    return out.select("id", F.round("score", 6).alias("score"), F.col("evidence_count").cast("int").alias("evidence_count"), "status", "last_evidence_at")
+
+
+@whole("fact_decay", (" AND id % 3 = 0", ""))
+def fact_decay_all(spark, d):
+    seen = frame(spark, d, "v_fact").select(F.lit("chat_summary").alias("kind"), "platform", "user_id", F.array().cast("array<string>").alias("participants"), "occurred_at")
+    out = facts.decay(frame(spark, d, "v_cluster"), frame(spark, d, "v_profile"), seen, now(), CONFIG, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return out.select("id", F.round("score", 6).alias("score"), "status", "expired", "demoted")
+
+
+@whole("graph_probe", ("SELECT DISTINCT platform, subject_uid, object_uid, relation_label FROM v_edge WHERE id % 3 = 0", "SELECT DISTINCT platform, CASE WHEN id % 3 = 2 THEN object_uid ELSE subject_uid END AS subject_uid, CASE WHEN id % 3 = 2 THEN subject_uid ELSE object_uid END AS object_uid, CASE WHEN id % 3 = 1 THEN concat(relation_label, 'x') ELSE relation_label END AS relation_label FROM v_edge"))
+def graph_probe_all(spark, d):
+    e = frame(spark, d, "v_edge")
+    turned = F.col("id") % 3 == 2
+    asked = e.select("platform", F.when(turned, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(turned, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"),
+        F.when(F.col("id") % 3 == 1, F.concat("relation_label", F.lit("x"))).otherwise(F.col("relation_label")).alias("relation_label"))
+    return graph.probe(e, asked).select("subject_uid", "object_uid", "relation_label")
+
+
+@whole("migrate_ids", ("canonical_statement FROM v_cluster WHERE id % 2 = 0", "CASE WHEN id % 2 = 0 THEN canonical_statement ELSE concat(canonical_statement, '|x') END AS canonical_statement FROM v_cluster"), (" WHERE c.id % 3 = 0)", ")"))
+def migrate_ids_all(spark, d):
+    c = frame(spark, d, "v_cluster")
+    have = c.withColumn("canonical_statement", F.concat("canonical_statement", F.when(F.col("id") % 2 == 0, "").otherwise("|x")))
+    return store.id_map(c, have, ["user_id", "category", "canonical_statement"])

@@ -1,0 +1,14 @@
+"""Queries that take their second input from every row."""
+
+from memlattice.plans.queries import QUERIES, _relations
+from memlattice.plans.views import frame
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_edge_is_upserted(spark):
+    assert _relations(spark, SF).count() == frame(spark, SF, "v_edge").count()
+
+
+def test_every_cluster_is_mapped(spark):
+    assert QUERIES["migrate_ids_all"](spark, SF).count() == frame(spark, SF, "v_cluster").count()
