@@ -188,3 +188,11 @@ def test_windows_of_the_language_model_overlap():
     doc, first, scored = lm.windows(np.array([5, 200]))
     assert lm.SPAN >= 24 and (scored[first > 0] - first[first > 0] >= 6).all()  # every later position sees that many before it
     assert doc.tolist().count(0) == 1 and (np.diff(first[doc == 1]) <= lm.SPAN - 6).all()
+
+
+def test_search_keeps_small_positive_scores():
+    texts = ["common word"] * 40
+    shard, q = search.pack(list(range(40)), texts), search.Block([(0, "common")])
+    q.idf = np.array([math.log(1 + 0.5 / 20_000.5)])  # a term that all of 20,000 documents hold
+    (_, d, s), = search.search_shard(shard, q, 2.0, np.full((1, 5), -np.inf), 5)
+    assert d.tolist() == [0, 1, 2, 3, 4] and (s == 0.000025).all()
