@@ -93,3 +93,16 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. in one array."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until it differs from all those taken (as Spark compares names)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -1,38 +1,39 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A text becomes units: runs of the space mark with the word after them; no piece holds a mark behind a letter, so units
-are encoded apart, and each distinct unit once for as long as a worker's cache holds it. The new units of a slice of
-texts are concatenated and indexed by a suffix array (sorted to the length of the longest piece, by rank doubling);
-every piece of the vocabulary is found by binary search, all pieces at once; its range in the array gives its
-occurrences. These edges, sorted by position, form the lattice that is relaxed by the model's rule: of all edges that
-span exactly two current symbols the best-scoring one, leftmost first, becomes one symbol, until none is left. Units
-up to ``SHORT`` characters are relaxed together in rounds, longer ones each with a heap over their edges.
+are encoded apart. The different units of a slice of texts are concatenated and indexed by a suffix array (sorted to
+the length of the longest piece, by rank doubling); every piece of the vocabulary is found by binary search, all pieces
+at once; its range in the array gives its occurrences. These edges, sorted by position, form the lattice that is
+relaxed by the model's rule: of all edges that span exactly two current symbols the best-scoring one, leftmost first,
+becomes one symbol, until none is left. Units up to ``SHORT`` characters are relaxed together in rounds, longer ones
+each with a heap over their edges. Nothing is carried from one slice to the next.
 
-Characters without a piece fall back to bytes. Decoding joins the pieces' bytes and drops the mark put in front.
+Characters without a piece fall back to bytes. Decoding gathers the pieces' bytes of a whole slice at once and drops
+the mark put in front of each text.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a space mark inside a text decodes to a
-space, as in the library; bytes that are no UTF-8 decode to U+FFFD; repeated rows are equal; an empty table gives an
-empty result; other columns pass through ``encoded`` and ``decoded``.
+space, as in the library; bytes that are no UTF-8 decode to U+FFFD; very long texts are encoded whole, alone in their
+slice; repeated rows are equal; an empty table gives an empty result; every column passes through, and a new column
+whose name the table has already gets underscores behind it until no column has it.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import slices
+from .common import fresh, ragged, slices
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Characters of a slice of texts, entries of a worker's cache, and the longest unit relaxed in rounds.
-SLICE, CACHE, SHORT = 4_000_000, 400_000, 48
+#: Bytes of a slice of texts, and the longest unit relaxed in rounds.
+SLICE, SHORT = 4_000_000, 48
 #: Stands between units; above every code point.
 GAP = 0x110000
 
@@ -58,6 +59,9 @@ class Vocabulary:
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.size = np.array([len(x) for x in self.raw])
+        self.begin = np.cumsum(self.size) - self.size
         ones = sorted((ord(texts[i]), i) for i in plain if len(texts[i]) == 1)
         self.one_codes, self.one_ids = np.array([c for c, _ in ones], dtype=np.uint32), np.array([i for _, i in ones], dtype=np.int64)
         multi = sorted((i for i in plain if len(texts[i]) > 1), key=lambda i: (-sp.get_score(i), i))
@@ -76,22 +80,37 @@ class Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of codes in the order of their first `depth` codes (at least)."""
-    kinds, dense = np.unique(codes, return_inverse=True)
-    # as many codes as fit one number are sorted at once; the end sorts last, as GAP does
+    """Suffixes of codes in the order of their first `depth` codes (at least); the end sorts last, as GAP does."""
+    n = len(codes)
+    kinds = np.flatnonzero(np.bincount(codes))
+    dense = np.zeros(int(kinds[-1]) + 1 if n else 1, dtype=np.int64)
+    dense[kinds] = np.arange(len(kinds))
+    # as many codes as fit one number are sorted at once
     base = len(kinds) + 1
     span = max(1, min(depth, int(62 / np.log2(base))))
-    padded = np.concatenate([dense.astype(np.int64), np.full(span, base - 1)])
-    key = np.zeros(len(codes), dtype=np.int64)
+    padded = np.concatenate([dense[codes], np.full(span, base - 1)])
+    key = np.zeros(n, dtype=np.int64)
     for j in range(span):
-        key = key * base + padded[j : j + len(codes)]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key *= base
+        key += padded[j : j + n]
+    order = np.argsort(key)
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.diff(key[order]) != 0
     while span < depth:
-        after = np.full(len(rank), len(rank) + 1, dtype=np.int64)
-        after[:-span] = rank[span:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
+        group = np.cumsum(new)
+        alone = new & np.append(new[1:], True)
+        tied = np.flatnonzero(~alone)  # only equal ones are sorted on, by the ranks of what follows
+        if not len(tied):
+            break
+        rank = np.empty(n + 1, dtype=np.int64)
+        rank[order], rank[n] = group, n + 1
+        key = group[tied] * (n + 2) + rank[np.minimum(order[tied] + span, n)]
+        by = np.argsort(key)
+        order[tied] = order[tied[by]]
+        key = key[by]
+        new[tied[1:]] |= np.diff(key) != 0
         span *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +141,7 @@ def occurrences(codes: np.ndarray, order: np.ndarray, v: Vocabulary) -> tuple[np
     count = hi - lo
     piece = np.repeat(np.arange(p), count)
     place = order[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    by = np.argsort(place, kind="stable")
+    by = np.argsort(place)
     return place[by], piece[by]
 
 
@@ -168,10 +187,10 @@ def _heap(length: int, edges: dict[tuple[int, int], int]) -> list[int]:
     return [i for i in range(length) if not gone[i]] + [length]
 
 
-def match(units: list[str], v: Vocabulary) -> list[bytes]:
-    """The ids of each unit, as little-endian 16-bit numbers."""
+def match(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units in order, their number in each unit); units are different texts that begin with a mark."""
     if not units:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
     codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -193,89 +212,114 @@ def match(units: list[str], v: Vocabulary) -> list[bytes]:
     symbol[place[done]] = v.multi[piece[done]]
     bounds = np.flatnonzero(mark)
     first, last = np.searchsorted(bounds, begin), np.searchsorted(bounds, begin + lengths)
-    ids = symbol[bounds[bounds < len(codes)]]
-    plain = ids.astype("<u2").tobytes()
+    ids = symbol[bounds[bounds < len(codes)]].astype(np.int32)
     odd = np.concatenate(([0], np.cumsum(ids < 0)))
-    slow = (odd[np.minimum(last, len(ids))] > odd[first]) | (lengths > SHORT)
-    out = [plain[2 * i : 2 * j] for i, j in zip(first.tolist(), last.tolist())]
-    for u in np.flatnonzero(slow).tolist():
+    slow = np.flatnonzero((odd[np.minimum(last, len(ids))] > odd[first]) | (lengths > SHORT))
+    other = []
+    for u in slow.tolist():
         t, b = units[u], int(begin[u])
         cuts = _heap(len(t), long[u]) if u in long else (bounds[first[u] : last[u] + 1] - b).tolist()
-        out[u] = np.array([x for p, q in zip(cuts, cuts[1:]) for x in v.symbol(t[p:q])], dtype="<u2").tobytes()
-    return out
-
-
-class Encoder:
-    """Encodes texts with a bounded cache of units."""
-
-    def __init__(self, path: str) -> None:
-        self.v, self.known = Vocabulary(path), {}
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """The units of text, each without the first of its space marks."""
-        if "  " in text or text[:1] == " " or text[-1:] == " " or MARK in text:
-            return [u[1:] for u in UNIT.findall(MARK + text.replace(" ", MARK))]
-        return text.split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, at = [], 0
-        while at < len(texts):
-            parts, size = [], 0
-            while at < len(texts) and (size < SLICE or not parts):
-                t = texts[at] or ""
-                parts.append(self.units(t) if t else [])
-                size += len(t)
-                at += 1
-            new = set().union(*parts).difference(self.known)
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = set().union(*parts)
-            fresh = sorted(new)
-            self.known.update(zip(fresh, match([MARK + u for u in fresh], self.v)))
-            get = self.known.__getitem__
-            out += [np.frombuffer(b"".join(map(get, p)), dtype="<u2") for p in parts]
-        return out
-
-
-def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the piece ids of text; every column of docs is kept."""
+        other.append([x for p, q in zip(cuts, cuts[1:]) for x in v.symbol(t[p:q])])
+    # the slow units' ids stand behind all others
+    sizes = np.array([len(x) for x in other], dtype=np.int64)
+    count, start = last - first, first.copy()
+    count[slow], start[slow] = sizes, len(ids) + np.cumsum(sizes) - sizes
+    pool = np.concatenate([ids, np.array([x for o in other for x in o], dtype=np.int32)])
+    return pool[ragged(start, count)], count
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the units of all texts in order, each without the first of its space marks; their number in each text)."""
+    plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+    lists = pc.split_pattern(plain, " ")
+    parts, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
+    if not empty.any():
+        return parts, n
+    owner = np.repeat(np.arange(len(n)), n)
+    last = np.zeros(len(empty), dtype=bool)
+    last[np.cumsum(n)[n > 0] - 1] = True
+    none = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)[owner]
+    ends = (~empty | last) & ~none  # an empty part is one more mark of the unit that ends next
+    before = np.cumsum(empty) - empty
+    at = np.flatnonzero(ends)
+    begins = np.concatenate(([True], (ends | none)[:-1]))
+    own = np.maximum.accumulate(np.where(begins, np.arange(len(empty)), 0))
+    marks = before[at] - before[own[at]]
+    out = parts.filter(pa.array(ends))
+    more = marks > 0
+    if more.any():
+        joined = pc.binary_join_element_wise(pc.binary_repeat(pa.scalar(MARK), pa.array(marks[more])), out.filter(pa.array(more)), "")
+        out = pc.replace_with_mask(out, pa.array(more), joined)
+    return out, np.bincount(owner[at], minlength=len(n))
+
+
+def encode(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in order, their number in each text)."""
+    flat, n = units(texts)
+    coded = flat.dictionary_encode()
+    ids, count = match([MARK + u for u in coded.dictionary.to_pylist()], v)
+    row = coded.indices.to_numpy(zero_copy_only=False)
+    size = count[row]
+    total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+    return ids[ragged((np.cumsum(count) - count)[row], size)], np.diff(total)
+
+
+def decode(ids: np.ndarray, n: np.ndarray, v: Vocabulary) -> pa.Array:
+    """The texts of n[0], n[1], ... ids each."""
+    size = v.size[ids]
+    raw = v.bytes[ragged(v.begin[ids], size)]
+    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+    drop = ends[:-1][(np.diff(ends) > 0) & (np.append(raw, 0)[ends[:-1]] == 32)]  # the mark in front
+    keep = np.ones(len(raw), dtype=bool)
+    keep[drop] = False
+    ends = ends - np.searchsorted(drop, ends)
+    texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw[keep])])
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
+
+
+def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids", back: str | None = None) -> DataFrame:
+    """docs with the piece ids of text and, if back is given, with the text that they decode to."""
     names = docs.columns
     at = names.index(text)
-    local: list[Encoder] = []
+    into = fresh(into, names)
+    back = back and fresh(back, [*names, into])
+    local: list[Vocabulary] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not local:
-            local.append(Encoder(path))
+            local.append(Vocabulary(path))
         for b in batches:
             for part in slices(b, at, SLICE):
-                ids = local[0].encode(part.column(at).to_pylist())
-                ends = np.cumsum([0, *map(len, ids)])
-                values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=[*names, into])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
-
+                ids, n = encode(part.column(at), local[0])
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids))]
+                if back:
+                    made.append(decode(ids, n, local[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*names, into, *([back] if back else [])])
 
-def decode(ids: list[int], raw: list[bytes]) -> str:
-    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
+    fields = [StructField(into, ArrayType(IntegerType())), *([StructField(back, StringType())] if back else [])]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """docs with the text of its piece ids; every column of docs is kept."""
+    """docs with the text of its piece ids; null ids decode to the empty text."""
     names = docs.columns
     at = names.index(ids)
-    local: list[list[bytes]] = []
+    into = fresh(into, names)
+    local: list[Vocabulary] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not local:
-            local.append(Vocabulary(path).raw)
+            local.append(Vocabulary(path))
         for b in batches:
-            for from_ in range(0, b.num_rows, 2000):
-                part = b.slice(from_, 2000)
-                texts = [decode(x.as_py() or [], local[0]) for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, into])
+            for from_ in range(0, b.num_rows, 500):
+                part = b.slice(from_, 500)
+                n = pc.fill_null(part.column(at).value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = decode(part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64), n, local[0])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*names, into])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
 
@@ -283,9 +327,8 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 def op10_pieces(docs: DataFrame, path: str) -> DataFrame:
     """Per document: its number of pieces, a hash of them, and whether decoding gives the text back."""
     rows = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    ids = encoded(rows, path).drop("text")
-    back = decoded(ids, path)
-    return back.select(
+    out = encoded(rows, path, back="decoded")
+    return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "text_crc32",
         (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"),
     )

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -25,11 +26,17 @@ def test_pieces_equal_the_library():
     import sentencepiece
 
     path = tokenizer_path("piece_bpe_32k.model")
-    sp, e = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
-    texts = ODD + random_texts(300) + ["ab" * 200 + " the"]
-    for t, ids in zip(texts, e.encode(texts)):
-        assert ids.tolist() == sp.encode(t or ""), t
-        assert pieces.decode(ids.tolist(), e.v.raw) == sp.decode(ids.tolist()), t
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(path)
+    texts = [*ODD, *random_texts(300), "ab" * 200 + " the", "", "", " ", "   ", "x  ", "a" * 99 + "  " + "日" * 70, "plain words only"]
+    for some in (texts, ["", None], [], ["one two"], [" "], ["", "a  b", "", " c"]):
+        ids, n = pieces.encode(pa.array(some, pa.string()), v)
+        parts = np.split(ids, np.cumsum(n)[:-1]) if some else []
+        back = pieces.decode(ids, n, v).to_pylist()
+        for t, own, text in zip(some, parts, back, strict=True):
+            assert own.tolist() == sp.encode(t or ""), t
+            assert text == sp.decode(own.tolist()), t
+    odd = np.array([v.byte_ids[0xE6], *sp.encode("a")])  # half a character
+    assert pieces.decode(odd, np.array([len(odd)]), v).to_pylist() == [sp.decode(odd.tolist())]
 
 
 def test_token_counts_equal_the_library():
@@ -107,16 +114,22 @@ def test_toxicity_learns_and_shares_subwords():
 
 def test_language_model_is_a_distribution_and_learns():
     m = lm.start(64)
+    r = lm.Ready(m)
     ids, t = np.zeros((1, lm.SPAN), int), np.arange(lm.SPAN)[None]
-    every = np.stack([lm.log_probs(ids, np.full_like(ids, k), np.ones_like(ids, bool), m) for k in range(64)])
+    every = np.stack([lm.log_probs(ids, np.full_like(ids, k), 0, r) for k in range(64)])
     assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-4)
     changed = ids.copy()
     changed[0, 9:] = 5  # what follows a position does not change it
-    assert np.allclose(lm.log_probs(ids, t, np.ones_like(ids, bool), m)[:9], lm.log_probs(changed, t, np.ones_like(ids, bool), m)[:9], atol=1e-6)
-    streams = [np.array([0, *([3, 7, 9] * 40), 0], dtype=np.int32) for _ in range(30)]
-    before, after = lm.score_streams(streams[:2], m).mean(), lm.score_streams(streams[:2], lm.fit(streams, 64)).mean()
+    steep = m._replace(qkv=m.qkv * 300, to_class=m.to_class * 1e4)
+    with np.errstate(over="ignore", invalid="ignore"):
+        assert np.isfinite(lm.log_probs(changed, t, 0, lm.Ready(steep))).all()  # beyond what exp holds
+    one, two = (lm.log_probs(x, t, 0, r)[0] for x in (ids, changed))
+    assert np.allclose(one[:9], two[:9], atol=1e-6)
+    own = np.array([0, *([3, 7, 9] * 40), 0], dtype=np.int32)
+    flat, sizes = np.tile(own, 30), np.full(30, len(own))
+    before, after = (lm.score_streams(flat, sizes, lm.Ready(x)).mean() for x in (m, lm.fit(flat, sizes, 64)))
     assert after > before + 1
-    assert len(lm.score_streams(streams, m)) == sum(len(s) - 1 for s in streams)  # each position once
+    assert len(lm.score_streams(flat, sizes, r)) == 30 * (len(own) - 1)  # each position once
 
 
 def test_gradients_of_the_language_model():
@@ -131,9 +144,9 @@ def test_gradients_of_the_language_model():
             at = (0, 1)
         old, h = p[at], 1e-2
         p[at] = old + h
-        up = -lm.log_probs(ids, t, w, m).mean()
+        up = -lm.log_probs(ids, t, 0, lm.Ready(m)).mean()
         p[at] = old - h
-        down = -lm.log_probs(ids, t, w, m).mean()
+        down = -lm.log_probs(ids, t, 0, lm.Ready(m)).mean()
         p[at] = old
         assert abs((up - down) / (2 * h) - g[at]) < 2e-3
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,16 +139,66 @@ def test_one_of_each_near_group(spark):
     assert kept == [1, 3, 6]
 
 
-def test_language_model_base(spark, docs):
+def plain_score(text: str | None, by: lm.Learned, count: Counter, path: str) -> float:
+    """The score of one text, a window at a time and a position at a time."""
+    import sentencepiece
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), by.model
+
+    def ids(w: str) -> list[int]:
+        out = []
+        for p in sp.encode(w):
+            out += [257 + by.frequent.index(p)] if p in by.frequent else [1 + int(sp.id_to_piece(p)[3:5], 16)] if sp.is_byte(p) else [1 + b for b in sp.id_to_piece(p).replace("▁", " ").encode()]
+        return out
+
+    words = [w.decode() for w in (text or "").encode().lower().split()]
+    parts = [ids(w) for w in words] + [[0]]
+    stream = [0, *(i for p in parts for i in p)]
+    ln, at, scored = [], 0, 0
+    while scored < len(stream) - 1:
+        inside = stream[at : at + lm.SPAN]
+        for j in range(scored - at, min(lm.SPAN, len(stream) - 1 - at)):
+            seen = []
+            z = (m.emb[inside] @ m.qkv).reshape(len(inside), lm.HEADS, -1).astype(float)
+            for h in range(lm.HEADS):
+                s = np.array([z[j, h, : lm.KEY] @ z[i, h, lm.KEY : 2 * lm.KEY] / np.sqrt(lm.KEY) + m.near[h, j - i] for i in range(j + 1)])
+                seen.append(np.exp(s) / np.exp(s).sum() @ z[: j + 1, h, 2 * lm.KEY :])
+            hid = np.maximum(m.emb[inside[j]] @ m.own + np.concatenate(seen) @ m.seen + m.shift, 0)
+            k, i = divmod(stream[at + j + 1], lm.CLASS)
+            ln.append(sum(y[x] - np.log(np.exp(y).sum()) for y, x in ((hid @ m.to_class + m.class_bias, k), (hid @ m.to_id[k] + m.id_bias[k], i))))
+        scored = at + j + 1
+        at += lm.SPAN - lm.OVERLAP
+    total, at = 0.0, 0
+    for w, p in zip([*words, None], parts):
+        c = by.n_docs if w is None else count[w]
+        own = (1 - lm.MIX) * np.exp(sum(ln[at : at + len(p)]))
+        total += log10(own + (lm.MIX * (c + 1) / (by.n + by.v + 1) if c else 0))
+        at += len(p)
+    return total
+
+
+def test_language_model(spark, docs, none, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    monkeypatch.setattr(lm, "TABLE", 60)  # so that some words lie in the table and others are joined
+    monkeypatch.setattr(lm, "EVERY", 3)
     d = docs.filter("doc_id IS NOT NULL")
     train = d.filter("doc_id % 3 <> 0")
-    got = lm.scored(spark, d, train, tokenizer_path("piece_bpe_32k.model")).collect()
+    by = lm.learned(train, path)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in lm.scored(d, by, path).collect()}
     t = [(r[1] or "").encode().lower().split() for r in rows() if r[0] is not None and r[0] % 3]
-    c, n_docs = Counter(w for x in t for w in x), len(t)
+    c, n_docs = Counter(w.decode() for x in t for w in x), len(t)
     n, v = sum(c.values()) + n_docs, len(c) + 1
-    want = sorted((i, len(w) + 1, sum(x in c for x in w) + 1, round(sum(log10((c[x] + 1) / (n + v + 1)) for x in w) + log10((n_docs + 1) / (n + v + 1)), 6)) for i, w in [(r[0], (r[1] or "").encode().lower().split()) for r in rows() if r[0] is not None])
-    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
+    assert 0 < len(by.top) <= 60 < len(c) and all(c[w] == k for w, k in by.top.items())
+    for i, text, *_ in [r for r in rows() if r[0] is not None]:
+        w = [x.decode() for x in (text or "").encode().lower().split()]
+        r = got[i, len(w) + 1]
+        assert (r["n_known"], r["train_tokens"]) == (sum(x in c for x in w) + 1, n)
+        assert abs(r["base_score"] - sum(log10((c[x] + 1) / (n + v + 1)) for x in w) - log10((n_docs + 1) / (n + v + 1))) < 1e-6
+        if len(w) < 400:
+            assert abs(r["score"] - plain_score(text, by, c, path)) < 2e-3 + 1e-5 * len(w)
+    assert lm.scored(none, by, path).count() == 0
+    start = lm.learned(none, path)
+    assert (start.n, start.v, start.top) == (0, 0, {}) and lm.scored(d, start, path).filter("score < 0 AND n_known = 0 AND base_score = 0").count() == d.count()
 
 
 def test_token_counts_and_pieces(spark, docs, none):
@@ -157,7 +208,10 @@ def test_token_counts_and_pieces(spark, docs, none):
     assert got == sorted((str(i), len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in rows())
     out = pieces.op10_pieces(docs, tokenizer_path("piece_bpe_32k.model")).collect()
     assert len(out) == len(rows()) and all(r["round_trip"] for r in out)
-    assert pieces.encoded(docs, tokenizer_path("piece_bpe_32k.model")).columns == [*docs.columns, "ids"]
+    model = tokenizer_path("piece_bpe_32k.model")
+    twice = pieces.encoded(docs.withColumn("ids", F.lit("own")), model)
+    assert twice.columns == [*docs.columns, "ids", "ids_"] and {r["ids"] for r in twice.select("ids").collect()} == {"own"}
+    assert sorted(r["decoded"] for r in pieces.decoded(twice, model, "ids_").collect()) == sorted(t or "" for _, t, *_ in rows())
     assert pieces.op10_pieces(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
@@ -230,5 +284,5 @@ def test_language_model_learns_from_all_rows(spark):
     short = [(i, f"alpha beta {i}") for i in range(30)]
     few, all_ = spark.createDataFrame(short, schema), spark.createDataFrame([*short, (99, "garden window " * 6000)], schema)
     asked = spark.createDataFrame([(1, "garden window garden window")], schema)
-    a, b = (lm.scored(spark, asked, t, path).first()["score"] for t in (few, all_))
+    a, b = (lm.scored(asked, lm.learned(t, path), path).first()["score"] for t in (few, all_))
     assert b > a + 1  # a row of more than MAX_BYTES counts, too
