@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set, as in tests."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it.
+
+    Where none is set, a session of one process (a local master, as in tests) gets a temporary folder; a cluster is
+    refused, as its executors could not read each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="memlattice-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,18 +48,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/memlattice/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Deletes every scratch table of this session; call it once their readers are done."""
-    for owner, path in [x for x in _made if x[0] is spark]:
-        try:
-            jvm = owner.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        finally:
-            _made.remove((owner, path))
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.remove((spark, path))
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the scratch table that saved() returned as df; nothing may read it any more."""
+    path = _paths.pop(id(df), None)
+    if path and (df.sparkSession, path) in _made:
+        _delete(df.sparkSession, path)
+
+
+def drop_saved(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes every scratch table of this session but that of keep; call it once their readers are done."""
+    stays = _paths.get(id(keep)) if keep is not None else None
+    for owner, path in [x for x in _made if x[0] is spark and x[1] != stays]:
+        _delete(owner, path)
 
 
 @atexit.register
@@ -106,3 +125,17 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name += "_"
     return name
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the texts in order, lower-cased A-Z; their number in each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return flat.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it literally, dots included."""
+    return "`" + name.replace("`", "``") + "`"

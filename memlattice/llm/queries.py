@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.op4_lm(spark, documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return lm.op4_lm(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_forest_finds_every_component(seed):
 def test_search_shard_is_exact():
     r = random.Random(4)
     texts = [" ".join(r.choice("the of a b c d e f g h i j k l".split()) for _ in range(r.randint(0, 40))) for _ in range(300)] + ["", None, "the the rare", "the the rare"]
-    shard, q = search.pack(list(range(len(texts))), texts), search.Block([(i, texts[i]) for i in range(0, 300, 25)])
+    shard, q = search.pack(pa.array(range(len(texts))), pa.array(texts)), search.Block([(i, texts[i]) for i in range(0, 300, 25)])
     bags = [Counter((t or "").split()) for t in texts]
     df, avg, n = Counter(w for b in bags for w in b), sum(sum(b.values()) for b in bags) / len(bags), len(bags)
     at = {search.term(w.encode()): c for w, c in df.items()}
@@ -185,7 +185,7 @@ def test_search_of_long_queries_is_exact_over_shards():
     idf = {int(t): x for t, x in zip(q.terms, q.idf.tolist())}
     best, found = np.full((len(long), 5), -np.inf), {i: [] for i in range(len(long))}
     for p in range(len(places)):
-        shard = search.pack(ids[p * per : (p + 1) * per], texts[p * per : (p + 1) * per])
+        shard = search.pack(pa.array(ids[p * per : (p + 1) * per]), pa.array(texts[p * per : (p + 1) * per]))
         for i, d, s in search.search_shard(shard, q, avg, best, 5):
             found[i] += [(-x, y) for x, y in zip(s.tolist(), d.tolist())]
     for i, text in enumerate(long):
@@ -205,7 +205,7 @@ def test_windows_of_the_language_model_overlap():
 
 def test_search_keeps_small_positive_scores():
     texts = ["common word"] * 40
-    shard, q = search.pack(list(range(40)), texts), search.Block([(0, "common")])
+    shard, q = search.pack(pa.array(range(40)), pa.array(texts)), search.Block([(0, "common")])
     q.idf = np.array([math.log(1 + 0.5 / 20_000.5)])  # a term that all of 20,000 documents hold
     (_, d, s), = search.search_shard(shard, q, 2.0, np.full((1, 5), -np.inf), 5)
     assert d.tolist() == [0, 1, 2, 3, 4] and (s == 0.000025).all()
