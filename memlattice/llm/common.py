@@ -131,9 +131,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(all words of the texts in order, lower-cased A-Z; their number in each text)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
-    full = pc.not_equal(pc.binary_length(flat), 0)
-    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    return flat.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    del lists
+    if full.all():
+        return flat, n
+    return flat.filter(pa.array(full)), np.bincount(np.repeat(np.arange(len(texts)), n)[full], minlength=len(texts))
 
 
 def quoted(name: str) -> str:
