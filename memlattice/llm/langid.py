@@ -5,11 +5,14 @@ softmax. A text is cut into windows of ``WINDOW`` bytes, the last one padded wit
 log-probabilities decides, so every byte of every text counts. The convolution is one matrix product over unfolded
 windows: narrow filters are padded with zero weights to the widest.
 
-The network is fitted on at most ``MAX_DOCS`` texts of up to ``MAX_BYTES`` bytes with a language, chosen by hash,
-and on up to ``MAX_WINDOWS`` evenly spaced windows of each. Everything is classified whole.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every text is;
-repeated rows get equal results; an empty table gives an empty result; other columns are not touched.
+The network is fitted on a bounded sample: of each language the ``max(LEAST, MAX_DOCS / languages)`` texts of the least
+hashes, of up to ``MAX_BYTES`` bytes, and up to ``MAX_WINDOWS`` evenly spaced windows of each. Every language that has
+a labelled text can be predicted. Everything is classified whole.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every text is; with
+one language alone every text with a letter is of it; very long texts are classified whole, window by window; of equal
+probabilities the first language by code point wins; repeated rows get equal results; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, slices
 
 #: Bound of the training sample.
-MAX_DOCS, MAX_WINDOWS, MAX_BYTES = 800, 6, 65536
+MAX_DOCS, LEAST, MAX_WINDOWS, MAX_BYTES = 800, 20, 6, 65536
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 10
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 FOLDS, HELD = 4, 2
@@ -151,15 +154,20 @@ def predictions(texts: list[str | None], m: Model) -> tuple[list[str], list[floa
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    known = docs.select(F.col(key), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter(F.col("_l").isNotNull() & F.octet_length("_t").between(1, MAX_BYTES) & (remainder(F.col(key), FOLDS) != HELD))
-    per = known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(200).collect()
-    each = max(20, MAX_DOCS // max(1, len(per)))
-    share = F.lit(0)
-    for r in per:
-        share = F.when(F.col("_l") == r["_l"], int(min(1.0, 1.3 * each / r["count"]) * (1 << 20))).otherwise(share)
-    slim = known.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(key, "_t", "_l")
-    got = sorted(slim.limit(int(1.5 * each * max(1, len(per)))).collect(), key=lambda r: (str(r["_l"]), r[0], r["_t"]))
-    return [r["_t"] for r in got], [r["_l"] for r in got]
+    """Texts and languages to learn from, of each language those of the least hashes."""
+    known = docs.select(F.xxhash64(key, text).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    known = known.filter(F.col("l").isNotNull() & F.octet_length("t").between(1, MAX_BYTES) & (remainder(F.col("k"), FOLDS) != HELD))
+    per = known.groupBy("l").count().collect()  # a row for each language
+    if not per:
+        return [], []
+    each = max(LEAST, MAX_DOCS // len(per))
+    share = [(r["l"], int(min(1.0, 1.5 * each / r["count"]) * (1 << 40))) for r in per]
+    of = F.broadcast(docs.sparkSession.createDataFrame(share, "l string, share long"))
+    some = known.join(of, "l").filter(F.pmod("h", F.lit(1 << 40)) <= F.col("share"))
+    first = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "t")
+    got = some.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("l", "n", "t").collect()
+    got = sorted(got, key=lambda r: (r["l"], r["n"]))
+    return [r["t"] for r in got], [r["l"] for r in got]
 
 
 def identified(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

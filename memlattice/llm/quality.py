@@ -1,13 +1,19 @@
 """Quality rules: base figures of each document and cross-document line frequency. DataFrame functions only.
 
-A line is boilerplate on a host when the number of different texts of that host that hold it exceeds
-``greatest(min_texts, least(share * texts of the host, max_texts))``: the limit does not grow with a large host. Such lines are removed; a document that keeps less than
-``min_left`` of its words is depleted and rejected, as is one that fails the base rules.
-
-Defined cases: null and empty texts have no words and fail the base rule; a null source is a host of its own;
-exact copies count once in a line's frequency, so a group of copies is never its own boilerplate; repeated rows
-get equal results; an empty table gives an empty result. Columns beyond the ones named here pass through in
-``clean`` and are not touched.
+A line is boilerplate on a host when the number of different documents of that host that hold it exceeds
+``greatest(min_docs, least(share * documents of the host, max_docs))``: the limit does not grow with a large host. Such
+lines are removed; a document that keeps less than ``min_left`` of its words is depleted and rejected, as is one that
+fails the base rules.
+
+One pass over the texts leaves a narrow row for each document: its figures, and hash and words of each line. All that
+follows joins those rows alone. A line's documents are counted after one exchange on (host, line, document), which has
+no hot key, with map-side sums. Boilerplate lines are broadcast up to ``MANY`` of them; beyond that they are joined by
+a shuffle whose large partitions adaptive execution splits. Texts move once, in ``clean``, and only there.
+
+Defined cases: null and empty texts have no words and fail the base rule; a null source is a host of its own; rows with
+equal ids are one document for a line's count, rows without an id one for each text; exact copies under different ids
+are different documents; repeated rows get equal results; very long texts are taken whole; an empty table gives an empty
+result; other columns pass through ``clean`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,19 +21,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, WORD, nullable_key, saved, words
+from .common import SPACE, SPACE_CHARS, nullable_key, quoted, saved, words
 
 #: Limits of the production query.
-MIN_TEXTS, SHARE, MIN_LEFT = 10, 0.02, 0.5
-#: In more texts than this a line is boilerplate on a host of any size.
-MAX_TEXTS = 200
+MIN_DOCS, SHARE, MIN_LEFT = 10, 0.02, 0.5
+#: In more documents than this a line is boilerplate on a host of any size.
+MAX_DOCS = 200
 #: Up to so many repeated windows of a document are looked up in an array; the result is the same either way.
 FEW = 32
+#: Boilerplate lines (two numbers each) that are broadcast at most.
+MANY = 200_000
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _normal(line: Column) -> Column:
+    """A line without case, outer and repeated white space."""
+    plain = F.translate(F.lower(F.trim(line, F.lit(SPACE_CHARS))), SPACE_CHARS[1:], " " * (len(SPACE_CHARS) - 1))
+    return F.regexp_replace(plain, " {2,}", " ")
 
 
 def _line_key(line: Column) -> Column:
-    """Hash of a line without case, outer and repeated white space."""
-    return F.xxhash64(F.regexp_replace(F.lower(F.trim(line, F.lit(SPACE_CHARS))), SPACE + "{2,}", " "))
+    return F.xxhash64(_normal(line))
 
 
 def _lines(text: Column) -> Column:
@@ -38,88 +52,84 @@ def _has_word(line: Column) -> Column:
     return F.trim(line, F.lit(SPACE_CHARS)) != ""
 
 
-def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def measured(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """(key, host, th, the figures, lines) of each row of df; lines: hash and number of words of each line with a word.
 
     Repeated windows are found inside each row. The hashes of its three-word windows are sorted and equal neighbours
     give the repeated ones; their positions come from a scan where they are few, else from a sort of hashes with
     positions. The words that those windows cover are summed. Rows whose hashes all differ stop at the first step.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_w", words(F.col(text)))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
+    df = df.select(F.col(quoted(key)).alias("key"), nullable_key(F.col(quoted(host))).alias("host"), F.col(quoted(text)).alias("t"))
+    t = F.coalesce("t", F.lit(""))
+    df = df.withColumn("w", words(F.col("t")))
+    df = df.withColumn("n_words", F.size("w").cast("long"))
     df = df.withColumn(
-        "_h3",
-        F.expr("CASE WHEN n_words < 4 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, cast(n_words AS int) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))) END"),
+        "h3",
+        F.expr("CASE WHEN n_words < 4 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, cast(n_words AS int) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))) END"),
     )
-    df = df.withColumn("_s3", F.expr("CASE WHEN size(array_distinct(_h3)) = size(_h3) THEN NULL ELSE sort_array(_h3) END"))
-    df = df.withColumn("_d3", F.expr("CASE WHEN _s3 IS NULL THEN NULL ELSE array_distinct(filter(_s3, (x, j) -> coalesce(get(_s3, j - 1) = x, false))) END"))
-    df = df.withColumn("_t3", F.expr(f"CASE WHEN size(_d3) > {FEW} THEN sort_array(transform(_h3, (h, i) -> struct(h AS h, i AS i))) END"))
+    df = df.withColumn("s3", F.expr("CASE WHEN size(array_distinct(h3)) = size(h3) THEN NULL ELSE sort_array(h3) END"))
+    df = df.withColumn("d3", F.expr("CASE WHEN s3 IS NULL THEN NULL ELSE array_distinct(filter(s3, (x, j) -> coalesce(get(s3, j - 1) = x, false))) END"))
+    df = df.withColumn("t3", F.expr(f"CASE WHEN size(d3) > {FEW} THEN sort_array(transform(h3, (h, i) -> struct(h AS h, i AS i))) END"))
     df = df.withColumn(
-        "_p3",
+        "p3",
         F.expr(
-            f"CASE WHEN size(_d3) <= {FEW} THEN filter(transform(_h3, (h, i) -> CASE WHEN array_contains(_d3, h) THEN i END), i -> i IS NOT NULL) "
-            "WHEN _t3 IS NOT NULL THEN sort_array(transform(filter(transform(_t3, (x, j) -> struct(x.i AS i, coalesce(get(_t3, j - 1).h = x.h, false) OR coalesce(get(_t3, j + 1).h = x.h, false) AS d)), y -> y.d), y -> y.i)) END"
+            f"CASE WHEN size(d3) <= {FEW} THEN filter(transform(h3, (h, i) -> CASE WHEN array_contains(d3, h) THEN i END), i -> i IS NOT NULL) "
+            "WHEN t3 IS NOT NULL THEN sort_array(transform(filter(transform(t3, (x, j) -> struct(x.i AS i, coalesce(get(t3, j - 1).h = x.h, false) "
+            "OR coalesce(get(t3, j + 1).h = x.h, false) AS d)), y -> y.d), y -> y.i)) END"
         ),
     )
-    df = df.withColumn(
-        "n_repeat_words",
-        F.expr("CASE WHEN _p3 IS NULL THEN 0L ELSE aggregate(transform(_p3, (p, j) -> least(3, coalesce(get(_p3, j + 1) - p, 3))), 0L, (a, x) -> a + x) END"),
-    )
-    lines = F.filter(_lines(F.col(text)), _has_word)
-    return (
-        df.withColumn("word_chars", F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("_ln", lines)
-        .withColumn("n_dup_lines", (F.size("_ln") - F.size(F.array_distinct("_ln"))).cast("long"))
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_w", "_h3", "_s3", "_d3", "_t3", "_p3", "_ln")
+    repeated = F.expr("CASE WHEN p3 IS NULL THEN 0L ELSE aggregate(transform(p3, (p, j) -> least(3, coalesce(get(p3, j + 1) - p, 3))), 0L, (a, x) -> a + x) END")
+    df = df.withColumn("n_repeat_words", repeated).withColumn("ln", F.filter(_lines(F.col("t")), _has_word))
+    normal = F.transform("ln", _normal)
+    lines = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("k"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
+    return df.select(
+        "key", "host", F.xxhash64("t").alias("th"), "n_words",
+        F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"), lines.alias("lines"),
     )
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """(_host, _th, _bad): for each host and text hash, the keys of its lines that are above the host's limit."""
-    keyed = df.select(
-        nullable_key(F.col(host)).alias("_host"),
-        F.xxhash64(F.col(text)).alias("_th"),
-        F.array_distinct(F.transform(F.filter(_lines(F.col(text)), _has_word), _line_key)).alias("_lines"),
-    )
-    # explode_outer: explode would have its array computed twice, for a filter on its size
-    lines = saved(keyed.select("_host", "_th", F.explode_outer("_lines").alias("_line")).distinct(), "lines")
-    hosts = lines.select("_host", "_th").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    lines = lines.filter(F.col("_line").isNotNull())
-    bad = (
-        lines.groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_texts)
-        .join(hosts, "_host").filter(F.col("_n") > F.least(share * F.col("_texts"), F.lit(float(max_texts)))).select("_host", "_line")
-    )
-    return lines.join(bad, ["_host", "_line"], "left_semi").groupBy("_host", "_th").agg(F.collect_set("_line").alias("_bad"))
-
-
-def judged(df: DataFrame, host: str = "source", text: str = "text", min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """df with the base figures, removed_words, kept and clean_text (text without its boilerplate lines)."""
-    marked = df.withColumn("_host", nullable_key(F.col(host))).withColumn("_th", F.xxhash64(F.col(text)))
-    marked = marked.join(boilerplate(df, host, text, min_texts, share, max_texts), ["_host", "_th"], "left")
-    based = with_base(marked, text)
-    gone = F.filter(_lines(F.col(text)), lambda x: _has_word(x) & F.array_contains(F.col("_bad"), _line_key(x)))
-    stay = F.filter(_lines(F.col(text)), lambda x: ~(_has_word(x) & F.array_contains(F.col("_bad"), _line_key(x))))
-    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(WORD)))
-    return (
-        based.withColumn("removed_words", F.when(F.col("_bad").isNull(), F.lit(0).cast("long")).otherwise(removed))
-        .withColumn("clean_text", F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_left * F.col("n_words")))
-        .drop("_host", "_th", "_bad")
-    )
+def boilerplate(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line) of the lines above their host's limit; rows: as measured."""
+    doc = F.struct("key", F.when(F.col("key").isNull(), F.col("th")).alias("th")).alias("doc")
+    hosts = rows.select("host", doc).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    held = rows.select("host", doc, F.explode("lines.k").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    limit = F.least(share * F.col("docs"), F.lit(float(max_docs)))
+    return held.filter(F.col("n") > min_docs).join(hosts, "host").filter(F.col("n") > limit).select("host", "line")
+
 
+def judged(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(key, host, th, the figures, bad, removed_words, kept) of each row of df; bad: the keys of its boilerplate lines."""
+    rows = saved(measured(df, key, host, text), "figures")
+    bad = saved(boilerplate(rows, min_docs, share, max_docs), "boilerplate")
+    few = bad.count() <= MANY
+    hits = rows.select("host", "th", F.explode("lines.k").alias("line")).join(F.broadcast(bad) if few else bad, ["host", "line"], "left_semi")
+    hits = hits.groupBy("host", "th").agg(F.collect_set("line").alias("bad"))
+    gone = F.filter("lines", lambda x: F.array_contains(F.col("bad"), x["k"]))
+    removed = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x["w"]), F.lit(0).cast("long"))
+    out = rows.join(hits, ["host", "th"], "left").withColumn("removed_words", removed)
+    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_left * F.col("n_words"))
+    return out.select("key", "host", "th", *FIGURES, "bad", "removed_words", kept.alias("kept"))
 
-def clean(df: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
+
+def clean(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The documents kept, without their boilerplate lines, with the columns of df; n_chars follows the text."""
-    # the numbering keeps the optimizer from pushing the filter below the figures, which would have them computed anew for it
-    out = judged(df, host, text, **limits).withColumn("_stop", F.monotonically_increasing_id())
-    out = out.filter(F.col("kept") & (F.col("_stop") >= 0)).withColumn(text, F.col("clean_text"))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    fate = judged(df, key, host, text, **limits).filter("kept").groupBy("host", "th").agg(F.first("bad").alias("bad"))
+    packed = df.filter(F.octet_length(quoted(text)) > 0).select(
+        F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), nullable_key(F.col(quoted(host))).alias("host"), F.xxhash64(quoted(text)).alias("th")
+    )
+    own = F.col("row").getField(text)
+    stay = F.filter(_lines(own), lambda x: ~(_has_word(x) & F.array_contains(F.col("bad"), _line_key(x))))
+    new = F.when(F.col("bad").isNull(), own).otherwise(F.array_join(stay, "\n"))
+    out = packed.join(fate, ["host", "th"]).select("row", new.alias("new"))
+    cols = []
+    for c in df.columns:
+        value = F.col("new") if c == text else F.length("new").cast(df.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)
+        cols.append(value.alias(c))
+    return out.select(*cols)
 
 
 def op9_quality(docs: DataFrame) -> DataFrame:
-    return judged(docs.select("doc_id", "source", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(docs).select(F.col("key").alias("doc_id"), *FIGURES, "kept")

@@ -1,18 +1,18 @@
 """K-d tree sharding: split at weighted medians along the widest metadata dimension. DataFrame functions only.
 
-Every document has a place in three metadata dimensions: the code of its language, the logarithm of its size and
-a hash of its text. All three follow from the row's own text and language, so equal texts of one language meet
-in one cell of a fixed grid (16 x 64 x 1024) and stay together. The grid is summed once, with map-side
-combination; the tree is then grown on the sums alone, a level at a time: each node takes its widest dimension
-and is cut where the running sum of bytes comes nearest to the share of the leaves on its left. The cuts, one
-for each inner node, become one CASE expression over the rows, so no row is joined or sorted to find its shard.
-A cell that outweighs a small part of a shard (a large group of copies) is dealt into up to 256 chunks by the
-hash of the document's id before the tree is grown; all other groups of equal texts stay whole.
-
-Defined cases: a null text has no bytes and the crc32 of the empty text; a null language is a language of its own;
-repeated rows are placed alike; an empty table gives an empty result. Fewer distinct cells than shards leave
-some shards empty. Slots are numbered within (shard, id hash) buckets and shifted by the sizes of the buckets
-before, so no task needs a whole shard.
+Every document has a place in three metadata dimensions: the logarithm of its number of lines, that of its size, and
+a hash of its text. All three follow from the text alone, so equal texts meet in one cell of a fixed grid
+(16 x 64 x 1024) and stay together. The grid is summed once, with map-side combination; the tree is then grown on the
+sums alone, a level at a time: each node takes its widest dimension and is cut where the running sum of bytes comes
+nearest to the share of the leaves on its left, until each leaf is left with the target, the bytes of one shard. The
+cuts, one for each inner node, become one CASE expression over the rows, so no row is joined or sorted to find its shard.
+Only a text whose copies together outweigh a small part of a shard is dealt into up to 256 chunks, by the hash of
+the documents' ids, before the tree is grown; all other groups of equal texts stay whole.
+
+Defined cases: a null text counts as empty, with no bytes and the crc32 of the empty text; repeated rows are placed
+alike; very long texts count with all their bytes and are never cut; an empty table gives an empty result; fewer distinct
+cells than shards leave some shards empty; other columns are not read. Slots are numbered within (shard, id hash)
+buckets and shifted by the sizes of the buckets before, so no task needs a whole shard.
 """
 
 from __future__ import annotations
@@ -22,27 +22,27 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SHARDS, LANGS, SIZES, HASHES, CHUNKS = 40, 16, 64, 1024, 256
-#: A cell of more than 1/HEAVY of a shard is dealt into chunks. At most SHARDS * HEAVY cells can be that heavy.
+SHARDS, LINES, SIZES, HASHES, CHUNKS = 40, 16, 64, 1024, 256
+#: Copies of one text that outweigh 1/HEAVY of a shard are dealt into chunks. At most SHARDS * HEAVY texts can be that heavy.
 HEAVY = 8
 #: Buckets of a shard for numbering its slots.
 SUBS = 64
 #: Order of the packed fields for a cut along each dimension; equal texts stay neighbours in each.
-_FIELDS = {"l": LANGS, "z": SIZES, "h": HASHES, "c": CHUNKS}
+_FIELDS = {"l": LINES, "z": SIZES, "h": HASHES, "c": CHUNKS}
 _ORDERS = {"l": "lhzc", "z": "zhlc", "h": "hzlc"}
 
 
-def with_cells(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Adds size, text_crc32 and the coordinates l, z, h of the document's cell."""
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    size = F.octet_length(raw).cast("long") + 16
-    return df.withColumns({
-        "size": size,
-        "text_crc32": F.crc32(raw),
-        "l": F.pmod(F.crc32(F.coalesce(F.col(lang), F.lit("\0")).cast("binary")), F.lit(LANGS)).cast("long"),
-        "z": F.least(F.lit(SIZES - 1), F.floor(F.log2(size.cast("double")) * 2)).cast("long"),
-        "h": F.pmod(F.xxhash64(F.col(text)), F.lit(HASHES)).cast("long"),
-    })
+def with_cells(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, size, text_crc32, th, l, z, h): a hash of the text, and the coordinates of the document's cell."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    size = F.octet_length(t).cast("long") + 16
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    return df.select(
+        F.col(key).alias("key"), size.alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("th"),
+        F.least(F.lit(LINES - 1), F.floor(F.log2(lines.cast("double")))).cast("long").alias("l"),
+        F.least(F.lit(SIZES - 1), F.floor(F.log2(size.cast("double")) * 2)).cast("long").alias("z"),
+        F.pmod(F.xxhash64(t), F.lit(HASHES)).cast("long").alias("h"),
+    )
 
 
 def _packed(dim: str) -> Column:
@@ -52,8 +52,8 @@ def _packed(dim: str) -> Column:
     return out
 
 
-def _chunk(key: str, heavy: Column) -> Column:
-    return F.when(heavy, F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(CHUNKS))).otherwise(F.lit(0)).cast("long")
+def _chunk(heavy: Column) -> Column:
+    return F.when(heavy, F.pmod(F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), F.lit(CHUNKS))).otherwise(F.lit(0)).cast("long")
 
 
 def grow(cells: DataFrame, shards: int = SHARDS) -> Column:
@@ -101,27 +101,29 @@ def grow(cells: DataFrame, shards: int = SHARDS) -> Column:
     return leaf(1).cast("int")
 
 
-def sharded(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", shards: int = SHARDS) -> DataFrame:
+def sharded(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of each row of df."""
-    base = saved(with_cells(df.select(F.col(key), F.col(text), F.col(lang)), text, lang).drop(text, lang), "cells")
-    grid = base.groupBy("l", "z", "h").agg(F.sum("size").alias("bytes"))
-    heavy = grid.crossJoin(F.broadcast(base.agg(F.sum("size").alias("all")))).filter(F.col("bytes") * shards * HEAVY > F.col("all"))
-    cells_heavy = [(r["l"] * SIZES + r["z"]) * HASHES + r["h"] for r in heavy.collect()]  # at most shards * HEAVY
-    place = (F.col("l") * SIZES + F.col("z")) * HASHES + F.col("h")
-    rows = base.withColumn("c", _chunk(key, place.isin(cells_heavy) if cells_heavy else F.lit(False)))
+    base = saved(with_cells(df, key, text), "cells")
+    whole = base.agg(F.sum("size").alias("all"))
+    groups = base.groupBy("th").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    heavy = groups.filter("n > 1").crossJoin(F.broadcast(whole)).filter(F.col("bytes") * shards * HEAVY > F.col("all"))  # whole: one row
+    texts = [r["th"] for r in heavy.select("th").collect()]  # at most shards * HEAVY
+    rows = base.withColumn("c", _chunk(F.col("th").isin(texts) if texts else F.lit(False)))
     cells = saved(rows.groupBy("l", "z", "h", "c").agg(F.sum("size").alias("bytes")), "grid")
-    out = rows.withColumn("shard", grow(cells, shards)).select(key, "size", "text_crc32", "shard")
-    return slotted(out, key)
-
-
-def slotted(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds slot, gapless from 0 within shard."""
-    df = df.withColumn("_sub", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(SUBS)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    start = df.groupBy("shard", "_sub").agg(F.count("*").alias("_n")).select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy("shard", "_sub").orderBy(key, "text_crc32", "size")
-    numbered = df.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(start), ["shard", "_sub"]).withColumn("slot", (F.col("_from") + F.col("_at")).cast("long")).drop("_sub", "_from", "_at")
+    out = rows.withColumn("shard", grow(cells, shards)).select("key", "size", "text_crc32", "shard")
+    return slotted(out).withColumnRenamed("key", key)
+
+
+def slotted(df: DataFrame) -> DataFrame:
+    """Adds slot, gapless from 0 within shard; df: (key, size, text_crc32, shard)."""
+    df = df.withColumn("sub", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(SUBS)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    start = df.groupBy("shard", "sub").agg(F.count("*").alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    within = Window.partitionBy("shard", "sub").orderBy("key", "text_crc32", "size")
+    numbered = df.withColumn("at", F.row_number().over(within) - 1)
+    # start: shards * SUBS rows
+    out = numbered.join(F.broadcast(start), ["shard", "sub"]).withColumn("slot", (F.col("from") + F.col("at")).cast("long"))
+    return out.select("key", "size", "text_crc32", "shard", "slot")
 
 
 def op3_shards(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ n - 1 edges. Components over all shards come from rounds of large-star and small
 shared folder; nothing about single documents reaches the driver.
 
 Defined cases: null, empty and blank texts have no words and fingerprint zero, and are linked like any other;
-fewer words than a shingle make one shingle; rows with equal ids are one node with every fingerprint they have;
-an empty table gives an empty result; a null doc_id gets a null component unless its fingerprint links elsewhere.
+fewer words than a shingle make one shingle; rows with equal ids each have their own fingerprint; an empty table
+gives an empty result; a null doc_id gets a null component unless its fingerprint links elsewhere; very long texts are
+read whole; other columns pass through ``one_of_each`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import drop, quoted, saved, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Most fingerprints that the driver sees to grow the top of the tree, and the sampled ones in a leaf.
-SAMPLE, LEAF_SAMPLE = 16384, 64
+#: Most fingerprints that the driver sees to grow the top of the tree, and the sampled ones in a leaf at least; shards
+#: are as many as hold about LEAF fingerprints each, some 4,000 at most.
+LEAF = 20_000
+SAMPLE, LEAF_SAMPLE = 65536, 16
 #: Fingerprints of a bucket that is compared outright, and rows of a block of comparisons.
 BUCKET, BLOCK = 192, 512
 
@@ -188,7 +191,7 @@ def edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
     n = max(1, nodes.count())
     seen = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE * 0.9 / n) * (1 << 20)) + 1)).limit(2 * SAMPLE)
     sample = np.array([x["fp"] for x in seen.collect()], dtype=np.int64).view(np.uint64)  # a bounded sample, for the shape of the tree alone
-    tree = spark.sparkContext.broadcast(top_tree(sample, r, max(LEAF_SAMPLE, int(len(sample) * 2000 / n))))  # at most SAMPLE nodes of four numbers
+    tree = spark.sparkContext.broadcast(top_tree(sample, r, max(LEAF_SAMPLE, int(len(sample) * LEAF / n))))  # at most SAMPLE / LEAF_SAMPLE nodes of four numbers
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,10 +218,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u2"), F.col("m").alias("v2")).filter("u2 <> v2")
         after = saved(small.select(F.col("u2").alias("u"), F.col("v2").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        same = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
-        was = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
+        settled = after.count() == e.count() and after.join(e, ["u", "v"], "left_anti").isEmpty()  # equal sets
+        drop(e)
         e = after
-        if same == was:
+        if settled:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("components did not settle")
 
@@ -392,12 +395,13 @@ def _named(made: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the rows whose group holds a smaller key; of repeated rows with that key, one stays; null keys stay."""
-    named = saved(near_duplicates(df, key, text), "groups")
-    keep = named.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_n"))
-    marked = df.join(keep, key).select(*[F.col(f"`{c}`") for c in df.columns], "_n")
-    single = marked.filter("_n = 1").drop("_n")
-    repeated = marked.filter("_n > 1").drop("_n").dropDuplicates([key])
-    return single.unionByName(repeated).unionByName(df.filter(F.col(key).isNull()))
+    named = saved(near_duplicates(df.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")), "k", "t"), "groups")
+    keep = named.filter(F.col("k") == F.col("component_id")).groupBy("k").agg(F.count("*").alias("n"))
+    packed = df.select(F.col(quoted(key)).alias("k"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
+    marked = packed.join(keep, "k")
+    out = marked.filter("n = 1").select("row").unionByName(marked.filter("n > 1").groupBy("k").agg(F.first("row").alias("row")).select("row"))
+    out = out.unionByName(packed.filter(F.col("k").isNull()).select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op6_neardup(docs: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ table of pre-tokens that are frequent in a bounded sample, broadcast as one byte
 What it misses is encoded by the tokenizer itself, each pre-token once for as long as the worker's cache holds it.
 No pre-token is ever shuffled. The table only saves work: any table gives the same counts.
 
-Normalising and splitting in Python equals the library's for text of the characters in ``PLAIN``; a text with any
-other character is encoded whole by the library.
+Normalising and splitting in Python equals the library's for text of the characters in ``PLAIN`` (Latin) and ``WIDE``
+(punctuation, symbols, emoji, Cyrillic, kana, Han, Hangul); a text with any other character, such as combining marks or
+letters whose lower case depends on their place, is encoded whole by the library.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens; strings of special tokens inside texts are ordinary
-text; repeated rows count alike; an empty table gives an empty result; other columns are not touched.
+text; very long texts are counted whole; repeated rows count alike; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,12 @@ _LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺ
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 #: Printable ASCII, tab, line ends and precomposed Latin letters: stable under NFC, with one lower-case letter each.
 PLAIN = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ķĹ-ľŁ-ňŊ-ž]*")
+#: The same pattern by Unicode classes, and the further characters that are stable under NFC with one lower-case letter.
+WIDE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+WIDE = re.compile(
+    r"[\x20-\x7e\t\n\r\xa1-\xac\xae-\xb4\xb6-ķĹ-ľŁ-ňŊ-žА-яЁё\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff\u2200-\u22ff\u25a0-\u26ff"
+    r"\u3001-\u3003\u3008-\u3011\u3014-\u301b\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001faff]*"
+)
 
 
 def tokenizer(path: str):
@@ -48,8 +57,13 @@ def tokenizer(path: str):
     return t
 
 
-def _plain(text: str) -> bool:
-    return PLAIN.fullmatch(text) is not None and "İ" not in text and "ı" not in text
+def pretokens(text: str) -> list[str] | None:
+    """The pre-tokens of text, or None if only the library can tell."""
+    if "İ" in text or "ı" in text:
+        return None
+    if PLAIN.fullmatch(text):
+        return SPLIT.findall(text.lower())
+    return WIDE_SPLIT.findall(text.lower()) if WIDE.fullmatch(text) else None
 
 
 class Counts(dict):
@@ -75,17 +89,15 @@ class Counts(dict):
     def of(self, text: str | None) -> int:
         if not text:
             return 0
-        if not _plain(text):
-            return self.library(text)
-        return sum(map(self.__getitem__, SPLIT.findall(text.lower())))
+        found = pretokens(text)
+        return self.library(text) if found is None else sum(map(self.__getitem__, found))
 
 
 def frequent(texts: list[str], path: str, size: int = TABLE) -> tuple[bytes, bytes]:
     """The table in compact form: pre-tokens joined by line ends, and a byte of length for each."""
     seen: Counter = Counter()
     for t in texts:
-        if t and _plain(t):
-            seen.update(SPLIT.findall(t.lower()))
+        seen.update((pretokens(t) if t else None) or [])
     pieces = [p for p, n in seen.most_common(size) if n > 1]
     encoded = tokenizer(path).encode_batch(pieces, add_special_tokens=False) if pieces else []
     pairs = [(p, len(e.ids)) for p, e in zip(pieces, encoded) if len(e.ids) < 256]

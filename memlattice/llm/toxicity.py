@@ -6,11 +6,13 @@ into a softmax over {clean, toxic}. A document's margin is pooled over its windo
 largest at scoring, so a few words in a long text are not averaged away. As the softmax is linear, a trained word
 is worth one number, which scoring keeps in a bounded cache; unseen misspellings share n-grams and need no training.
 
-The classifier is fitted on at most ``MAX_DOCS`` labelled documents of each class, chosen by hash, of up to
-``MAX_BYTES`` bytes. Everything is scored whole.
+The classifier is fitted on at most ``MAX_DOCS`` labelled documents of each class, those of the least hashes of their
+ids, of up to ``MAX_BYTES`` bytes. Everything is scored whole.
 
 Defined cases: null and empty texts have no window and score the softmax's bias; no labels at all give score 0;
-a null label is no label; several labels of a document count as toxic if any is; repeated rows score alike.
+a null label is no label; several labels of a document count as toxic if any is; of several texts under one id the least
+is learned from; very long texts are scored whole, window by window; repeated rows score alike; an empty table gives an
+empty result; other columns pass through ``clean`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder, slices
+from .common import fresh, quoted, remainder, slices
 
 #: Bound of the training sample.
 MAX_DOCS, MAX_BYTES = 1000, 65536
@@ -117,6 +120,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     words, counts = _split(texts)
     known = {w: i for i, w in enumerate(dict.fromkeys(words))}
     token = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+    del words
     ids, at = bags(list(known))
     size = np.bincount(at, minlength=len(known)).astype(np.float64)
     starts, doc = _windows(counts)
@@ -182,24 +186,28 @@ def scores(texts: list[str | None], model: Model, cache: dict[str, float]) -> np
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int | None = FOLDS) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: labelled rows outside fold 0, at most MAX_DOCS of each class."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).filter(F.octet_length("_text") <= MAX_BYTES)
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
+    rows = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).filter(F.octet_length("t") <= MAX_BYTES)
     if folds:
-        rows, known = rows.filter(remainder(F.col(key), folds) != 0), known.filter(remainder(F.col(key), folds) != 0)
-    n = known.groupBy("_y").count().collect()
-    share = {int(r["_y"]): min(1.0, 1.1 * MAX_DOCS / r["count"]) for r in n}
-    keep = F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.when(F.col("_y") > 0, int(share.get(1, 1) * (1 << 20))).otherwise(int(share.get(0, 1) * (1 << 20)))
-    chosen = F.broadcast(known.filter(keep).limit(3 * MAX_DOCS))  # a bounded number of ids, so that no text is shuffled
-    got = rows.join(chosen, key).select(key, "_text", "_y").collect()
-    got = sorted(got, key=lambda r: (r[0], r[1]))
-    taken: list = []
-    for y in (0, 1):
-        taken += [r for r in got if (r[2] > 0) == y][:MAX_DOCS]
-    return [r[1] for r in taken], [int(r[2] > 0) for r in taken]
-
-
-def scored(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with score, the probability of toxic; every column of docs is kept."""
+        rows, known = rows.filter(remainder(F.col("k"), folds) != 0), known.filter(remainder(F.col("k"), folds) != 0)
+    # each class by its hashes: a share that holds enough of it, of which the least are taken
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = None
+    for y, count in sorted(n.items()):
+        share = int(min(1.0, 1.5 * MAX_DOCS / count) * (1 << 40))
+        own = known.filter((F.col("y") == y) & (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) <= share))
+        own = own.orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 40)), "k").limit(MAX_DOCS)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    if chosen is None:
+        return [], []
+    # at most 2 * MAX_DOCS ids, so that no text is shuffled to find them; one text for each
+    got = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    got = sorted(got, key=lambda r: (r["y"], r["k"]))
+    return [r["t"] for r in got], [r["y"] for r in got]
+
+
+def scored(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """docs with the probability of toxic; every column of docs is kept, and `into` must be none of them."""
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
     names = docs.columns
     at = names.index(text)
@@ -208,11 +216,9 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, at)):
             p = scores(b.column(at).to_pylist(), shared.value, local)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, into])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,4 +229,6 @@ def op2_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Dat
 
 def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below limit, learned from the labels outside fold 0."""
-    return scored(spark, docs, fit(*sample(docs, labels))).filter(F.col("score") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = fresh("score", docs.columns)
+    out = scored(spark, docs, fit(*sample(docs, labels)), into=into)
+    return out.filter(F.col(into) < limit).select(*[F.col(quoted(c)) for c in docs.columns])
