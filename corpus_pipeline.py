@@ -1,4 +1,11 @@
-"""A training-data pipeline over documents: quality, toxicity, near copies, mixing, pieces."""
+"""A training-data pipeline over documents: quality, toxicity, near copies, mixing, pieces.
+
+Defined cases, stage by stage as its operator states them: null, empty and blank texts fail the quality rules and go; a
+null source is a source of its own, a null id a document of its own that is never a near copy; rows with equal ids are
+judged each by its text, and of those with the smallest id of a group of near copies one stays; very long texts are
+taken whole in every stage; of a group of equal or near copies the smallest id wins; an empty table gives an empty
+result in every stage; other columns, whatever their names, pass all stages but the last unchanged.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm import mixing, pieces, quality, simhash, toxicity
-from memlattice.llm.common import documents, saved
+from memlattice.llm.common import documents, drop_saved, saved
 from memlattice.llm.queries import tokenizer_path
 
 
@@ -47,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        drop_saved(spark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_placeholder
+from ..functions.numbering import hash_order, numbered
 
 KEY = ["platform", "subject_uid", "object_uid", "relation_label"]
 
@@ -80,10 +81,8 @@ def upserted(edges: DataFrame, rows: DataFrame, now: Column, stopwords: list[str
         )
 
     j = j.withColumn("_end", F.when(new, F.aggregate(steps, start, step)))
-    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = Window.partitionBy(old).orderBy(*KEY)
-    out = j.crossJoin(F.broadcast(top)).select(
-        F.when(old, F.col("id")).otherwise(F.col("_top") + F.row_number().over(fresh)).cast("long").alias("id"), *KEY,
+    out = j.select(
+        "id", *KEY,
         F.coalesce("_sn.v", "subject_name", "_sn1").alias("subject_name"), F.coalesce("_on.v", "object_name", "_on1").alias("object_name"),
         F.coalesce("_st", "statement").alias("statement"), F.coalesce("_end.status", "status").alias("status"),
         F.when(F.col("_high") == 1, "high").otherwise(F.coalesce("confidence", "_c1")).alias("confidence"),
@@ -91,7 +90,15 @@ def upserted(edges: DataFrame, rows: DataFrame, now: Column, stopwords: list[str
         F.coalesce("first_seen", "_at1").alias("first_seen"), F.greatest("last_seen", "_at").alias("last_seen"), F.greatest("occurred_at", "_at").alias("occurred_at"),
         F.when(new, now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    return out
+    # only new edges are numbered, in the order of a hash of their key
+    top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    fresh = out.filter(F.col("id").isNull()).drop("id").crossJoin(F.broadcast(top))
+    fresh = numbered(fresh, hash_order(*KEY), KEY, "id", F.col("_top")).drop("_top")
+    return out.filter(F.col("id").isNotNull()).unionByName(fresh)
+
+
+def _or_null(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def superseded(edges: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
@@ -99,10 +106,12 @@ def superseded(edges: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     if "expected_updated_at" not in ids.columns:
         ids = ids.withColumn("expected_updated_at", F.lit(None).cast("timestamp"))
     j = edges.join(ids.select("id", F.substring("reason", 1, 200).alias("_r"), "expected_updated_at", F.lit(True).alias("_hit")), "id", "left")
-    hit = F.coalesce("_hit", F.lit(False)) & (F.col("status") != "superseded") & (F.col("expected_updated_at").isNull() | (F.col("expected_updated_at") == F.col("updated_at")))
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("status") != "superseded") & (F.col("expected_updated_at").isNull() | F.col("expected_updated_at").eqNullSafe(F.col("updated_at")))
     return j.withColumns({
-        "status": F.when(hit, "superseded").otherwise(F.col("status")), "supersede_reason": F.when(hit & (F.coalesce("_r", F.lit("")) != ""), F.col("_r")).otherwise(F.col("supersede_reason")),
-        "superseded_at": F.when(hit, now).otherwise(F.col("superseded_at")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+        "status": F.when(hit, "superseded").otherwise(F.col("status")),
+        "supersede_reason": F.when(hit & (F.coalesce("_r", F.lit("")) != ""), F.col("_r")).otherwise(_or_null(edges, "supersede_reason", "string")),
+        "superseded_at": F.when(hit, now).otherwise(_or_null(edges, "superseded_at", "timestamp")),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
     }).select(*edges.columns)
 
 
@@ -111,11 +120,22 @@ def _sources(key: Column) -> Column:
 
 
 def only_dead_sources(edges: DataFrame, dead: DataFrame) -> DataFrame:
-    """Active edges whose every evidence key is a backfill of a dead cluster; dead: (cluster_id). Keys are exploded and joined, not collected."""
-    keys = edges.filter("status = 'active' AND size(evidence_keys) > 0").select("id", F.explode("evidence_keys").alias("k")).withColumn("cluster_id", _sources(F.col("k")))
-    ok = keys.join(dead.select("cluster_id").distinct().withColumn("_dead", F.lit(True)), "cluster_id", "left")
-    all_dead = ok.groupBy("id").agg(F.every(F.coalesce("_dead", F.lit(False))).alias("_all")).filter("_all").select("id")
-    return edges.join(all_dead, "id", "left_semi")
+    """Active edges all of whose evidence is a backfill of clusters in dead: (cluster_id).
+
+    Any other evidence protects an edge; a backfill key without a number says nothing. Keys are exploded and joined.
+    """
+    backfill = F.startswith(F.col("k"), F.lit("backfill|"))
+    keys = edges.filter("status = 'active'").select("id", F.explode("evidence_keys").alias("k")).withColumn("cluster_id", _sources(F.col("k")))
+    keys = keys.filter(~backfill | F.col("cluster_id").isNotNull())
+    known = keys.join(dead.select("cluster_id").distinct().withColumn("_dead", F.lit(True)), "cluster_id", "left")
+    doomed = known.groupBy("id").agg(F.every(F.coalesce("_dead", F.lit(False))).alias("_all")).filter("_all").select("id")
+    return edges.join(doomed, "id", "left_semi")
+
+
+def retired(edges: DataFrame, dead: DataFrame, now: Column, reason: str = "source cluster removed") -> DataFrame:
+    """edges after the clusters (cluster_id) were replaced, killed or deleted: those that rest on them alone are put down."""
+    doomed = only_dead_sources(edges, dead).select("id").withColumn("reason", F.lit(reason))
+    return superseded(edges, doomed, now)
 
 
 def canonical_names(aliases: DataFrame) -> DataFrame:
@@ -157,12 +177,49 @@ def for_audit(edges: DataFrame, after_id: int, limit: int) -> DataFrame:
     return edges.filter((F.col("status") == "active") & (F.col("id") > after_id)).orderBy("id").limit(limit)
 
 
+def verdict_ids(verdicts: DataFrame) -> DataFrame:
+    """verdicts (id as given, verdict, ...) with whole-number ids and known verdicts: 1.0 counts as 1, 1.9 and true do not."""
+    text = F.trim(F.col("id").cast("string"))
+    ok = text.rlike(r"^[0-9]+([.]0+)?$") & F.lower("verdict").isin("ok", "bad")
+    return verdicts.filter(F.coalesce(ok, F.lit(False))).withColumn("id", F.regexp_replace(text, "[.]0+$", "").cast("long")).withColumn("verdict", F.lower("verdict"))
+
+
 def audited(edges: DataFrame, batch: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
     """edges after an audit: (id, verdict, reason); a batch not fully judged changes nothing."""
-    if batch.join(verdicts, "id", "left_anti").limit(1).count():
-        return edges
-    bad = batch.select("id", F.col("updated_at").alias("expected_updated_at")).join(verdicts.filter("verdict = 'bad'"), "id").select("id", "reason", "expected_updated_at")
-    return superseded(edges, bad, now)
+    open_ = batch.join(verdicts, "id", "left_anti").agg((F.count("*") == 0).alias("_whole"))  # one row
+    bad = batch.select("id", F.col("updated_at").alias("expected_updated_at")).join(verdicts.filter("verdict = 'bad'"), "id")
+    return superseded(edges, bad.crossJoin(F.broadcast(open_)).filter("_whole").select("id", "reason", "expected_updated_at"), now)
+
+
+#: Edges of an audit batch, batches of a cycle, and failures after which a batch is skipped.
+AUDIT_BATCH, AUDIT_CALLS, AUDIT_FAILURES = 20, 3, 3
+
+
+def audit_pass(edges: DataFrame, verdicts: DataFrame, now: Column, after_id: int = 0, failures: int = 0) -> tuple[DataFrame, int, int]:
+    """(edges, watermark, failures) after a cycle's audit: batches in id order past the watermark, as far as they are judged.
+
+    verdicts: (id, verdict, reason) as given. The first batch not fully judged ends the pass and counts a failure; after
+    AUDIT_FAILURES of them it is passed over. Past the last edge the watermark starts anew.
+    """
+    given = verdict_ids(verdicts)
+    batch = for_audit(edges, after_id, AUDIT_BATCH * AUDIT_CALLS)
+    judged = given.select("id").distinct().withColumn("_judged", F.lit(True))
+    ids = [(r["id"], bool(r["_judged"])) for r in batch.select("id").join(judged, "id", "left").orderBy("id").collect()]  # at most AUDIT_BATCH * AUDIT_CALLS
+    done: list[int] = []
+    for at in range(0, len(ids), AUDIT_BATCH):
+        part = ids[at : at + AUDIT_BATCH]
+        if all(ok for _, ok in part):
+            done += [i for i, _ in part]
+            after_id, failures = part[-1][0], 0
+            continue
+        failures += 1
+        if failures >= AUDIT_FAILURES:
+            after_id, failures = part[-1][0], 0
+        break
+    if len(ids) < AUDIT_BATCH * AUDIT_CALLS and len(done) == len(ids):
+        after_id = 0
+    own = batch.filter(F.col("id").isin(*done) if done else F.lit(False))
+    return audited(edges, own, given, now), after_id, failures
 
 
 def probe(edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -171,6 +228,28 @@ def probe(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return edges.filter("status <> 'superseded'").select(*KEY).join(rows.select(*KEY).unionByName(back).distinct(), KEY, "left_semi").distinct()
 
 
+def confirmed(clusters: DataFrame, after_id: int = 0, bot: str = "") -> DataFrame:
+    """(n): how many confirmed clusters with a statement lie past a watermark."""
+    return backfill_sources(clusters, after_id, None, bot).agg(F.count("*").alias("n"))
+
+
+def backfill_pass(clusters: DataFrame, edges: DataFrame, extracted: DataFrame, known: DataFrame, now: Column, after_id: int = 0, revived: DataFrame | None = None, limit: int = 40, cap: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(edges, clusters read) after one batch: the next `limit` sources past the watermark and up to `cap` revived ones (cluster_id).
+
+    extracted: relations found in their statements; they count as evidence once for each source.
+    """
+    batch = backfill_sources(clusters, after_id, limit)
+    if revived is not None:
+        again = clusters.join(revived.select(F.col("cluster_id").alias("id")).distinct().orderBy("id").limit(cap), "id", "left_semi")
+        batch = batch.unionByName(backfill_sources(again, 0, None)).dropDuplicates(["id"])
+    rows = backfill_rows(extracted, batch, known).select(
+        "platform", F.col("subject_user_id").alias("subject_uid"), F.col("object_user_id").alias("object_uid"), F.col("label").alias("relation_label"),
+        F.col("subject_display_name").alias("subject_name"), F.col("object_display_name").alias("object_name"), "statement", "confidence", "occurred_at",
+        "evidence_key", F.col("cluster_id").alias("pos"), F.lit(True).alias("count_on_conflict"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"),
+    )
+    return upserted(edges, rows, now), batch.select(F.col("id").alias("cluster_id"))
+
+
 def backfill_sources(clusters: DataFrame, after_id: int, limit: int | None, bot: str = "") -> DataFrame:
     """Confirmed clusters with a statement, in id order past a watermark."""
     out = clusters.filter(F.col("status").isin("active", "profiled") & (F.trim("canonical_statement") != "") & (F.col("id") > after_id) & (F.col("user_id") != bot)).orderBy("id")
@@ -205,6 +284,52 @@ def selected(edges: DataFrame, text: str, nodes: list[str], bots: list[str], pla
     return out.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_anchor).orderBy(F.desc("evidence_count"), F.desc("last_seen"), "id").limit(total).drop("rn")
 
 
+#: How a relation reads as a sentence.
+IS_OF, IS = "的", "是"
+
+
+def statement_lines(edges: DataFrame, bots: list[str], platform: str, nickname: str, qualifier: Column | None = None) -> DataFrame:
+    """edges with line: who is whose what, by name and number, bots by their nickname, the qualifier in brackets behind it."""
+    bot = F.array(*map(F.lit, bots)).cast("array<string>")
+
+    def end(uid: str, name: str) -> Column:
+        own = F.trim(F.coalesce(F.col(name), F.lit("")))
+        named = F.when((F.col("platform") == platform) & F.array_contains(bot, F.col(uid)) & (F.lit(nickname) != ""), F.lit(nickname)).otherwise(own)
+        shown = F.concat(F.when(named == "", F.col(uid)).otherwise(named), F.lit("("), F.col(uid), F.lit(")"))
+        return F.when(F.coalesce(F.col(uid), F.lit("")) == "", F.when(own == "", F.lit("?")).otherwise(own)).otherwise(shown)
+
+    line = F.concat(end("subject_uid", "subject_name"), F.lit(IS_OF), F.coalesce("relation_label", F.lit("")), F.lit(IS), end("object_uid", "object_name"))
+    if qualifier is not None:
+        line = F.when(F.coalesce(qualifier, F.lit("")) == "", line).otherwise(F.concat(line, F.lit("（"), qualifier, F.lit("）")))
+    return edges.withColumn("line", line)
+
+
+def neighbours(selected_edges: DataFrame, order: list[Column], nodes: list[str], bots: list[str], platform: str, limit: int) -> DataFrame:
+    """(platform, uid, name): endpoints of the selected edges that are no node and no bot, each once, in the edges' order.
+
+    selected_edges: a bounded number of rows, as `selected` gives.
+    """
+    at = selected_edges.withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("subject_uid").alias("uid"), F.col("subject_name").alias("n")), F.struct(F.lit(1).alias("side"), F.col("object_uid").alias("uid"), F.col("object_name").alias("n")))
+    rows = at.select("platform", "_at", F.explode(ends).alias("e")).select("platform", "_at", "e.*").filter(F.coalesce("uid", F.lit("")) != "")
+    if bots:
+        rows = rows.filter(~((F.col("platform") == platform) & F.col("uid").isin(*bots)))
+    if nodes:
+        rows = rows.filter(~F.concat("platform", F.lit(":"), "uid").isin(*nodes))
+    one = rows.groupBy("platform", "uid").agg(F.min(F.struct("_at", "side", F.trim(F.coalesce("n", F.lit(""))).alias("name"))).alias("m"))
+    return one.orderBy("m").limit(limit).select("platform", "uid", F.col("m.name").alias("name"))
+
+
+def delete_edge(edges: DataFrame, row_id: int) -> DataFrame:
+    return edges.filter(F.col("id") != row_id)
+
+
+def graph_stats(edges: DataFrame, limit: int = 500) -> DataFrame:
+    """One row: edges in all and by status, and how many of them are shown."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("active", "pending", "superseded")]
+    return edges.agg(F.count("*").alias("total"), *counts).withColumn("shown", F.least(F.col("total"), F.lit(limit)))
+
+
 def graph(edges: DataFrame, aliases: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) to show: the best edges, their endpoints with degree and the name to display."""
     top = edges.orderBy(F.desc("evidence_count"), F.desc("last_seen"), "id").limit(limit)

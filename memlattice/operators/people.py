@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import cleaned_alias, is_placeholder, normalized_alias, uid_codes, variants
 
 OWNER = ["platform", "user_id"]
+#: Names that are broadcast to the texts at most; beyond that, grams meet them by a shuffle that adaptive execution splits.
+MANY = 50_000
 
 
 def alias_rows(seen: DataFrame, source: str, cap: int = 8) -> DataFrame:
@@ -64,12 +66,33 @@ def matched(texts: DataFrame, aliases: DataFrame, window: DataFrame | None = Non
         names = names.filter("n = 1")
     names = names.withColumn("g", F.substring("key", 1, gram))
     t = texts.select("text_id", normalized_alias("text").alias("t")).filter(F.length("t") >= gram)
+    if names.limit(MANY + 1).count() <= MANY:
+        # a bounded dictionary goes to the texts: no gram is shuffled, so none can be hot
+        names = F.broadcast(names)
     grams = t.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - gram + 1), lambda i: F.substring(F.col("t"), i, F.lit(gram))))))
     hits = grams.join(names, "g").filter(F.contains("t", "key"))
     w = Window.partitionBy("text_id").orderBy(F.desc(F.length("key")), "key", *OWNER)
     return hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).select("text_id", *OWNER, "name")
 
 
+def resolved(aliases: DataFrame, name: str) -> DataFrame:
+    """(platform, user_id) that a tool's argument names: one row, or none if the name is unknown or means several."""
+    own = aliases.filter(normalized_alias("name") == normalized_alias(F.lit(name))).select(*OWNER).distinct()
+    n = own.agg(F.count("*").alias("_n"))  # one row
+    return own.crossJoin(F.broadcast(n)).filter("_n = 1").drop("_n")
+
+
+def with_window(directory: DataFrame, window: DataFrame, cap: int = 4) -> DataFrame:
+    """(text_id, platform, user_id, name): people matched by the session window and by the directory, the window's first, at most cap.
+
+    Both: (text_id, platform, user_id, name). A person counts once, under the name of the window.
+    """
+    both = window.withColumn("src", F.lit(0)).unionByName(directory.withColumn("src", F.lit(1)))
+    one = both.groupBy("text_id", *OWNER).agg(F.min(F.struct("src", (-F.length("name")).alias("long"), "name")).alias("m"))
+    w = Window.partitionBy("text_id").orderBy("m", *OWNER)
+    return one.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).select("text_id", *OWNER, "m.name")
+
+
 def sections(profiles: DataFrame, clusters: DataFrame, limit: int = 5) -> DataFrame:
     """Profile rows by user and category, at most `limit` each: recent ones latest first, others by score."""
     j = profiles.join(clusters.select(F.col("id").alias("cluster_id"), "occurred_at"), "cluster_id", "left")
@@ -90,16 +113,18 @@ def sections_multi(profiles: DataFrame, clusters: DataFrame, owners: DataFrame,
 
 
 def uncertain(clusters: DataFrame, owners: DataFrame | None = None, limit: int = 5) -> DataFrame:
-    """Statements that are uncertain or waiting, latest first. Over several accounts repeats go after the limit, so fewer may stay."""
-    rows = clusters.filter("status = 'pending_uncertain'")
+    """Statements that wait or were replaced, latest first. Over several accounts repeats go after the limit, so fewer may stay."""
+    rows = clusters.filter("status IN ('pending_uncertain', 'replaced')")
     order = [F.desc("occurred_at"), F.desc("score"), F.desc("updated_at"), F.col("id")]
     if owners is None:
         return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*OWNER).orderBy(*order))).filter(F.col("rn") <= limit).drop("rn")
     return rows.join(owners.distinct(), OWNER).orderBy(*order).limit(limit).dropDuplicates(["canonical_statement"])
 
 
-def latest_names(facts: DataFrame) -> DataFrame:
-    """(platform, user_id, display_name): the latest non-empty one."""
+def latest_names(facts: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """(platform, user_id, display_name): the latest non-empty one, of the owners (platform, user_id) asked for."""
+    if owners is not None:
+        facts = facts.join(owners.distinct(), OWNER)
     return facts.filter(F.coalesce("display_name", F.lit("")) != "").groupBy(*OWNER).agg(F.max_by("display_name", F.struct("occurred_at", "id")).alias("display_name"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import search_text
+from ..functions.numbering import hash_order, numbered
 from ..schemas import TABLES
 
 
@@ -77,9 +78,10 @@ class Store:
         return [v for v, _ in new]
 
 
-def _next_ids(rows: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
+def _next_ids(rows: DataFrame, old: DataFrame, at: Column, ties: list[str]) -> DataFrame:
+    """rows with ids behind the last one of old, in the order of at and ties."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return rows.crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.row_number().over(Window.orderBy(*order))).cast("long")).drop("_top")
+    return numbered(rows.crossJoin(F.broadcast(top)), at, ties, "id", F.col("_top")).drop("_top")  # top: one row
 
 
 def _insert(old: DataFrame, new: DataFrame, now: Column, extra: dict[str, Column]) -> DataFrame:
@@ -87,7 +89,7 @@ def _insert(old: DataFrame, new: DataFrame, now: Column, extra: dict[str, Column
     w = Window.partitionBy("document_id").orderBy("occurred_at", F.xxhash64(*[c for c in new.columns if c != "participants"]))
     fresh = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(old.select("document_id"), "document_id", "left_anti")
     fresh = fresh.withColumn("occurred_at", F.least("occurred_at", now)).withColumns(extra)
-    return old.unionByName(_next_ids(fresh, old, ["occurred_at", "document_id"]).select(*[c for c in old.columns if c in fresh.columns or c == "id"]), allowMissingColumns=True)
+    return old.unionByName(_next_ids(fresh, old, F.unix_micros(F.col("occurred_at").cast("timestamp")), ["document_id"]).select(*[c for c in old.columns if c in fresh.columns or c == "id"]), allowMissingColumns=True)
 
 
 def insert_summaries(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -103,7 +105,7 @@ def upsert_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     name = new.select("document_id", F.col("display_name").alias("_n"))
     kept = old.join(name, "document_id", "left").withColumn("display_name", F.coalesce(F.nullif("_n", F.lit("")), "display_name")).select(*old.columns)
     fresh = new.join(old.select("document_id"), "document_id", "left_anti").withColumn("extracted_flag", F.lit(0))
-    return kept.unionByName(_next_ids(fresh, old, ["document_id"]), allowMissingColumns=True)
+    return kept.unionByName(_next_ids(fresh, old, hash_order("document_id"), ["document_id"]), allowMissingColumns=True)
 
 
 # -- scans for background work --------------------------------------------------------------------------------
@@ -155,9 +157,9 @@ def id_map(source: DataFrame, target: DataFrame, unique: list[str]) -> DataFrame
     """(old_id, new_id): rows with a known unique key keep the target's id, the others go behind its last."""
     known = target.select(*unique, F.col("id").alias("_have"))
     j = source.select(F.col("id").alias("old_id"), *unique).join(known, unique, "left")
-    top = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    w = Window.partitionBy(F.col("_have").isNull()).orderBy("old_id")
-    return j.crossJoin(F.broadcast(top)).select("old_id", F.coalesce("_have", F.col("_top") + F.row_number().over(w)).cast("long").alias("new_id"))
+    fresh = _next_ids(j.filter(F.col("_have").isNull()).select("old_id"), target, F.col("old_id"), ["old_id"])
+    have = j.filter(F.col("_have").isNotNull()).select("old_id", F.col("_have").cast("long").alias("new_id"))
+    return have.unionByName(fresh.select("old_id", F.col("id").alias("new_id")))
 
 
 def remapped(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
