@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,15 +87,35 @@ def search_text(text: Column) -> Column:
     return F.array_join(search_tokens(text), " ")
 
 
+def _dot(u: Column, v: Column) -> Column:
+    return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null for a missing, empty or zero vector, or for different lengths."""
     x, y = a.cast("array<double>"), b.cast("array<double>")
+    norm = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.when(norm > 0, _dot(x, y) / norm))
+
 
-    def dot(u: Column, v: Column) -> Column:
-        return F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+#: Dimensions up to which a product with a given vector is spelled out, so that it is compiled.
+SPELLED = 128
 
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.when(norm > 0, dot(x, y) / norm))
+
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """The cosine of a to a given vector, whose length is taken once; null as in cosine."""
+    norm = sum(x * x for x in query) ** 0.5
+    if not query or norm == 0:
+        return F.lit(None).cast("double")
+    x = a.cast("array<double>")
+    if len(query) <= SPELLED:
+        dot, own = F.lit(0.0), F.lit(0.0)
+        for i, q in enumerate(query):
+            e = F.get(x, F.lit(i))
+            dot, own = dot + e * F.lit(float(q)), own + e * e
+    else:
+        dot, own = _dot(x, F.array(*[F.lit(float(q)) for q in query])), _dot(x, x)
+    return F.when((F.size(a) == len(query)) & (own > 0), dot / (F.sqrt(own) * F.lit(norm)))
 
 
 def parse_vector(text: Column) -> Column:
@@ -103,6 +124,49 @@ def parse_vector(text: Column) -> Column:
     return F.when(F.exists(v, lambda x: x.isNull()), None).otherwise(v)
 
 
+def packed_vector(raw: Column, dims: Column | None = None) -> Column:
+    """A vector from little-endian 32-bit floats; a length that is no multiple of 4, or not dims, is null."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None or not len(b) or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+    v = read(raw)
+    return v if dims is None else F.when(F.size(v) == dims, v)
+
+
+def iso_time(ts: Column) -> Column:
+    """A time as the text that the row store keeps: UTC, microseconds."""
+    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def json_list(text: Column) -> Column:
+    """An array of strings from its JSON text; anything else is empty."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def without_nul(text: Column) -> Column:
+    """Text that every store takes: NUL characters become U+FFFD."""
+    return F.replace(text, F.lit("\0"), F.lit("\ufffd"))
+
+
+def message_line(name: Column, content: Column, ts: Column, uid: Column, is_self: Column, at_bot: Column, quote: Column) -> Column:
+    """One message as a line of a packet: time, owner and flags as attributes, then the quote and the content."""
+
+    def attr(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f'{key}="'), value, F.lit('"'))
+
+    known = F.coalesce(uid, F.lit("")) != ""
+    named = attr("name", sanitized(F.coalesce(name, F.lit(""))))
+    parts = [
+        F.when(ts.isNotNull(), attr("ts", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))),
+        F.when(~is_self & known, attr("uid", sanitized(uid))),
+        named,
+        F.when(is_self, F.lit('self="true"')).when(known & at_bot, F.lit('at_bot="true"')),
+    ]
+    return F.concat(F.lit("<msg "), F.concat_ws(" ", *parts), F.lit(">"), F.coalesce(quote, F.lit("")), unmimicked(F.coalesce(content, F.lit(""))), F.lit("</msg>"))
+
+
 def like_contains(keyword: str) -> str:
     """LIKE pattern for a literal part of a text."""
     return "%" + re.sub(r"([\\%_])", r"\\\1", keyword) + "%"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import search_text
 from ..schemas import CATEGORIES, CONFIDENCES
+from . import facts as facts_of
+from . import graph, people
 
 
 def page_of(page: int, size: int) -> tuple[int, int]:
@@ -77,10 +81,30 @@ def browse_summaries(summaries: DataFrame, session_id: str = "", user_id: str =
     return summaries.filter(_ilike("content", q)) if q else summaries
 
 
+STATUSES = ("active", "profiled", "pending_uncertain", "replaced", "dead")
+
+
+class Edited(NamedTuple):
+    """State after an edit of a cluster; revived: (cluster_id) to extract relations from again."""
+
+    clusters: DataFrame
+    profiles: DataFrame | None
+    edges: DataFrame | None
+    revived: DataFrame
+
+
 def update_cluster(clusters: DataFrame, row_id: int, now: Column, statement: str | None = None, score: float | None = None, status: str | None = None) -> DataFrame:
-    """Edits one cluster that is not replaced: score within 0..10, a new statement drops the vector, demoted_at follows the status."""
-    hit = (F.col("id") == row_id) & (F.col("status") != "replaced")
-    new = {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    """Edits one cluster: score within 0..10, a new statement drops the vector, demoted_at follows the status.
+
+    A blank statement and an unknown status are errors. A replaced cluster keeps its status whatever is asked.
+    """
+    if statement is not None and not statement.strip():
+        raise ValueError("a statement must not be blank")
+    if status is not None and status not in STATUSES:
+        raise ValueError(f"unknown status: {status}")
+    hit = F.col("id") == row_id
+    stamp = now.cast(clusters.schema["updated_at"].dataType)
+    new = {"updated_at": F.when(hit, stamp).otherwise(F.col("updated_at"))}
     if statement is not None:
         changed = hit & (F.col("canonical_statement") != statement)
         new["canonical_statement"] = F.when(hit, F.lit(statement)).otherwise(F.col("canonical_statement"))
@@ -89,12 +113,35 @@ def update_cluster(clusters: DataFrame, row_id: int, now: Column, statement: str
     if score is not None:
         new["score"] = F.when(hit, F.lit(min(10.0, max(0.0, score)))).otherwise(F.col("score"))
     if status is not None:
-        down = F.lit(status == "pending_uncertain")
-        new["demoted_at"] = F.when(~hit, F.col("demoted_at")).when(down, F.coalesce("demoted_at", now))
-        new["status"] = F.when(hit, F.lit(status)).otherwise(F.col("status"))
+        moves = hit & (F.col("status") != "replaced")
+        demoted = F.coalesce("demoted_at", now.cast(clusters.schema["demoted_at"].dataType)) if status == "pending_uncertain" else F.lit(None)
+        new["demoted_at"] = F.when(~moves, F.col("demoted_at")).otherwise(demoted)
+        new["status"] = F.when(moves, F.lit(status)).otherwise(F.col("status"))
     return clusters.withColumns(new)
 
 
+def edit_cluster(clusters: DataFrame, row_id: int, now: Column, profiles: DataFrame | None = None, edges: DataFrame | None = None, **values) -> Edited:
+    """An edit with all that follows: the profile row, edges that rest on a killed cluster, and the list of revived ones."""
+    after = update_cluster(clusters, row_id, now, **values)
+    both = clusters.filter(F.col("id") == row_id).select("id", F.col("status").alias("old")).join(after.select("id", F.col("status").alias("new")), "id")
+    gone = both.filter("new IN ('replaced', 'dead') AND old NOT IN ('replaced', 'dead')").select(F.col("id").alias("cluster_id"))
+    back = both.filter("new IN ('active', 'profiled') AND old IN ('pending_uncertain', 'dead')").select(F.col("id").alias("cluster_id"))
+    left = None
+    if profiles is not None:
+        own = after.filter((F.col("id") == row_id) & (F.col("status") == "profiled")).select(F.col("id").alias("cluster_id"), F.col("canonical_statement").alias("_t"), F.col("score").alias("_s"))
+        left = facts_of.synced_profiles(profiles, after, now).join(own, "cluster_id", "left")
+        stamp = now.cast(profiles.schema["updated_at"].dataType)
+        left = left.withColumns({"statement": F.coalesce("_t", "statement"), "score": F.coalesce("_s", "score"), "updated_at": F.when(F.col("_s").isNotNull(), stamp).otherwise(F.col("updated_at"))})
+        left = left.select(*profiles.columns)
+    return Edited(after, left, None if edges is None else graph.retired(edges, gone, now), back)
+
+
+def profile_preview(profiles: DataFrame, clusters: DataFrame, platform: str, user_id: str, limit: int = 5) -> DataFrame:
+    """(category, rn, statement, score, cluster_id): what a person's profile shows, section by section."""
+    own = profiles.filter((F.col("platform") == platform) & (F.col("user_id") == user_id))
+    return people.sections(own, clusters, limit).select("category", "rn", "statement", "score", "cluster_id")
+
+
 def delete_fact(facts: DataFrame, clusters: DataFrame, fact_id: int) -> tuple[DataFrame, DataFrame]:
     return facts.filter(F.col("id") != fact_id), clusters.withColumn("source_fact_ids", F.array_remove("source_fact_ids", F.lit(fact_id).cast("long")))
 
@@ -106,8 +153,14 @@ def update_summary(summaries: DataFrame, row_id: int, content: str) -> DataFrame
 
 
 def update_edge(edges: DataFrame, row_id: int, status: str, now: Column) -> DataFrame:
+    """Sets one edge's status; an edge put down by hand says so, and its change shows in updated_at."""
+    if status not in ("active", "pending", "superseded"):
+        raise ValueError(f"unknown status: {status}")
     hit = F.col("id") == row_id
-    return edges.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+    new = {"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    if "supersede_reason" in edges.columns:
+        new["supersede_reason"] = F.when(hit, F.lit("manual") if status == "superseded" else F.lit(None)).otherwise(F.col("supersede_reason"))
+    return edges.withColumns(new)
 
 
 def erase_user(tables: dict[str, DataFrame], platform: str, uid: str) -> dict[str, DataFrame]:

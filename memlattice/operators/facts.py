@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine
+from ..functions.numbering import numbered
 from ..schemas import CATEGORIES, CONFIDENCES, Config
+from ..sources.scratch import saved
+from . import graph, lifecycle
 
 
 def threshold(category: Column, c: Config) -> Column:
@@ -55,6 +59,18 @@ def candidates(facts: DataFrame, clusters: DataFrame, k: int = 20) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("fact_id", "cluster_id", "rank", "near")
 
 
+#: What an adjudication may say of a fact and a candidate.
+VERDICTS = ("same", "drift", "correction", "unrelated")
+
+
+def valid_verdicts(given: DataFrame, candidates_: DataFrame) -> DataFrame:
+    """given (fact_id, cluster_id as given, verdict) of known candidates: 1.0 counts as 1; 1.9, true and unknown verdicts go."""
+    text = F.trim(F.col("cluster_id").cast("string"))
+    ok = text.rlike(r"^[0-9]+([.]0+)?$") & F.col("verdict").isin(*VERDICTS)
+    typed = given.filter(F.coalesce(ok, F.lit(False))).withColumn("cluster_id", F.regexp_replace(text, "[.]0+$", "").cast("long"))
+    return typed.join(candidates_.select("fact_id", "cluster_id"), ["fact_id", "cluster_id"], "left_semi")
+
+
 def actions(facts: DataFrame, clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(fact_id, action, cluster_id) from (fact_id, cluster_id, verdict, rank): the first valid correction replaces, else the first same merges, else create."""
     v = verdicts.join(clusters.select(F.col("id").alias("cluster_id"), "status", F.col("occurred_at").alias("c_at")), "cluster_id").filter("status <> 'replaced'")
@@ -63,7 +79,14 @@ def actions(facts: DataFrame, clusters: DataFrame, verdicts: DataFrame) -> DataF
     same = F.min(F.when(F.col("verdict") == "same", F.struct("rank", "cluster_id")))
     chosen = v.groupBy("fact_id").agg(fix.alias("fix"), same.alias("same"))
     out = facts.select(F.col("id").alias("fact_id")).join(chosen, "fact_id", "left")
-    return out.select("fact_id", F.when(F.col("fix").isNotNull(), "replace").when(F.col("same").isNotNull(), "merge").otherwise("create").alias("action"), F.coalesce("fix.cluster_id", "same.cluster_id").alias("cluster_id"))
+    action = F.when(F.col("fix").isNotNull(), "replace").when(F.col("same").isNotNull(), "merge").otherwise("create")
+    return out.select("fact_id", action.alias("action"), F.coalesce("fix.cluster_id", "same.cluster_id").alias("cluster_id"))
+
+
+def successors(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(cluster_id): what replaced a cluster that a new fact says again. The claim that took its place is contradicted."""
+    old = clusters.filter("status = 'replaced' AND replaced_by IS NOT NULL").select(F.col("id").alias("cluster_id"), "replaced_by")
+    return verdicts.filter("verdict = 'same'").join(old, "cluster_id").select(F.col("replaced_by").alias("cluster_id")).distinct()
 
 
 # -- applying ---------------------------------------------------------------------------------------------------
@@ -98,48 +121,114 @@ def merged(clusters: DataFrame, facts: DataFrame, now: Column, c: Config = Confi
     return out.select(*clusters.columns)
 
 
-def created(facts: DataFrame, first_id: int, now: Column, c: Config = Config()) -> DataFrame:
-    """A cluster for each fact; ids follow the facts' order."""
+def created(facts: DataFrame, now: Column, c: Config = Config()) -> DataFrame:
+    """A cluster for each fact; facts bring the cluster's id as cluster_new."""
     s = start_score(F.col("confidence"), c)
+    none = F.lit(None).cast("timestamp")
     return facts.select(
-        (F.row_number().over(Window.orderBy("id")) + (first_id - 1)).cast("long").alias("id"), "platform", "user_id", "category", F.col("statement").alias("canonical_statement"), s.cast("double").alias("score"),
-        F.when(s >= threshold(F.col("category"), c), "profiled").otherwise("active").alias("status"), F.lit(1).alias("evidence_count"), F.array("evidence_key").alias("evidence_keys"), F.array("id").alias("source_fact_ids"),
-        F.col("occurred_at").alias("last_evidence_at"), "occurred_at", F.lit(None).cast("long").alias("replaced_by"), now.alias("written_at"), now.alias("updated_at"), "embedding", F.lit(None).cast("timestamp").alias("demoted_at"), F.lit(None).cast("timestamp").alias("contradicted_at"), "related_user_ids",
+        F.col("cluster_new").alias("id"), "platform", "user_id", "category", F.col("statement").alias("canonical_statement"), s.cast("double").alias("score"),
+        F.when(s >= threshold(F.col("category"), c), "profiled").otherwise("active").alias("status"), F.lit(1).alias("evidence_count"),
+        F.array("evidence_key").alias("evidence_keys"), F.array("id").alias("source_fact_ids"), F.col("occurred_at").alias("last_evidence_at"), "occurred_at",
+        F.lit(None).cast("long").alias("replaced_by"), now.alias("written_at"), now.alias("updated_at"), "embedding", none.alias("demoted_at"),
+        none.alias("contradicted_at"), "related_user_ids",
     )
 
 
-def replaced(clusters: DataFrame, facts: DataFrame, first_id: int, now: Column, c: Config = Config()) -> DataFrame:
-    """clusters after each fact (with cluster_id) replaces one: the old one is halved and points to its successor. A replaced target is an error."""
-    if facts.join(clusters.filter("status <> 'replaced'").select(F.col("id").alias("cluster_id")), "cluster_id", "left_anti").limit(1).count():
-        raise ValueError("a cluster to replace is missing or replaced already")
+def replaced(clusters: DataFrame, facts: DataFrame, now: Column, c: Config = Config()) -> DataFrame:
+    """clusters after each fact (with cluster_id, cluster_new) replaces one: the old one is halved and points to its successor.
+
+    facts: one for each cluster, of clusters that exist and are not replaced.
+    """
     old = clusters.select(F.col("id").alias("cluster_id"), F.col("score").alias("old_score"))
-    fresh = created(facts, first_id, now, c)
-    link = facts.select(F.col("id").alias("_f"), "cluster_id").join(old, "cluster_id")
+    link = facts.select(F.col("cluster_new").alias("id"), "cluster_id").join(old, "cluster_id").select("id", "old_score")
     s = F.least(F.lit(c.cap), F.greatest("score", "old_score"))
-    fresh = fresh.withColumn("_f", F.element_at("source_fact_ids", 1)).join(link, "_f").withColumn("score", s).withColumn("status", F.when(F.col("score") >= threshold(F.col("category"), c), "profiled").otherwise("active"))
-    to = fresh.select("cluster_id", F.col("id").alias("_next"))
+    fresh = created(facts, now, c).join(link, "id").withColumn("score", s).withColumn("status", F.when(F.col("score") >= threshold(F.col("category"), c), "profiled").otherwise("active"))
+    to = facts.select("cluster_id", F.col("cluster_new").alias("_next"))
+    hit = F.col("_next").isNotNull()
+    stamp = now.cast(clusters.schema["updated_at"].dataType)
     gone = clusters.join(to, clusters["id"] == to["cluster_id"], "left").withColumns({
-        "status": F.when(F.col("_next").isNotNull(), "replaced").otherwise(F.col("status")), "score": F.when(F.col("_next").isNotNull(), F.col("score") * 0.5).otherwise(F.col("score")),
-        "replaced_by": F.coalesce("_next", "replaced_by"), "updated_at": F.when(F.col("_next").isNotNull(), now).otherwise(F.col("updated_at")),
-    }).select(*clusters.columns)
-    return gone.unionByName(fresh.select(*clusters.columns), allowMissingColumns=True)
+        "status": F.when(hit, "replaced").otherwise(F.col("status")), "score": F.when(hit, F.col("score") * 0.5).otherwise(F.col("score")),
+        "replaced_by": F.coalesce("_next", F.col("replaced_by") if "replaced_by" in clusters.columns else F.lit(None).cast("long")),
+        "updated_at": F.when(hit, stamp).otherwise(F.col("updated_at")),
+    })
+    keep = clusters.columns if "replaced_by" in clusters.columns else [*clusters.columns, "replaced_by"]
+    return gone.select(*keep).unionByName(fresh.select(*[x for x in keep if x in fresh.columns]), allowMissingColumns=True)
 
 
-def apply(clusters: DataFrame, facts: DataFrame, chosen: DataFrame, now: Column, c: Config = Config(), contradicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clusters, facts) after every pending fact's action; done facts are skipped. contradicted: (cluster_id) to mark."""
-    todo = facts.filter("extracted_flag = 0").join(chosen.withColumnRenamed("fact_id", "id"), "id")
+class Applied(NamedTuple):
+    """The state after a batch of actions, and the facts (id) that wait for the next cycle."""
+
+    clusters: DataFrame
+    facts: DataFrame
+    profiles: DataFrame | None
+    edges: DataFrame | None
+    deferred: DataFrame
+
+
+def settled(todo: DataFrame, clusters: DataFrame) -> DataFrame:
+    """todo (id, action, cluster_id, ...) with ok: whether the action holds when facts act in the order of their ids.
+
+    The first fact that replaces a cluster does so; facts before it may join the cluster, facts after it find a replaced
+    one and wait, as do those whose cluster is missing or was replaced before.
+    """
+    live = clusters.filter("status <> 'replaced'").select(F.col("id").alias("cluster_id"), F.lit(True).alias("_live"))
+    fixes = todo.filter("action = 'replace'").groupBy("cluster_id").agg(F.min("id").alias("_fix"))
+    j = todo.join(live, "cluster_id", "left").join(fixes, "cluster_id", "left")
+    in_time = F.col("_fix").isNull() | (F.col("id") < F.col("_fix")) | ((F.col("id") == F.col("_fix")) & (F.col("action") == "replace"))
+    ok = (F.col("action") == "create") | (F.coalesce("_live", F.lit(False)) & in_time)
+    return j.withColumn("ok", ok).drop("_live", "_fix")
+
+
+def synced_profiles(profiles: DataFrame, clusters: DataFrame, now: Column, rescored: DataFrame | None = None) -> DataFrame:
+    """profiles with a row for each profiled cluster and no other. Rows keep id and creation.
+
+    rescored: (cluster_id) whose rows take the cluster's score; a row's updated_at moves only if the score differs.
+    """
+    on = clusters.filter("status = 'profiled'").select(F.col("id").alias("cluster_id"), F.col("score").alias("_s"), "platform", "user_id", "category", F.col("canonical_statement").alias("statement"), "related_user_ids")
+    stamp = now.cast(profiles.schema["updated_at"].dataType)
+    kept = profiles.join(on.select("cluster_id", "_s"), "cluster_id")
+    if rescored is not None:
+        kept = kept.join(rescored.select("cluster_id", F.lit(True).alias("_hit")).distinct(), "cluster_id", "left")
+        moved = F.coalesce("_hit", F.lit(False)) & (F.col("_s") != F.col("score"))
+        kept = kept.withColumn("updated_at", F.when(moved, stamp).otherwise(F.col("updated_at"))).withColumn("score", F.when(moved, F.col("_s")).otherwise(F.col("score")))
+    top = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    new = on.join(profiles.select("cluster_id"), "cluster_id", "left_anti").withColumnRenamed("_s", "score").crossJoin(F.broadcast(top))
+    new = numbered(new, F.col("cluster_id"), [], "id", F.col("_top")).withColumns({"created_at": stamp, "updated_at": stamp})
+    return kept.select(*profiles.columns).unionByName(new.select(*[x for x in profiles.columns if x in new.columns]), allowMissingColumns=True)
+
+
+def applied(clusters: DataFrame, facts: DataFrame, chosen: DataFrame, now: Column, c: Config = Config(), contradicted: DataFrame | None = None, profiles: DataFrame | None = None, edges: DataFrame | None = None) -> Applied:
+    """State after every pending fact's action (fact_id, action, cluster_id), in the order of the facts' ids; done facts are skipped.
+
+    contradicted: (cluster_id) to mark. A replaced cluster takes its profile row and the edges that rest on it alone with
+    it. New clusters are numbered in the order of their facts.
+    """
     if contradicted is not None:
         mark = contradicted.select(F.col("cluster_id").alias("id")).distinct().withColumn("_mark", F.lit(True))
-        clusters = clusters.join(mark, "id", "left").withColumn("contradicted_at", F.when(F.col("_mark"), now).otherwise(F.col("contradicted_at"))).select(*clusters.columns)
-    first = (clusters.agg(F.max("id")).first()[0] or 0) + 1
-    state = merged(clusters, todo.filter("action = 'merge'"), now, c)
-    fixes = todo.filter("action = 'replace'")
-    n_fix = fixes.count()
-    if n_fix:
-        state = replaced(state, fixes, first, now, c)
-    state = state.unionByName(created(todo.filter("action = 'create'"), first + n_fix, now, c).select(*state.columns), allowMissingColumns=True)
-    done = facts.join(todo.select("id", F.lit(1).alias("_done")), "id", "left").withColumn("extracted_flag", F.when(F.col("_done") == 1, 1).otherwise(F.col("extracted_flag"))).select(*facts.columns)
-    return state, done
+        stamp = now.cast(clusters.schema["contradicted_at"].dataType)
+        clusters = clusters.join(mark, "id", "left").withColumn("contradicted_at", F.when(F.col("_mark"), stamp).otherwise(F.col("contradicted_at"))).select(*clusters.columns)
+    asked = facts.filter("extracted_flag = 0").join(chosen.withColumnRenamed("fact_id", "id"), "id")
+    todo = saved(settled(asked, clusters), "todo")
+    ok = todo.filter("ok").drop("ok")
+    top = clusters.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    fresh = numbered(ok.filter("action <> 'merge'").crossJoin(F.broadcast(top)), F.col("id"), [], "cluster_new", F.col("_top")).drop("_top")
+    fresh = saved(fresh, "fresh")
+    joins = ok.filter("action = 'merge'")
+    state = replaced(merged(clusters, joins, now, c), fresh.filter("action = 'replace'"), now, c)
+    new = created(fresh.filter("action = 'create'"), now, c)
+    state = saved(state.unionByName(new.select(*[x for x in state.columns if x in new.columns]), allowMissingColumns=True), "clusters")
+    done = facts.join(ok.select("id", F.lit(1).alias("_done")), "id", "left")
+    done = done.withColumn("extracted_flag", F.when(F.col("_done") == 1, 1).otherwise(F.col("extracted_flag"))).select(*facts.columns)
+    done = saved(done, "facts")
+    after = None if profiles is None else saved(synced_profiles(profiles, state, now, joins.select("cluster_id")), "profiles")
+    left = None if edges is None else saved(graph.retired(edges, fresh.filter("action = 'replace'").select("cluster_id"), now), "edges")
+    return Applied(state, done, after, left, todo.filter("NOT ok").select("id"))
+
+
+def apply(clusters: DataFrame, facts: DataFrame, chosen: DataFrame, now: Column, c: Config = Config(), contradicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, facts) of applied()."""
+    out = applied(clusters, facts, chosen, now, c, contradicted)
+    return out.clusters, out.facts
 
 
 # -- passes -----------------------------------------------------------------------------------------------------
@@ -227,7 +316,7 @@ def change_status(clusters: DataFrame, cluster_id: int, action: str, now: Column
 
 def search(clusters: DataFrame, query: list[float], limit: int, platform: str = "", user_ids: list[str] | None = None, category: str = "", inactive: str = "no") -> DataFrame:
     """Nearest clusters; inactive: no | include | only. A list of users that is all blank finds nothing."""
-    live, dead = ("active", "profiled"), ("pending_uncertain", "dead")
+    live, dead = ("active", "profiled"), ("replaced", "dead", "pending_uncertain")
     out = clusters.filter(F.col("status").isin(*{"no": live, "include": live + dead, "only": dead}[inactive]))
     if user_ids is not None:
         ids = [u for u in user_ids if u and u.strip()]
@@ -238,14 +327,79 @@ def search(clusters: DataFrame, query: list[float], limit: int, platform: str =
     return out.withColumn("relevance", cosine(F.col("embedding"), q)).filter("relevance IS NOT NULL").orderBy(F.desc("relevance"), "id").limit(limit)
 
 
-def cycle(clusters: DataFrame, facts: DataFrame, verdicts: DataFrame, profiles: DataFrame, summaries: DataFrame, now: Column, c: Config = Config(), since: Column | None = None, budget: int = 200) -> tuple[DataFrame, DataFrame]:
-    """One consolidation cycle: facts in id order up to the budget, verdicts given as a table; facts with candidates but without a full set of verdicts wait."""
-    pending = facts.filter("extracted_flag = 0").orderBy("id").limit(budget)
-    cand = candidates(pending, clusters)
-    open_ = cand.join(verdicts, ["fact_id", "cluster_id"], "left_anti").select("fact_id").distinct()
-    ready = pending.join(open_.withColumnRenamed("fact_id", "id"), "id", "left_anti")
-    ranked = verdicts.join(cand.select("fact_id", "cluster_id", "rank"), ["fact_id", "cluster_id"])
-    chosen = actions(ready, clusters, ranked)
-    state, done = apply(clusters, facts, chosen, now, c)
-    state = decay(state, profiles, summaries, now, c, since).drop("expired", "demoted", "deaded")
-    return promote(state, now, c), done
+def owner_of(clusters: DataFrame, cluster_id: int) -> DataFrame:
+    """(platform, user_id, status) of one cluster, for the guard of a correction."""
+    return clusters.filter(F.col("id") == cluster_id).select("platform", "user_id", "status")
+
+
+def with_related(clusters: DataFrame, facts: DataFrame) -> DataFrame:
+    """clusters whose related users are unknown take the first known set among their source facts, by fact id."""
+    lacks = clusters.filter(F.size("related_user_ids") == 0).select(F.col("id").alias("_c"), F.explode("source_fact_ids").alias("_f"))
+    known = facts.filter(F.size("related_user_ids") > 0).select(F.col("id").alias("_f"), F.col("related_user_ids").alias("_r"))
+    first = lacks.join(known, "_f").groupBy("_c").agg(F.min_by("_r", "_f").alias("_r"))
+    return clusters.join(first, F.col("id") == F.col("_c"), "left").withColumn("related_user_ids", F.coalesce("_r", "related_user_ids")).select(*clusters.columns)
+
+
+#: Failures after which a row is passed over, and rows of the list that remembers them.
+ATTEMPTS, REMEMBERED = 5, 500
+
+
+def skip_list(skips: DataFrame, failed: DataFrame, done: DataFrame) -> DataFrame:
+    """(id, n, pos) of rows that failed n times in a row: failed (id) count on, done (id) leave; above REMEMBERED rows the older half goes."""
+    last = skips.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_last"))  # one row
+    kept = skips.join(done.select("id"), "id", "left_anti")
+    j = kept.join(failed.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "full_outer").crossJoin(F.broadcast(last))
+    j = j.select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("_hit", F.lit(0))).alias("n"), "pos", "_last")
+    new = numbered(j.filter(F.col("pos").isNull()), F.col("id"), [], "_k", 0).withColumn("pos", F.col("_last") + F.col("_k"))
+    out = j.filter(F.col("pos").isNotNull()).select("id", "n", "pos").unionByName(new.select("id", "n", "pos"))
+    # the list holds REMEMBERED rows and a batch at most
+    rank = F.row_number().over(Window.orderBy("pos"))
+    size = F.count("*").over(Window.partitionBy())
+    out = out.withColumn("_r", rank).withColumn("_n", size)
+    return out.filter((F.col("_n") <= REMEMBERED) | (F.col("_r") > REMEMBERED // 2)).select("id", "n", "pos")
+
+
+def pending(facts: DataFrame, batch: int = 200, skips: DataFrame | None = None) -> DataFrame:
+    """Facts to adjudicate in id order: out of three times the batch those not passed over, then the batch."""
+    rows = facts.filter("extracted_flag = 0").orderBy("id").limit(3 * batch)
+    if skips is not None:
+        rows = rows.join(skips.filter(F.col("n") >= ATTEMPTS).select("id"), "id", "left_anti")
+    return rows.orderBy("id").limit(batch)
+
+
+class Cycle(NamedTuple):
+    """The state after a consolidation cycle."""
+
+    clusters: DataFrame
+    facts: DataFrame
+    profiles: DataFrame
+    summaries: DataFrame
+    edges: DataFrame | None
+    deferred: DataFrame
+
+
+def cycle(clusters: DataFrame, facts: DataFrame, verdicts: DataFrame, profiles: DataFrame, summaries: DataFrame, now: Column, c: Config = Config(), since: Column | None = None, budget: int = 200, edges: DataFrame | None = None, skips: DataFrame | None = None, archive_on: bool = True) -> Cycle:
+    """One consolidation cycle: facts, decay, promotion, archive, in this order; verdicts are given as a table.
+
+    Facts go in id order up to the budget. One without candidates is created; one with candidates but without a
+    verdict on each of them waits. What audit and re-encoding need (verdicts on edges, encoded texts) has passes of its
+    own: graph.audit_pass, retain.reencoded.
+    """
+    batch = saved(pending(facts, budget, skips), "batch")
+    cand = saved(candidates(batch, clusters), "candidates")
+    given = saved(valid_verdicts(verdicts, cand), "verdicts")
+    open_ = cand.join(given, ["fact_id", "cluster_id"], "left_anti").select("fact_id").distinct()
+    ready = saved(batch.join(open_.withColumnRenamed("fact_id", "id"), "id", "left_anti"), "ready")
+    ranked = given.join(cand.select("fact_id", "cluster_id", "rank"), ["fact_id", "cluster_id"]).join(ready.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    ranked = saved(ranked, "ranked")
+    chosen = saved(actions(ready, clusters, ranked), "chosen")
+    state = applied(clusters, facts, chosen, now, c, successors(clusters, ranked), profiles, edges)
+    rows = saved(state.profiles, "profiles")
+    after = saved(decay(state.clusters, rows, summaries, now, c, since).drop("expired", "demoted", "deaded"), "decayed")
+    left = saved(synced_profiles(rows, after, now), "profiles")
+    after = saved(promote(after, now, c), "promoted")
+    archived = summaries
+    if archive_on:
+        archived = lifecycle.archive(summaries, now, c.archive_days(), c.reinforce_days).drop("archived_now")
+    waits = open_.select(F.col("fact_id").alias("id")).unionByName(state.deferred)
+    return Cycle(after, state.facts, synced_profiles(left, after, now), archived, state.edges, waits)

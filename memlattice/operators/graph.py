@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import is_placeholder
 from ..functions.numbering import hash_order, numbered
+from ..sources.scratch import saved
 
 KEY = ["platform", "subject_uid", "object_uid", "relation_label"]
 
@@ -90,7 +91,8 @@ def upserted(edges: DataFrame, rows: DataFrame, now: Column, stopwords: list[str
         F.coalesce("first_seen", "_at1").alias("first_seen"), F.greatest("last_seen", "_at").alias("last_seen"), F.greatest("occurred_at", "_at").alias("occurred_at"),
         F.when(new, now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    # only new edges are numbered, in the order of a hash of their key
+    # only new edges are numbered, in the order of a hash of their key; the merge is written once, as it is read twice
+    out = saved(out, "edges")
     top = edges.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
     fresh = out.filter(F.col("id").isNull()).drop("id").crossJoin(F.broadcast(top))
     fresh = numbered(fresh, hash_order(*KEY), KEY, "id", F.col("_top")).drop("_top")

@@ -100,8 +100,28 @@ def injection_text(rows: DataFrame, now: Column, order: list[Column], budget: in
     return within_budget(lines, order, budget, "line", 1)
 
 
+#: Seconds for which a staged memo counts although nothing committed it yet.
+IN_FLIGHT_S = 300
+
+
+def staged(memos: DataFrame, key: str, documents: DataFrame, now: Column) -> DataFrame:
+    """memos (key, document_id, at, committed) with documents chosen for a prompt under key, not committed yet."""
+    return memos.unionByName(documents.select(F.lit(key).alias("key"), "document_id", now.alias("at"), F.lit(False).alias("committed")))
+
+
+def committed(memos: DataFrame, key: str) -> DataFrame:
+    """memos after the prompt under key was sent."""
+    return memos.withColumn("committed", F.col("committed") | (F.col("key") == key))
+
+
 def fresh_memos(memos: DataFrame, now: Column, ttl_s: int = 1800, cap: int = 64) -> DataFrame:
-    """Memos (key, document_id, at) within their time to live, the latest `cap` per key; recall anti-joins them."""
-    w = Window.partitionBy("key").orderBy(F.desc("at"), "document_id")
-    live = memos.filter(F.col("at") >= now - F.expr(f"INTERVAL {ttl_s} SECONDS"))
-    return live.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).drop("rn")
+    """Memos (key, document_id, at[, committed]) that still count; recall anti-joins them.
+
+    Committed ones count for their time to live, the latest `cap` per key; staged ones for IN_FLIGHT_S, beyond the cap.
+    """
+    if "committed" not in memos.columns:
+        memos = memos.withColumn("committed", F.lit(True))
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("at").cast("timestamp"))
+    live = memos.filter(F.when(F.col("committed"), age <= ttl_s).otherwise(age <= IN_FLIGHT_S))
+    w = Window.partitionBy("key", "committed").orderBy(F.desc("at"), "document_id")
+    return live.withColumn("rn", F.row_number().over(w)).filter(~F.col("committed") | (F.col("rn") <= cap)).drop("rn")

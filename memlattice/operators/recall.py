@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, decay_factor, search_tokens
+from ..functions.exprs import cosine, cosine_to, decay_factor, search_tokens
 
 SCOPES = ("session", "user", "user_session")
 
@@ -105,24 +106,63 @@ def scoped(rows: DataFrame, s: Scope) -> DataFrame:
 
 def with_relevance(rows: DataFrame, query: list[float]) -> DataFrame:
     """Adds the cosine to the query; rows without a comparable vector go."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("relevance", cosine(F.col("embedding"), q)).filter(F.col("relevance").isNotNull())
+    return rows.withColumn("relevance", cosine_to(F.col("embedding"), query)).filter(F.col("relevance").isNotNull())
 
 
 def vector_leg(rows: DataFrame, query: list[float], s: Scope, n: int) -> DataFrame:
     return with_relevance(scoped(rows, s), query).orderBy(F.desc("relevance"), "id").limit(n)
 
 
-def lexical_leg(rows: DataFrame, query_text: str, query: list[float], s: Scope, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over all rows' tokens, for scoped rows with a vector that hold any token of the query."""
-    spark = rows.sparkSession
-    asked = spark.range(1).select(F.explode(F.array_distinct(search_tokens(F.lit(query_text)))).alias("token"))
-    tokens = rows.select("id", search_tokens(F.col("content")).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    posts = tokens.select("id", "len", F.explode("tokens").alias("token")).join(F.broadcast(asked), "token").groupBy("token", "id", "len").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    ranked = posts.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(score).alias("bm25"))
+def query_tokens(text: str) -> list[str]:
+    """The different tokens of a query, as search_tokens gives them: a query is one short text, so no job is run for it."""
+    out: list[str] = []
+    for run in re.findall("[\u4e00-\u9fff]+", text):
+        out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return list(dict.fromkeys(out + [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]))
+
+
+def _bm25(tf: Column, length: Column, df: Column, n: Column, avg: Column, k1: float, b: float) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+
+
+def token_counts(rows: DataFrame, asked: list[str]) -> DataFrame:
+    """(id, len, tfs): each row's number of tokens, and of each token asked; nothing is exploded."""
+    words = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "")
+    tokens = F.when(F.col("content").rlike("[\\x{4e00}-\\x{9fff}\\x{130}\\x{212a}]"), search_tokens(F.col("content"))).otherwise(F.coalesce(words, F.array().cast("array<string>")))
+    one = rows.select("id", tokens.alias("t"))
+    return one.select("id", F.size("t").alias("len"), F.array(*[(F.size("t") - F.size(F.array_remove("t", w))) for w in asked]).alias("tfs"))
+
+
+def lexical_scores(counts: DataFrame, n_asked: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, bm25) of the rows that hold a token asked; counts: as token_counts gives."""
+    stats = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col("tfs")[i] > 0).alias(f"d{i}") for i in range(n_asked)])  # one row
+    hits = counts.filter(F.exists("tfs", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    score = F.lit(0.0)
+    for i in range(n_asked):
+        own = _bm25(F.col("tfs")[i], F.col("len"), F.col(f"d{i}"), F.col("n"), F.col("avg"), k1, b)
+        score = score + F.when(F.col("tfs")[i] > 0, own).otherwise(F.lit(0.0))
+    return hits.select("id", score.alias("bm25"))
+
+
+def indexed_scores(postings: DataFrame, stats: DataFrame, asked: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, bm25) from stored postings (bucket, token, id, tf, len) and stats (n, avg): only the query's buckets and tokens are read."""
+    from ..sources.postings import bucket_of
+
+    own = postings.filter(F.col("bucket").isin(*sorted({bucket_of(t) for t in asked})) & F.col("token").isin(*asked))
+    df = own.groupBy("token").agg(F.count("*").alias("df"))  # a row for each token of the query
+    scored = own.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
+    return scored.groupBy("id").agg(F.sum(_bm25(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("avg"), k1, b)).alias("bm25"))
+
+
+def lexical_leg(rows: DataFrame, query_text: str, query: list[float], s: Scope, n: int, k1: float = 1.2, b: float = 0.75, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """BM25 over all rows' tokens, for scoped rows with a vector that hold any token of the query.
+
+    index: stored postings and stats; without them the rows' tokens are counted anew.
+    """
+    asked = query_tokens(query_text)
+    if not asked:
+        return with_relevance(scoped(rows, s), query).withColumn("bm25", F.lit(0.0)).limit(0)
+    ranked = lexical_scores(token_counts(rows, asked), len(asked), k1, b) if index is None else indexed_scores(*index, asked, k1, b)
     return with_relevance(scoped(rows, s), query).join(ranked, "id").orderBy(F.desc(F.round("bm25", 9)), "id").limit(n)
 
 
@@ -134,15 +174,14 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
     return both.withColumn("rrf", F.coalesce(1 / (k + F.col("v_rank")), F.lit(0.0)) + F.coalesce(1 / (k + F.col("t_rank")), F.lit(0.0)))
 
 
-def hybrid(rows: DataFrame, query: list[float], query_text: str, s: Scope, n: int, k: int = 60) -> DataFrame:
+def hybrid(rows: DataFrame, query: list[float], query_text: str, s: Scope, n: int, k: int = 60, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Both legs fused; without a token in the query the vector leg alone."""
     v = vector_leg(rows, query, s, n)
-    if not rows.sparkSession.range(1).select(F.size(search_tokens(F.lit(query_text)))).first()[0]:
+    if not query_tokens(query_text):
         return v.withColumn("rrf", F.lit(None).cast("double"))
-    t = lexical_leg(rows, query_text, query, s, n)
+    t = lexical_leg(rows, query_text, query, s, n, index=index)
     fused = fuse(v, t, k)
-    cols = [c for c in v.columns]
-    found = v.unionByName(t.select(*cols)).dropDuplicates(["id"])
+    found = v.unionByName(t.select(*v.columns)).dropDuplicates(["id"])
     return found.join(fused, "id").orderBy(F.desc("rrf"), F.col("v_rank").asc_nulls_last(), "t_rank")
 
 
@@ -226,23 +265,43 @@ def best_recent(rows: DataFrame, query: list[float], s: Scope, window: int = 8)
     return with_relevance(latest, query).agg(F.coalesce(F.max("relevance"), F.lit(0.0)).alias("best"))
 
 
-def search(rows: DataFrame, query: list[float] | None, query_text: str, s: Scope, now: Column, top_k: int = 5, hybrid_on: bool = True, threshold: float = 0.0, half_life_days: float | None = 90.0, dedup: float | None = 0.85, rerank: DataFrame | None = None, candidates: int = 0, per_user: tuple[str, ...] = ()) -> DataFrame | None:
-    """The whole recall: candidates, rerank, threshold, decay, distinct vectors, quota or top-k. A blank query or no vector gives None."""
+def novel(rows: DataFrame, new: DataFrame, s: Scope, window: int = 8, threshold: float = 0.85) -> DataFrame:
+    """new (session's summaries to write, with embedding) without those as near to one of its latest summaries as threshold.
+
+    Rows without a vector are written anyway. The latest summaries are `window` rows, broadcast.
+    """
+    latest = rows.filter(_session(s) & (F.col("kind") == "chat_summary") & F.col("summarized") & F.col("embedding").isNotNull()).orderBy(F.desc("occurred_at"), F.desc("id")).limit(window)
+    held = latest.agg(F.collect_list("embedding").alias("_held"))  # one row
+    near = F.exists("_held", lambda v: F.coalesce(cosine(F.col("embedding"), v) >= threshold, F.lit(False)))
+    return new.crossJoin(F.broadcast(held)).filter(~near).drop("_held")
+
+
+def search(rows: DataFrame, query: list[float] | None, query_text: str, s: Scope, now: Column, top_k: int = 5, hybrid_on: bool = True, threshold: float = 0.0, half_life_days: float | None = 90.0, dedup: float | None = 0.85, rerank: DataFrame | None = None, candidates: int = 0, per_user: tuple[str, ...] = (), index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame | None:
+    """The whole recall: candidates, rerank, threshold, decay, distinct vectors, quota or top-k. A blank query or no vector gives None.
+
+    Scores of fused ranks have no threshold, as they are no similarities. A session scope without a platform does not
+    restrict users, as their keys need one. Equal scores keep the order before them.
+    """
     if not query_text.strip() or query is None:
         return None
+    if s.scope == "session" and not s.platform:
+        s = replace(s, user_keys=(), user_ids=(), expanded_keys=(), expanded_ids=(), entity_keys=(), entity_ids=())
     n = max(candidates if rerank is not None else 0, 4 * top_k * max(1, len(per_user)))
-    found = hybrid(rows, query, query_text, s, n) if hybrid_on else vector_leg(rows, query, s, n).withColumn("rrf", F.lit(None).cast("double"))
-    fused = hybrid_on and rerank is None
+    both = hybrid_on and bool(query_tokens(query_text))
+    found = hybrid(rows, query, query_text, s, n, index=index) if both else vector_leg(rows, query, s, n).withColumn("rrf", F.lit(None).cast("double"))
+    before = [F.desc("rrf"), F.col("v_rank").asc_nulls_last(), F.col("t_rank").asc_nulls_last(), F.col("id")] if both else [F.desc("relevance"), F.col("id")]
+    found = found.withColumn("_at", F.row_number().over(Window.orderBy(*before)))  # at most 2 n rows
+    fused = both and rerank is None
     scored = reranked(found, rerank)
     if fused:
-        scored = scored.withColumn("score", F.coalesce("rrf", "relevance"))
+        scored = scored.withColumn("score", F.col("rrf"))
     elif threshold > 0:
         scored = scored.filter(F.col("score") >= threshold)
     if half_life_days:
         scored = aged(scored, now, half_life_days, "score")
-    order = [("score", False), ("id", True)]
+    order = [("score", False), ("_at", True)]
     if dedup:
         scored = distinct_vectors(scored, order, dedup, None if per_user else top_k)
     if per_user:
-        return within_quota(scored, list(per_user), s.platform, top_k, order)
-    return scored.orderBy(F.desc("score"), "id").limit(top_k)
+        return within_quota(scored, list(per_user), s.platform, top_k, order).drop("_at")
+    return scored.orderBy(F.desc("score"), "_at").limit(top_k).drop("_at")

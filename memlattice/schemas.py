@@ -61,8 +61,8 @@ class Config:
     archive_grace_days: int = 30
     reinforce_days: int = 90
     rerank_candidates: int = 50
-    retain_group: int = 5
-    retain_private: int = 1
+    retain_group: int = 1
+    retain_private: int = 5
     flush_idle_s: int = 1800
 
     def archive_days(self) -> int:

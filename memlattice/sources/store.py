@@ -191,3 +191,35 @@ def parsed_pending(rows: DataFrame, now: Column) -> DataFrame:
         *[F.coalesce(f"p.{c}", none).alias(c) for c in ("history_lines", "batch_lines", "bot_lines")],
         F.greatest(F.lit(1), F.coalesce("p.rounds", F.lit(1))).alias("rounds"), F.lower(F.coalesce("p.failed", F.lit(""))).isin("true", "1", "yes").alias("failed"),
     )
+
+
+def copied(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, report) after all of source is copied into target: ids are mapped, references and backfill keys follow.
+
+    Rows whose unique key the target has are skipped. report: (name, source, skipped, copied, missing), where missing counts
+    the keys of the source that the result lacks, 0 if all went well.
+    """
+    unique = {"summary": ["document_id"], "fact": ["document_id"], "cluster": ["platform", "user_id", "category", "canonical_statement"], "alias": ["platform", "user_id", "name"], "edge": ["platform", "subject_uid", "object_uid", "relation_label"], "kv": ["key"]}
+    ids = {n: id_map(source[n], target[n], unique[n]) for n in ("summary", "fact", "cluster", "alias", "edge")}
+    out, report = dict(target), None
+    for name, key in unique.items():
+        fresh = source[name].join(target[name].select(*key), key, "left_anti")
+        if name in ids:
+            fresh = remapped(fresh, ids[name])
+        if name == "cluster":
+            fresh = remapped(fresh, ids["cluster"], "replaced_by")
+            facts_ = fresh.select("id", F.posexplode("source_fact_ids").alias("p", "old_id")).join(ids["fact"], "old_id")
+            arr = facts_.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "new_id"))), lambda x: x["new_id"]).alias("_f"))
+            fresh = fresh.join(arr, "id", "left").withColumn("source_fact_ids", F.coalesce("_f", F.array().cast("array<bigint>"))).drop("_f")
+        if name == "edge":
+            fresh = remapped_keys(fresh, ids["cluster"])
+        out[name] = target[name].unionByName(fresh.select(*[c for c in target[name].columns if c in fresh.columns]), allowMissingColumns=True)
+        n = source[name].agg(F.count("*").alias("source"))
+        c = fresh.agg(F.count("*").alias("copied"))
+        lost = source[name].join(out[name].select(*key), key, "left_anti").agg(F.count("*").alias("missing"))
+        row = n.crossJoin(c).crossJoin(lost).select(F.lit(name).alias("name"), "source", (F.col("source") - F.col("copied")).alias("skipped"), "copied", "missing")  # one row each
+        report = row if report is None else report.unionByName(row)
+    new = remapped(source["profile"], ids["cluster"], "cluster_id").filter(F.col("cluster_id").isNotNull()).join(target["profile"].select("cluster_id"), "cluster_id", "left_anti")
+    new = _next_ids(new.drop("id"), target["profile"], F.col("cluster_id"), [])
+    out["profile"] = target["profile"].unionByName(new, allowMissingColumns=True)
+    return out, report

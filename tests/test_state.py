@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.operators import admin, facts, graph, people, recall
-from memlattice.schemas import CLUSTER, EDGE, FACT, SUMMARY, Config
+from memlattice.functions.numbering import numbered
+from memlattice.operators import admin, facts, graph, ingest, lifecycle, people, recall, tools
+from memlattice.schemas import ALIAS, CLUSTER, EDGE, FACT, KV, PROFILE, SUMMARY, Config
 from memlattice.sources import importers, store
 from memlattice.streaming import retain
 
@@ -54,8 +55,151 @@ def test_apply_creates_replaces_and_skips(spark):
     assert {r["id"]: r["extracted_flag"] for r in done.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
     again, _ = facts.apply(state, done, todo, now())
     assert again.count() == 4
-    with pytest.raises(ValueError):
-        facts.replaced(state, f.limit(1).withColumn("cluster_id", F.lit(2).cast("long")), 9, now())
+
+
+def profile(i, c, **k):
+    return {"id": i, "platform": "qq", "user_id": "u", "category": "stable", "cluster_id": c, "statement": "s", "score": 3.0, "created_at": T0, "updated_at": T0, "related_user_ids": []} | k
+
+
+def test_facts_act_in_the_order_of_their_ids(spark):
+    c = table(spark, CLUSTER, [cluster(1), cluster(2, status="profiled", score=6.0), cluster(3, status="replaced", replaced_by=2), cluster(4, status="profiled", score=7.0)])
+    f = table(spark, FACT, [fact(i, evidence_key=f"k{i}") for i in range(1, 9)])
+    todo = spark.createDataFrame(
+        [(1, "merge", 2), (2, "replace", 2), (3, "replace", 2), (4, "merge", 2), (5, "merge", 3), (6, "create", None), (7, "merge", 99), (8, "merge", 4)], "fact_id long, action string, cluster_id long"
+    )
+    edges = table(spark, EDGE, [edge(1, "a", "b", evidence_keys=["backfill|2", "backfill|x"]), edge(2, "a", "c", evidence_keys=["backfill|2", "s|1"]), edge(3, "a", "d", evidence_keys=["backfill|2", "backfill|1"]), edge(4, "a", "e", evidence_keys=["backfill|x"])])
+    p = table(spark, PROFILE, [profile(1, 2, score=6.0), profile(2, 4, score=7.0), profile(3, 77)])
+    mark = facts.successors(c, spark.createDataFrame([(5, 3, "same"), (6, 1, "same"), (6, 3, "drift")], "fact_id long, cluster_id long, verdict string"))
+    assert [r["cluster_id"] for r in mark.collect()] == [2]
+    out = facts.applied(c, f, todo, now(), contradicted=spark.createDataFrame([(1,)], "cluster_id long"), profiles=p, edges=edges)
+    got = {r["id"]: r for r in out.clusters.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]  # each id once
+    assert (got[2]["status"], got[2]["score"], got[2]["replaced_by"], got[2]["evidence_count"]) == ("replaced", 4.5, 5, 2)  # fact 1 joined before fact 2 replaced
+    assert (got[5]["score"], got[5]["status"], got[5]["source_fact_ids"]) == (9.0, "profiled", [2]) and got[6]["source_fact_ids"] == [6]
+    assert got[1]["contradicted_at"] is not None and got[3]["score"] == 3.0
+    assert sorted(r["id"] for r in out.deferred.collect()) == [3, 4, 5, 7]
+    assert {r["id"] for r in out.facts.filter("extracted_flag = 1").collect()} == {1, 2, 6, 8}
+    assert {r["id"]: r["status"] for r in out.edges.collect()} == {1: "superseded", 2: "active", 3: "active", 4: "active"}
+    rows = {r["cluster_id"]: r for r in out.profiles.collect()}
+    assert set(rows) == {4, 5} and (rows[4]["id"], rows[4]["score"]) == (2, 10.0) and rows[5]["id"] == 4 and rows[4]["created_at"] == T0
+
+
+def test_cycle(spark):
+    c = table(spark, CLUSTER, [cluster(1, score=5.0, embedding=[1.0, 0.0]), cluster(2, user_id="w")])
+    f = table(spark, FACT, [fact(1, embedding=[1.0, 0.0]), fact(2, user_id="nobody"), fact(3, embedding=[0.0, 1.0])])
+    given = spark.createDataFrame([(1, "1.0", "same"), (3, "1.5", "same"), (3, "true", "same")], "fact_id long, cluster_id string, verdict string")
+    out = facts.cycle(c, f, given, table(spark, PROFILE, []), table(spark, SUMMARY, []), now())
+    got = {r["id"]: r for r in out.clusters.collect()}
+    assert got[1]["status"] == "profiled" and len(got) == 3  # joined, then promoted; fact 2 made a cluster
+    assert [r["id"] for r in out.deferred.collect()] == [3]  # its candidate has no valid verdict
+    assert [r["cluster_id"] for r in out.profiles.collect()] == [1]
+    skips = facts.skip_list(spark.createDataFrame([(9, 4, 0), (8, 1, 1)], "id long, n int, pos long"), spark.createDataFrame([(9,), (7,)], "id long"), spark.createDataFrame([(8,)], "id long"))
+    assert sorted((r["id"], r["n"]) for r in skips.collect()) == [(7, 1), (9, 5)]
+    assert [r["id"] for r in facts.pending(f, 2, spark.createDataFrame([(1, 5, 0)], "id long, n int, pos long")).collect()] == [2, 3]
+
+
+def test_related_users_come_from_the_first_known_source(spark):
+    c = table(spark, CLUSTER, [cluster(1, source_fact_ids=[3, 2, 1]), cluster(2, related_user_ids=["z"], source_fact_ids=[2]), cluster(3)])
+    f = table(spark, FACT, [fact(1), fact(2, related_user_ids=["b"]), fact(3, related_user_ids=["c"])])
+    assert {r["id"]: r["related_user_ids"] for r in facts.with_related(c, f).collect()} == {1: ["b"], 2: ["z"], 3: []}
+
+
+def test_tools(spark):
+    c, f, p = table(spark, CLUSTER, [cluster(1, score=6.0, status="profiled", embedding=[1.0, 0.0])]), table(spark, FACT, []), table(spark, PROFILE, [profile(1, 1, score=6.0)])
+    item = spark.createDataFrame([("qq", "s", "", "u", "Ann", "stable", "likes tea", "high", dt.datetime(2030, 1, 1), [1.0, 0.0])], "platform string, session_id string, group_id string, user_id string, display_name string, category string, statement string, confidence string, occurred_at timestamp, embedding array<float>")
+    one = tools.write(c, f, p, item, now())
+    assert one.summary.first().asDict() == {"action": "create", "cluster_id": 2}
+    assert one.facts.first()["occurred_at"] == dt.datetime(2024, 2, 1) and "2030-01-01" in one.facts.first()["document_id"]
+    two = tools.write(one.clusters, one.facts, one.profiles, item, now())
+    assert two.summary.first()["action"] == "skipped" and two.clusters.count() == 2
+    fix = tools.correct(two.clusters, two.facts, two.profiles, item, 1, now())
+    assert fix.summary.first().asDict() == {"action": "replace", "cluster_id": 3} and "#" not in fix.facts.first()["document_id"]
+    assert {r["id"]: r["status"] for r in fix.clusters.collect()} == {1: "replaced", 2: "active", 3: "profiled"}
+    other = item.withColumn("user_id", F.lit("w"))
+    assert tools.correct(c, f, p, other, 1, now()).summary.first()["action"] == "skipped"  # not the owner's
+    gone, left = tools.remove(c, p, 1, "drop", now(), "qq", "u")
+    assert gone.first()["status"] == "dead" and left.count() == 0
+    a = table(spark, ALIAS, [{"id": 1, "platform": "qq", "user_id": "u", "name": "Ann", "first_seen": T0, "last_seen": T0, "source": "x"}])
+    assert "## stable\n- s" in tools.profile(p, c, a, "qq", "u").first()["text"]
+    e = table(spark, EDGE, [edge(1, "u", "v"), edge(2, "x", "y")])
+    assert [(r["kind"], r["id"], r["name"]) for r in tools.lookup(c, e, a, [1.0, 0.0], 5).orderBy("kind").collect()] == [("fact", 1, "Ann"), ("relation", 1, "Ann")]
+    assert people.resolved(a, "ａｎｎ").count() == 1 and people.resolved(a.unionByName(a.withColumn("user_id", F.lit("z"))), "Ann").count() == 0
+    section = tools.relation_section(e, "my friend", ["qq:u"], ["bot"], "qq", "Kira", False, now())
+    assert section.first()["line"] == "S(u)的friend是O(v)（2024-01-01）"
+    assert [tuple(r) for r in graph.neighbours(e, [F.col("id")], ["qq:u"], [], "qq", 2).collect()] == [("qq", "v", "O"), ("qq", "x", "S")]
+
+
+def test_encoded_batches(spark):
+    none = dict(bot="b")
+    made = [("u", ["b", "v"], "Ann", "stable", "用户12345（Bob）likes tea", "high"), (none["bot"], [], "", "stable", "bot fact", "high"), ("u", [], "", "odd", "x", "high")]
+    rel = [("u", "v", "unknown", "Vic", "friend", "u and v", "high"), ("u", "b", "Ann", "Kira", "friend", "u and bot", "medium")]
+    schema = f"session_id string, platform string, group_id string, user_id string, occurred_at timestamp, participants array<string>, text string, summary string, ok boolean, embedding array<float>, facts {ingest.FACTS}, relations {ingest.RELATIONS}"
+    b = spark.createDataFrame([("s", "qq", "", "u", T0, ["qq:u"], "raw", "short", True, [1.0, 0.0], made, rel), ("s", "qq", "", "u", T0, ["qq:u"], "lost\0", None, False, None, [], [])], schema)
+    tables = [table(spark, t, []) for t in (FACT, ALIAS, EDGE, SUMMARY)]
+    out = ingest.retained(b, *tables, now(), ["b"])
+    f = out.facts.collect()
+    assert [(r["user_id"], r["related_user_ids"], r["evidence_key"]) for r in f] == [("u", ["v"], "s|2024-01-01")] and f[0]["document_id"].startswith("u-v@s|2024-01-01-")
+    assert [(r["user_id"], r["name"]) for r in out.aliases.collect()] == [("12345", "Bob")]
+    assert {(r["object_uid"], r["status"], r["subject_name"]) for r in out.edges.collect()} == {("v", "active", "unknown"), ("b", "pending", "Ann")} or {(r["object_uid"], r["status"]) for r in out.edges.collect()} == {("v", "active"), ("b", "pending")}
+    s = {r["content"]: r for r in out.summaries.collect()}
+    assert s["short"]["summarized"] and not s["lost\ufffd"]["summarized"] and s["short"]["document_id"].startswith("s-")
+    twice = ingest.retained(b, *out, now(), ["b"])
+    assert [t.count() for t in twice] == [1, 1, 2, 2] and twice.edges.agg(F.max("evidence_count")).first()[0] == 1
+    near = b.filter("ok").withColumn("summary", F.lit("other words"))
+    assert ingest.retained(near, *out, now(), ["b"]).summaries.count() == 2  # as near as the latest summary
+    row = out.summaries.filter("NOT summarized").first()["id"]
+    enc = spark.createDataFrame([(row, True, "found", [0.0, 1.0], made[:1], [])], f"id long, ok boolean, summary string, embedding array<float>, facts {ingest.FACTS}, relations {ingest.RELATIONS}")
+    again = ingest.reencoded(out.summaries, enc, *out[:3], now(), ["b"])
+    assert again.summaries.filter("summarized AND content = 'found'").count() == 1 and again.facts.count() == 1
+
+
+def test_admin_edits(spark):
+    c, p = table(spark, CLUSTER, [cluster(1, status="profiled", score=7.0), cluster(2, status="dead"), cluster(3, status="replaced")]), table(spark, PROFILE, [profile(1, 1, score=7.0)])
+    e = table(spark, EDGE, [edge(1, "a", "b", evidence_keys=["backfill|1"])])
+    out = admin.edit_cluster(c, 1, now(), p, e, status="dead")
+    assert out.profiles.count() == 0 and out.edges.first()["status"] == "superseded" and out.revived.count() == 0
+    back = admin.edit_cluster(c, 2, now(), p, e, status="profiled", score=99.0, statement="new")
+    assert [r["cluster_id"] for r in back.revived.collect()] == [2] and {r["cluster_id"]: (r["statement"], r["score"]) for r in back.profiles.collect()} == {1: ("s", 7.0), 2: ("new", 10.0)}
+    assert admin.update_cluster(c, 3, now(), status="active", score=5.0).filter("id = 3").first()["status"] == "replaced"
+    for bad in ({"statement": " "}, {"status": "x"}):
+        with pytest.raises(ValueError):
+            admin.update_cluster(c, 1, now(), **bad)
+    assert admin.update_edge(e, 1, "superseded", now()).first()["supersede_reason"] == "manual" and graph.delete_edge(e, 1).count() == 0
+
+
+def test_audit_pass(spark):
+    e = table(spark, EDGE, [edge(i, f"a{i}", "b") for i in range(1, 46)])
+    v = spark.createDataFrame([(str(i), "bad" if i == 3 else "ok", "why") for i in range(1, 41)] + [("41.5", "bad", "")], "id string, verdict string, reason string")
+    state, at, failed = graph.audit_pass(e, v, now())
+    assert (at, failed) == (40, 1) and [r["id"] for r in state.filter("status = 'superseded'").collect()] == [3]
+    assert graph.audit_pass(e, v, now(), 40, 2)[1:] == (45, 0)  # passed over after three failures
+
+
+def test_copying_a_store(spark):
+    src = {"summary": table(spark, SUMMARY, [row(1, None), row(2, None)]), "fact": table(spark, FACT, [fact(1), fact(2)]), "cluster": table(spark, CLUSTER, [cluster(1, source_fact_ids=[2, 1]), cluster(2, canonical_statement="b", status="replaced", replaced_by=1)]),
+        "alias": table(spark, ALIAS, []), "edge": table(spark, EDGE, [edge(1, "a", "b", evidence_keys=["backfill|1", "k"])]), "kv": spark.createDataFrame([("x", "1", T0)], KV), "profile": table(spark, PROFILE, [profile(1, 1)])}
+    dst = {"summary": table(spark, SUMMARY, [row(9, None, document_id="d1")]), "fact": table(spark, FACT, [fact(5, document_id="z")]), "cluster": table(spark, CLUSTER, [cluster(7, canonical_statement="q")]), "alias": table(spark, ALIAS, []), "edge": table(spark, EDGE, []), "kv": spark.createDataFrame([], KV), "profile": table(spark, PROFILE, [])}
+    out, report = store.copied(src, dst)
+    got = {r["name"]: tuple(r)[1:] for r in report.collect()}
+    assert got["summary"] == (2, 1, 1, 0) and got["fact"] == (2, 0, 2, 0) and all(x[3] == 0 for x in got.values())
+    c = {r["canonical_statement"]: r for r in out["cluster"].collect()}
+    assert (c["s"]["id"], c["b"]["id"], c["b"]["replaced_by"], c["s"]["source_fact_ids"]) == (8, 9, 8, [7, 6])
+    assert out["edge"].first()["evidence_keys"] == ["backfill|8", "k"] and out["profile"].first()["cluster_id"] == 8
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1000 - 500).alias("x"), "id")
+    got = sorted((r["n"], r["x"], r["id"]) for r in numbered(df, F.col("x"), ["id"], "n", 10).collect())
+    assert [g[0] for g in got] == list(range(11, 3011)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert numbered(df.limit(0), F.col("x"), ["id"]).count() == 0
+
+
+def test_memos_in_flight(spark):
+    at = lambda s: dt.datetime(2024, 2, 1) - dt.timedelta(seconds=s)
+    m = spark.createDataFrame([("k", "a", at(100), True), ("k", "b", at(4000), True), ("k", "c", at(100), False), ("k", "d", at(400), False)], "key string, document_id string, at timestamp, committed boolean")
+    assert sorted(r["document_id"] for r in lifecycle.fresh_memos(m, now()).collect()) == ["a", "c"]
+    more = lifecycle.committed(lifecycle.staged(m, "q", spark.createDataFrame([("z",)], "document_id string"), now()), "q")
+    assert more.filter("key = 'q'").first()["committed"]
 
 
 def test_status_changes(spark):
@@ -194,11 +338,65 @@ def test_import(spark, tmp_path):
     assert len(f) == 1 and (f[0]["statement"], f[0]["confidence"], f[0]["session_id"]) == ("likes tea", "high", "5")
 
 
+def lines(*rows):
+    return pd.DataFrame([{"msg_key": k, "line": t, "uid": u, "is_bot": u == "bot", "ts": pd.Timestamp(T0) + pd.Timedelta(seconds=s)} for k, t, u, s in rows], columns=["msg_key", "line", "uid", "is_bot", "ts"])
+
+
 def test_retain_step():
-    rows = pd.DataFrame({"msg_key": ["1", "2", "1"], "line": ["a", "b", "a2"], "uid": ["u", "bot", "u"], "is_bot": [False, True, False], "ts": pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:02"])})
-    s, due = retain.step(None, rows, 1)
-    assert due and s["lines"] == ["b", "a2"] and s["rounds"] == 1
-    assert not retain.step(None, rows[rows.uid == "bot"], 1)[1]
+    s, due = retain.step(None, "qq:dm:1", lines(("1", "a", "u", 0), ("1", "a2", "u", 1), ("2", "b", "bot", 2)), 1)
+    assert [(d["lines"], d["bot_lines"], d["rounds"], d["participants"], d["history"]) for d in due] == [(["a2"], ["b"], 1, ["u"], [])]
+    s, due = retain.step(s, "qq:dm:1", lines(("3", "alone", "bot", 3), ("4", "c", "w", 4)), 1)
+    assert not due and not s["rounds"]  # the bot alone is no round
+    s, due = retain.step(s, "qq:dm:1", lines(("5", "d", "bot", 5)), 1)
+    assert due[0]["lines"] == ["c"] and due[0]["bot_lines"] == ["alone", "d"] and due[0]["history"] == ["a2", "b"]
+    s, due = retain.step(s, "x", lines(*[(f"m{i}", f"t{i}", "u", 10 + i) for i in range(50)], ("e", "z", "bot", 90)), 2)
+    assert not due and len(s["cache"]) == retain.LINES and s["lines"] == [f"t{i}" for i in range(21, 50)]
+    s, due = retain.step(s, "x", lines(("f", "y", "v", 91), ("g", "z2", "bot", 92)), 2)
+    assert due[0]["rounds"] == 2 and due[0]["lines"][-1] == "y" and due[0]["participants"] == ["u", "v"]
+
+
+def test_retain_stream_ends(spark, tmp_path):
+    """Five private rounds make one batch, an idle session is flushed when time moves on, and the stream ends."""
+    def at(s):
+        return T0 + dt.timedelta(seconds=s)
+
+    talk = [("qq:dm:1", f"{k}{i}", f"{k}{i}", "u" if k == "q" else "bot", k == "a", at(60 * i + (k == "a"))) for i in range(6) for k in "qa"]
+    other = [("qq:gm:2", "x", "hello", "v", False, at(5)), ("qq:gm:2", "y", "hi", "bot", True, at(6))]
+    later = [("qq:dm:9", "z", "late", "w", False, at(9000)), ("qq:dm:9", "z2", "later", "w", False, at(9001))]
+    schema = "session_key string, msg_key string, line string, uid string, is_bot boolean, ts timestamp"
+    for i, part in enumerate((talk + other, later)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got: list = []
+    q = retain.sink(retain.retained(src), lambda df, _: got.extend(df.collect()), f"{tmp_path}/ck", {"availableNow": True})
+    assert q.awaitTermination(60) and q.exception() is None
+    assert sorted((r["session_key"], r["reason"], r["rounds"], len(r["lines"])) for r in got) == [("qq:dm:1", "idle", 1, 1), ("qq:dm:1", "rounds", 5, 5), ("qq:gm:2", "rounds", 1, 1)]
+    assert [r["history"] for r in got if r["reason"] == "idle"] == [[f"{k}{i}" for i in range(5) for k in "qa"]]
+    assert len(q.recentProgress) <= 6  # no empty batches while nothing happens
+
+
+def test_waiting_batches(spark):
+    kind = "session_key string, first_ts timestamp, last_ts timestamp, lines array<string>, bot_lines array<string>, history array<string>, participants array<string>, rounds int, failed boolean, user_id string, generation int"
+    t = lambda h: T0 + dt.timedelta(hours=h)
+    b = spark.createDataFrame([
+        ("s", t(2), t(3), ["c"], ["d"], ["x"], ["u", "v"], 1, False, "u", 1), ("s", t(0), t(1), ["a"], ["b"], [], ["u"], 2, False, "u", 1), ("s", t(-1), t(0), ["f"], [], [], ["w"], 1, True, "w", 1),
+    ], kind)
+    got = {r["failed"]: r for r in retain.merged(b).collect()}
+    assert (got[False]["lines"], got[False]["bot_lines"], got[False]["history"], got[False]["participants"], got[False]["rounds"], got[False]["last_ts"]) == (["a", "c"], ["b", "d"], [], ["u", "v"], 3, t(3))
+    assert got[True]["lines"] == ["f"]  # flushed alone
+    assert retain.reseated(b.limit(0), b).filter("failed").count() == 3
+    assert retain.not_erased(b, spark.createDataFrame([("u", 2)], "user_id string, generation int")).count() == 1
+    rows = spark.createDataFrame([("s", "old", t(1)), ("k", "kept", t(5))], "session_key string, payload string, updated_at timestamp")
+    new = retain.stored(rows, spark.createDataFrame([("s", "new", t(2)), ("k", "late", t(3))], rows.schema))
+    assert {r["session_key"]: r["payload"] for r in new.collect()} == {"s": "new", "k": "kept"}
+    assert [r["session_key"] for r in retain.cleared(new, spark.createDataFrame([("s", t(2)), ("k", t(4))], "session_key string, cutoff timestamp")).collect()] == ["k"]
+    sent = spark.createDataFrame([("s", f"m{i}", t(i)) for i in range(5)] + [("s", "m0", t(9))], "session_key string, message_id string, ts timestamp")
+    assert sorted(r["message_id"] for r in retain.bot_messages(sent, 3).collect()) == ["m2", "m3", "m4"]
+    runs = spark.createDataFrame([("cycle", dt.datetime(2024, 1, 31, 23)), ("decay", T0)], "name string, last_run timestamp")
+    assert sorted(r["name"] for r in retain.due(runs, now()).collect()) == ["archive", "decay", "embeddings"]
+    m = spark.createDataFrame([(1, "s", "why", ["k1", "k2", "k3", "zz"]), (2, "s", "alone", [])], "turn_id int, session_key string, text string, quotes array<string>")
+    cache = spark.createDataFrame([("s", f"k{i}", f" line {i} ", t(i)) for i in (1, 2, 3)], "session_key string, msg_key string, line string, ts timestamp")
+    assert {r["turn_id"]: r["query"] for r in retain.quote_text(m, cache).collect()} == {1: "why line 1 line 2", 2: "alone"}
 
 
 def test_decay_needs_activity(spark):
