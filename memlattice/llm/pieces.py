@@ -33,7 +33,7 @@ from .common import fresh, ragged, slices
 
 MARK = "▁"
 #: Bytes of a slice of texts, and the longest unit relaxed in rounds.
-SLICE, SHORT = 4_000_000, 48
+SLICE, SHORT = 2_500_000, 48
 #: Stands between units; above every code point.
 GAP = 0x110000
 
