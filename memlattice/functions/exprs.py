@@ -98,24 +98,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.when(norm > 0, _dot(x, y) / norm))
 
 
-#: Dimensions up to which a product with a given vector is spelled out, so that it is compiled.
-SPELLED = 128
-
-
 def cosine_to(a: Column, query: list[float]) -> Column:
     """The cosine of a to a given vector, whose length is taken once; null as in cosine."""
     norm = sum(x * x for x in query) ** 0.5
     if not query or norm == 0:
         return F.lit(None).cast("double")
     x = a.cast("array<double>")
-    if len(query) <= SPELLED:
-        dot, own = F.lit(0.0), F.lit(0.0)
-        for i, q in enumerate(query):
-            e = F.get(x, F.lit(i))
-            dot, own = dot + e * F.lit(float(q)), own + e * e
-    else:
-        dot, own = _dot(x, F.array(*[F.lit(float(q)) for q in query])), _dot(x, x)
-    return F.when((F.size(a) == len(query)) & (own > 0), dot / (F.sqrt(own) * F.lit(norm)))
+    own = _dot(x, x)
+    return F.when((F.size(a) == len(query)) & (own > 0), _dot(x, F.array(*[F.lit(float(q)) for q in query])) / (F.sqrt(own) * F.lit(norm)))
 
 
 def parse_vector(text: Column) -> Column:

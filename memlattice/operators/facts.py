@@ -26,7 +26,7 @@ def valid_facts(items: DataFrame, max_chars: int = 200) -> DataFrame:
     """Encoder output that is a fact: known category and confidence, non-blank user and statement, trimmed and cut."""
     t = lambda n: F.trim(F.coalesce(F.col(n).cast("string"), F.lit("")))
     out = items.withColumns({n: t(n) for n in ("user_id", "statement", "category", "confidence", "display_name")})
-    related = F.array_distinct(F.filter(F.transform(F.coalesce("related_user_ids", F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    related = F.array_distinct(F.filter(F.transform(F.coalesce("related_user_ids", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     return out.filter((F.col("user_id") != "") & (F.col("statement") != "") & F.col("category").isin(*CATEGORIES) & F.col("confidence").isin(*CONFIDENCES)).withColumns({"statement": F.substring("statement", 1, max_chars), "related_user_ids": related})
 
 

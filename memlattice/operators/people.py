@@ -75,9 +75,9 @@ def matched(texts: DataFrame, aliases: DataFrame, window: DataFrame | None = Non
     return hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).select("text_id", *OWNER, "name")
 
 
-def resolved(aliases: DataFrame, name: str) -> DataFrame:
+def resolved(aliases: DataFrame, name: str | Column) -> DataFrame:
     """(platform, user_id) that a tool's argument names: one row, or none if the name is unknown or means several."""
-    own = aliases.filter(normalized_alias("name") == normalized_alias(F.lit(name))).select(*OWNER).distinct()
+    own = aliases.filter(normalized_alias("name") == normalized_alias(F.lit(name) if isinstance(name, str) else name)).select(*OWNER).distinct()
     n = own.agg(F.count("*").alias("_n"))  # one row
     return own.crossJoin(F.broadcast(n)).filter("_n = 1").drop("_n")
 

@@ -125,12 +125,30 @@ def _bm25(tf: Column, length: Column, df: Column, n: Column, avg: Column, k1: fl
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
 
 
+#: What tokens are made of.
+_CJK, _WORD = "[\\x{4e00}-\\x{9fff}]", "[A-Za-z0-9]"
+
+
+def _occurrences(token: str) -> Column:
+    """How often a token of search_tokens occurs in content, without making the tokens."""
+    if re.fullmatch("[a-z0-9]+", token):
+        pattern = f"(?i)(?<!{_WORD}){token}(?!{_WORD})"
+        return F.when(F.contains(F.lower("content"), F.lit(token)), F.regexp_count("content", F.lit(pattern))).otherwise(0)
+    pattern = f"(?={token})" if len(token) > 1 else f"(?<!{_CJK}){token}(?!{_CJK})"
+    return F.when(F.contains("content", F.lit(token)), F.regexp_count("content", F.lit(pattern))).otherwise(0)
+
+
 def token_counts(rows: DataFrame, asked: list[str]) -> DataFrame:
-    """(id, len, tfs): each row's number of tokens, and of each token asked; nothing is exploded."""
-    words = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != "")
-    tokens = F.when(F.col("content").rlike("[\\x{4e00}-\\x{9fff}\\x{130}\\x{212a}]"), search_tokens(F.col("content"))).otherwise(F.coalesce(words, F.array().cast("array<string>")))
-    one = rows.select("id", tokens.alias("t"))
-    return one.select("id", F.size("t").alias("len"), F.array(*[(F.size("t") - F.size(F.array_remove("t", w))) for w in asked]).alias("tfs"))
+    """(id, len, tfs): each row's number of tokens, and of each token asked; no token is made, let alone exploded.
+
+    A run of n characters beyond ASCII makes n - 1 pairs, a single one itself. The narrow rows are exchanged once and
+    serve both the statistics and the scores.
+    """
+    words = F.regexp_count("content", F.lit(f"{_WORD}+"))
+    pairs = F.regexp_count("content", F.lit(f"{_CJK}(?={_CJK})")) + F.regexp_count("content", F.lit(f"(?<!{_CJK}){_CJK}(?!{_CJK})"))
+    length = words + F.when(F.col("content").rlike(_CJK), pairs).otherwise(0)
+    one = rows.select("id", F.coalesce(length, F.lit(0)).alias("len"), F.array(*[F.coalesce(_occurrences(w), F.lit(0)) for w in asked]).alias("tfs"))
+    return one.repartition("id")
 
 
 def lexical_scores(counts: DataFrame, n_asked: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -175,14 +193,20 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
 
 
 def hybrid(rows: DataFrame, query: list[float], query_text: str, s: Scope, n: int, k: int = 60, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Both legs fused; without a token in the query the vector leg alone."""
+    """Both legs fused, each computed once; without a token in the query the vector leg alone."""
     v = vector_leg(rows, query, s, n)
     if not query_tokens(query_text):
         return v.withColumn("rrf", F.lit(None).cast("double"))
     t = lexical_leg(rows, query_text, query, s, n, index=index)
-    fused = fuse(v, t, k)
-    found = v.unionByName(t.select(*v.columns)).dropDuplicates(["id"])
-    return found.join(fused, "id").orderBy(F.desc("rrf"), F.col("v_rank").asc_nulls_last(), "t_rank")
+    cols, none = v.columns, F.lit(None).cast("int")
+    # the legs hold n rows each, so ranking them in one task is bounded
+    v_rank = F.row_number().over(Window.orderBy(F.desc("relevance"), "id")) - 1
+    t_rank = F.row_number().over(Window.orderBy(F.desc(F.round("bm25", 9)), "id")) - 1
+    row = F.struct(*cols).alias("row")
+    both = v.select("id", row, v_rank.alias("v_rank"), none.alias("t_rank")).unionByName(t.select("id", row, none.alias("v_rank"), t_rank.alias("t_rank")))
+    one = both.groupBy("id").agg(F.any_value("row").alias("row"), F.max("v_rank").alias("v_rank"), F.max("t_rank").alias("t_rank"))
+    rrf = F.coalesce(1 / (k + F.col("v_rank")), F.lit(0.0)) + F.coalesce(1 / (k + F.col("t_rank")), F.lit(0.0))
+    return one.select("row.*", "v_rank", "t_rank", rrf.alias("rrf")).orderBy(F.desc("rrf"), F.col("v_rank").asc_nulls_last(), "t_rank")
 
 
 def aged(rows: DataFrame, now: Column, half_life_days: float, score: str = "relevance") -> DataFrame:

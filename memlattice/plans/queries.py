@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import admin, facts, graph, lifecycle, people, recall
 from ..schemas import Config
-from ..sources import importers, store
+from ..sources import importers, postings, scratch, store
 from ..streaming import retain
 from .views import frame, oracle
 
@@ -41,6 +42,19 @@ def vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(frame(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of v_summary, as a store keeps them: written once for an application and tables, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        root = f"{scratch.scratch_dir(spark)}/memlattice/postings-{uuid.uuid4().hex}"
+        postings.write(frame(spark, sf_dir, "v_summary"), root)
+        _stored[key] = root
+    return postings.read(spark, _stored[key])
+
+
 COS = "round(list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))), 6)"
 Q = "qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
 LATE = f"late AS (SELECT id FROM v_summary WHERE session_id = '{SESSION}' AND summarized ORDER BY occurred_at DESC, id DESC LIMIT 5)"
@@ -67,9 +81,15 @@ BM25 = f"""tk AS (SELECT id, {TOKENS} AS t FROM v_summary), st AS (SELECT count(
 TEXT = "the heon ation password"
 
 
+@query(f"WITH tk AS (SELECT id, {TOKENS} AS t FROM v_summary), p AS (SELECT id, len(t) AS l, unnest(t) AS w FROM tk) SELECT w AS token, count(DISTINCT id) AS df, count(*) AS tf, CAST(max(l) AS INT) AS longest FROM p GROUP BY w")
+def postings_written(spark, d):
+    """Writes the postings and reads them all: each token's documents, occurrences and longest document."""
+    return stored_postings(spark, d)[0].groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"), F.max("len").alias("longest"))
+
+
 @query(f"WITH {Q}, {LATE}, {BM25} SELECT id, round(bm25, 6) AS bm25 FROM v_summary JOIN b USING (id), qv WHERE embedding IS NOT NULL AND {SCOPE} ORDER BY round(b.bm25, 9) DESC, id LIMIT 10")
 def recall_lexical(spark, d):
-    return recall.lexical_leg(frame(spark, d, "v_summary"), TEXT, vector(spark, d), scope(), 10).select("id", F.round("bm25", 6).alias("bm25"))
+    return recall.lexical_leg(frame(spark, d, "v_summary"), TEXT, vector(spark, d), scope(), 10, index=stored_postings(spark, d)).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 FUSED = f"""{Q}, {LATE}, {BM25}, base AS (SELECT v_summary.*, {COS} AS rel, list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))) AS raw FROM v_summary, qv WHERE embedding IS NOT NULL AND {SCOPE}),
@@ -79,12 +99,12 @@ FUSED = f"""{Q}, {LATE}, {BM25}, base AS (SELECT v_summary.*, {COS} AS rel, list
 
 @query(f"WITH {FUSED} SELECT id, round(rrf, 8) AS rrf FROM fu")
 def recall_hybrid_rrf(spark, d):
-    return recall.hybrid(frame(spark, d, "v_summary"), vector(spark, d), TEXT, scope(), 20).select("id", F.round("rrf", 8).alias("rrf"))
+    return recall.hybrid(frame(spark, d, "v_summary"), vector(spark, d), TEXT, scope(), 20, index=stored_postings(spark, d)).select("id", F.round("rrf", 8).alias("rrf"))
 
 
 @query(f"WITH {FUSED} SELECT id, round(rrf * pow(2.0, -((epoch_us({{now}}) - epoch_us(occurred_at)) / 86400000000.0) / 90.0), 8) AS score FROM fu JOIN base USING (id)")
 def recall_decayed(spark, d):
-    rows = recall.hybrid(frame(spark, d, "v_summary"), vector(spark, d), TEXT, scope(), 20)
+    rows = recall.hybrid(frame(spark, d, "v_summary"), vector(spark, d), TEXT, scope(), 20, index=stored_postings(spark, d))
     return recall.aged(rows, now().cast("timestamp"), 90.0, "rrf").select("id", F.round("rrf", 8).alias("score"))
 
 
@@ -122,10 +142,27 @@ def write_dedup_best(spark, d):
     return recall.best_recent(frame(spark, d, "v_summary"), vector(spark, d), recall.Scope(session_id=SESSION)).select(F.round("best", 6).alias("best"))
 
 
-@query()
+FOUND = FUSED.replace(f"{LATE}, ", "").replace(SCOPE, "user_id IN ('7', '8', '9') AND summarized AND NOT archived")
+
+
+@query(f"""WITH RECURSIVE {FOUND}, sc AS (SELECT base.id, rrf * pow(2.0, -((epoch_us({{now}}) - epoch_us(occurred_at)) / 86400000000.0) / 90.0) AS score, CAST(embedding AS DOUBLE[]) AS e,
+        row_number() OVER (ORDER BY rrf DESC, vl.r ASC NULLS LAST, tl.r ASC NULLS LAST, base.id) AS pos FROM base JOIN fu USING (id) LEFT JOIN vl USING (id) LEFT JOIN tl USING (id)),
+    c AS (SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS rn FROM sc),
+    w(rn, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT w.rn + 1, CASE WHEN EXISTS (SELECT 1 FROM c x JOIN c y ON y.rn = w.rn + 1 WHERE list_contains(w.kept, x.id)
+        AND list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.3) THEN w.kept ELSE list_append(w.kept, (SELECT id FROM c WHERE c.rn = w.rn + 1)) END FROM w WHERE w.rn < (SELECT count(*) FROM c)),
+    k AS (SELECT unnest(kept) AS id FROM w WHERE rn = (SELECT max(rn) FROM w))
+    SELECT id, round(score, 8) AS score FROM c JOIN k USING (id) ORDER BY rn LIMIT 5""")
 def recall_search(spark, d):
     s = recall.Scope("user", platform="en", user_ids=("7", "8", "9"))
-    out = recall.search(frame(spark, d, "v_summary"), vector(spark, d), TEXT, s, now().cast("timestamp"), per_user=("7", "8"))
+    out = recall.search(frame(spark, d, "v_summary"), vector(spark, d), TEXT, s, now().cast("timestamp"), dedup=0.3, index=stored_postings(spark, d))
+    return out.select("id", F.round("score", 8).alias("score"))
+
+
+@query()
+def recall_quota(spark, d):
+    """Per-user quotas are a fold over ranked rows; tests hold it against a plain one."""
+    s = recall.Scope("user", platform="en", user_ids=("7", "8", "9"))
+    out = recall.search(frame(spark, d, "v_summary"), vector(spark, d), TEXT, s, now().cast("timestamp"), per_user=("7", "8"), index=stored_postings(spark, d))
     return out.select("id", "user_id", F.round("score", 8).alias("score"))
 
 
@@ -175,12 +212,15 @@ def profile_anchors(spark, d):
     return facts.anchors(frame(spark, d, "v_profile"), frame(spark, d, "v_cluster"), 5)
 
 
-LIVE = "lv AS (SELECT DISTINCT platform, user_id FROM (SELECT 'qq' AS platform, user_id FROM v_fact WHERE occurred_at > TIMESTAMP '2024-01-20 00:00:00' AND id % 3 = 0))"
+LIVE = "lv AS (SELECT DISTINCT 'qq' AS platform, CAST(2 * CAST(user_id AS INT) AS VARCHAR) AS user_id FROM v_fact WHERE occurred_at > TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'error')"
 
 
 def _activity(spark, d):
-    seen = frame(spark, d, "v_fact").filter("id % 3 = 0")
-    return seen.select(F.lit("chat_summary").alias("kind"), "platform", "user_id", F.array().cast("array<string>").alias("participants"), "occurred_at")
+    """A summary for each fact: no trigger user, one participant, the bot's own for some."""
+    seen = frame(spark, d, "v_fact")
+    kind = F.when(F.col("event_type") == "error", "bot_self").otherwise("chat_summary")
+    people_ = F.array(F.concat(F.lit("qq:"), (F.col("user_id").cast("int") * 2).cast("string"), F.lit(":lost")))
+    return seen.select(kind.alias("kind"), "platform", F.lit("").alias("user_id"), people_.alias("participants"), "occurred_at")
 
 
 @query(f"""WITH {ANCHOR}, {LIVE}, a AS (SELECT c.*, c.id IN (SELECT cluster_id FROM an) AS anchor, EXISTS (SELECT 1 FROM lv WHERE lv.platform = c.platform AND lv.user_id = c.user_id) AS live,
@@ -201,11 +241,11 @@ def fact_promote(spark, d):
 
 def _incoming(spark, d):
     c = frame(spark, d, "v_cluster").select(F.col("id").alias("cluster_id"), "platform", "user_id", "category", F.col("canonical_statement").alias("event_type"))
-    return frame(spark, d, "v_fact").filter("id % 2 = 0").withColumn("evidence_key", F.concat("evidence_key", F.when(F.col("id") % 3 == 0, "|x").otherwise(""))).join(c, ["platform", "user_id", "category", "event_type"])
+    return frame(spark, d, "v_fact").withColumn("evidence_key", F.concat("evidence_key", F.when(F.col("id") % 3 == 0, "|x").otherwise(""))).join(c, ["platform", "user_id", "category", "event_type"])
 
 
 @query("""WITH f AS (SELECT x.id, c.id AS cid, concat(x.evidence_key, CASE WHEN x.id % 3 = 0 THEN '|x' ELSE '' END) AS k, CASE WHEN x.confidence = 'high' THEN 3.0 ELSE 2.0 END AS p, x.occurred_at AS seen
-        FROM v_fact x JOIN v_cluster c ON c.platform = x.platform AND c.user_id = x.user_id AND c.category = x.category AND c.canonical_statement = x.event_type WHERE x.id % 2 = 0),
+        FROM v_fact x JOIN v_cluster c ON c.platform = x.platform AND c.user_id = x.user_id AND c.category = x.category AND c.canonical_statement = x.event_type),
     n AS (SELECT f.* FROM f JOIN v_cluster c ON c.id = f.cid WHERE NOT list_contains(c.evidence_keys, f.k) QUALIFY row_number() OVER (PARTITION BY cid, k ORDER BY f.id) = 1),
     g AS (SELECT cid, sum(p) AS p, count(*) AS n FROM n GROUP BY cid), m AS (SELECT cid, max(seen) AS seen FROM f GROUP BY cid)
     SELECT c.id, round(CASE WHEN g.n > 0 THEN least(10.0, c.score + g.p) ELSE c.score END, 6) AS score, CAST(c.evidence_count + coalesce(g.n, 0) AS INT) AS evidence_count, CASE WHEN g.n > 0 AND c.status IN ('pending_uncertain', 'dead') THEN 'active' ELSE c.status END AS status,
@@ -229,11 +269,16 @@ def fact_actions(spark, d):
     return facts.actions(f, c, v.withColumn("verdict", F.when(m == 0, "correction").when(m == 1, "same").otherwise("unrelated")))
 
 
-@query("""SELECT f.id AS fact_id, count(*) AS n FROM v_fact f JOIN v_cluster c ON c.platform = f.platform AND c.category = f.category AND list_has_any(list_append(c.related_user_ids, c.user_id), list_append(f.related_user_ids, f.user_id)) WHERE f.extracted_flag = 0 GROUP BY f.id""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT f.id AS fact_id, c.id AS cluster_id, c.updated_at, fe.v AS fv, CASE WHEN fe.v IS NOT NULL AND ce.v IS NOT NULL THEN list_dot_product(fe.v, ce.v) / (sqrt(list_dot_product(fe.v, fe.v)) * sqrt(list_dot_product(ce.v, ce.v))) END AS near
+        FROM v_fact f JOIN v_cluster c ON c.platform = f.platform AND c.category = f.category AND list_has_any(list_append(c.related_user_ids, c.user_id), list_append(f.related_user_ids, f.user_id))
+        LEFT JOIN e fe ON fe.vec_id = f.id % 997 LEFT JOIN e ce ON ce.vec_id = c.id % 499 WHERE f.extracted_flag = 0)
+    SELECT fact_id, cluster_id, rank FROM (SELECT fact_id, cluster_id, row_number() OVER (PARTITION BY fact_id ORDER BY near DESC NULLS LAST, updated_at DESC, cluster_id) AS rank FROM p WHERE fv IS NULL OR near IS NOT NULL) WHERE rank <= 20""")
 def fact_candidates(spark, d):
-    none = F.lit(None).cast("array<float>")
-    f, c = frame(spark, d, "v_fact").filter("extracted_flag = 0").withColumn("embedding", none), frame(spark, d, "v_cluster").withColumn("embedding", none)
-    return facts.candidates(f, c, 1_000_000).groupBy("fact_id").agg(F.count("*").alias("n"))
+    e = frame(spark, d, "embeddings").select("vec_id", "embedding")
+    f = frame(spark, d, "v_fact").filter("extracted_flag = 0").withColumn("vec_id", F.col("id") % 997).join(e, "vec_id", "left")
+    c = frame(spark, d, "v_cluster").withColumn("vec_id", F.col("id") % 499).join(e, "vec_id", "left")
+    return facts.candidates(f, c).select("fact_id", "cluster_id", "rank")
 
 
 @query("SELECT category, status, count(*) AS n, round(sum(score), 6) AS score FROM v_cluster GROUP BY category, status")
@@ -258,7 +303,7 @@ def profile_sections_multi(spark, d):
     return people.sections_multi(frame(spark, d, "v_profile"), frame(spark, d, "v_cluster"), owners, 2).select("category", "cluster_id", "rn")
 
 
-@query("SELECT user_id, id, canonical_statement FROM v_cluster WHERE status = 'pending_uncertain' QUALIFY row_number() OVER (PARTITION BY platform, user_id ORDER BY occurred_at DESC, score DESC, updated_at DESC, id) <= 5")
+@query("SELECT user_id, id, canonical_statement FROM v_cluster WHERE status IN ('pending_uncertain', 'replaced') QUALIFY row_number() OVER (PARTITION BY platform, user_id ORDER BY occurred_at DESC, score DESC, updated_at DESC, id) <= 5")
 def profile_uncertain(spark, d):
     return people.uncertain(frame(spark, d, "v_cluster")).select("user_id", "id", "canonical_statement")
 
@@ -287,11 +332,14 @@ def alias_merge(spark, d):
     return people.alias_upsert(old, a.filter("id % 2 = 0").withColumn("source", F.lit("new"))).select("user_id", "name", "last_seen", "source")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT platform, user_id, name, lower(name) AS key FROM v_alias WHERE length(name) >= 2), u AS (SELECT key FROM n GROUP BY key HAVING count(*) = 1),
+    t AS (SELECT a.id AS text_id, lower(concat('Hello ', a.name, ', see ', coalesce(b.name, ''), '!')) AS t FROM v_alias a LEFT JOIN v_alias b ON b.id = a.id + 1)
+    SELECT text_id, user_id, name FROM (SELECT t.text_id, n.user_id, n.name, row_number() OVER (PARTITION BY t.text_id ORDER BY length(n.key) DESC, n.key, n.platform, n.user_id) AS rn FROM t JOIN n ON contains(t.t, n.key) JOIN u ON u.key = n.key) WHERE rn <= 4""")
 def alias_match(spark, d):
-    texts = frame(spark, d, "v_summary").select(F.col("id").alias("text_id"), F.col("content").alias("text"))
-    names = spark.createDataFrame([("qq", "1", "Thst", None), ("qq", "2", "the heon", None), ("qq", "3", "password", None)], "platform string, user_id string, name string, last_seen timestamp")
-    return people.matched(texts, names)
+    a = frame(spark, d, "v_alias").select("id", "platform", "user_id", "name", "last_seen")
+    after = a.select((F.col("id") - 1).alias("id"), F.col("name").alias("other"))
+    text = F.concat(F.lit("Hello "), "name", F.lit(", see "), F.coalesce("other", F.lit("")), F.lit("!"))
+    return people.matched(a.join(after, "id", "left").select(F.col("id").alias("text_id"), text.alias("text")), a).select("text_id", "user_id", "name")
 
 
 # -- graph ------------------------------------------------------------------------------------------------------
@@ -313,9 +361,12 @@ def graph_integrity(spark, d):
     return graph.integrity(frame(spark, d, "v_edge"), frame(spark, d, "v_alias"), frame(spark, d, "v_cluster"), now())
 
 
-@query(f"WITH {DEAD}, {KEYS} SELECT id FROM es GROUP BY id HAVING bool_and(c IS NOT NULL AND c IN (SELECT id FROM dd))")
+@query(f"""WITH {DEAD}, k AS (SELECT id, unnest(list_transform(evidence_keys, lambda x: replace(x, 's|', 'backfill|'))) AS k FROM v_edge WHERE status = 'active')
+    SELECT id FROM k GROUP BY id HAVING bool_and(CAST(substring(k, 10) AS BIGINT) IN (SELECT id FROM dd))""")
 def graph_dead_sources(spark, d):
-    return graph.only_dead_sources(frame(spark, d, "v_edge"), frame(spark, d, "v_cluster").filter("status IN ('dead', 'replaced')").select(F.col("id").alias("cluster_id"))).select("id")
+    e = frame(spark, d, "v_edge").withColumn("evidence_keys", F.transform("evidence_keys", lambda k: F.replace(k, F.lit("s|"), F.lit("backfill|"))))
+    dead = frame(spark, d, "v_cluster").filter("status IN ('dead', 'replaced')").select(F.col("id").alias("cluster_id"))
+    return graph.only_dead_sources(e, dead).select("id")
 
 
 @query("SELECT id, evidence_count FROM v_edge WHERE status = 'active' AND (subject_uid IN ('1', '2', '3') OR object_uid IN ('1', '2', '3')) ORDER BY evidence_count DESC, last_seen DESC, id LIMIT 64")
@@ -330,11 +381,18 @@ def graph_selected(spark, d):
     return out.select("id", "anchor")
 
 
-@query("""WITH r AS (SELECT DISTINCT platform, subject_uid, object_uid, relation_label FROM v_edge WHERE id % 3 = 0), b AS (SELECT * FROM r UNION SELECT platform, object_uid, subject_uid, relation_label FROM r)
+@query("""WITH r AS (SELECT DISTINCT platform, CASE WHEN id % 3 = 2 THEN object_uid ELSE subject_uid END AS subject_uid, CASE WHEN id % 3 = 2 THEN subject_uid ELSE object_uid END AS object_uid,
+        CASE WHEN id % 3 = 1 THEN concat(relation_label, 'x') ELSE relation_label END AS relation_label FROM v_edge),
+    b AS (SELECT * FROM r UNION SELECT platform, object_uid, subject_uid, relation_label FROM r)
     SELECT e.subject_uid, e.object_uid, e.relation_label FROM v_edge e SEMI JOIN b ON b.subject_uid = e.subject_uid AND b.object_uid = e.object_uid AND b.relation_label = e.relation_label WHERE e.status <> 'superseded'""")
 def graph_probe(spark, d):
     e = frame(spark, d, "v_edge")
-    return graph.probe(e, e.filter("id % 3 = 0")).select("subject_uid", "object_uid", "relation_label")
+    turned = F.col("id") % 3 == 2
+    asked = e.select(
+        "platform", F.when(turned, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(turned, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"),
+        F.when(F.col("id") % 3 == 1, F.concat("relation_label", F.lit("x"))).otherwise(F.col("relation_label")).alias("relation_label"),
+    )
+    return graph.probe(e, asked).select("subject_uid", "object_uid", "relation_label")
 
 
 @query("""WITH t AS (SELECT * FROM v_edge ORDER BY evidence_count DESC, last_seen DESC, id LIMIT 500) SELECT concat('qq:', u) AS node, count(*) AS degree FROM (SELECT subject_uid AS u FROM t UNION ALL SELECT object_uid FROM t) GROUP BY u""")
@@ -347,7 +405,19 @@ def _relations(spark, d):
     return e.select("platform", F.when(F.col("id") % 4 == 0, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(F.col("id") % 4 == 0, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"), "relation_label", F.col("object_name").alias("subject_name"), "object_name", "statement", "confidence", F.col("last_seen").alias("occurred_at"), F.concat(F.lit("n|"), (F.col("id") % 3).cast("string")).alias("evidence_key"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"), F.lit(True).alias("count_on_conflict"), F.col("id").alias("pos"))
 
 
-@query()
+@query("""WITH r AS (SELECT platform, CASE WHEN id % 4 = 0 THEN object_uid ELSE subject_uid END AS subject_uid, CASE WHEN id % 4 = 0 THEN subject_uid ELSE object_uid END AS object_uid, relation_label, confidence, concat('n|', id % 3) AS k, id AS pos
+        FROM v_edge WHERE relation_label <> '5-low'),
+    lv AS (SELECT subject_uid, object_uid, relation_label FROM v_edge WHERE status <> 'superseded'),
+    j AS (SELECT r.*, own.subject_uid IS NOT NULL AS known, mir.subject_uid IS NOT NULL AS mirror,
+        first_value(r.subject_uid) OVER (PARTITION BY r.platform, least(r.subject_uid, r.object_uid), greatest(r.subject_uid, r.object_uid), r.relation_label ORDER BY pos) AS fs FROM r
+        LEFT JOIN lv own ON own.subject_uid = r.subject_uid AND own.object_uid = r.object_uid AND own.relation_label = r.relation_label
+        LEFT JOIN lv mir ON mir.subject_uid = r.object_uid AND mir.object_uid = r.subject_uid AND mir.relation_label = r.relation_label),
+    b AS (SELECT subject_uid, object_uid, relation_label, list(DISTINCT k) AS ks, bool_or(confidence = 'high') AS hi, arg_min(confidence, pos) AS c1 FROM j WHERE known OR NOT (mirror OR fs <> subject_uid) GROUP BY ALL),
+    o AS (SELECT coalesce(e.subject_uid, b.subject_uid) AS subject_uid, coalesce(e.object_uid, b.object_uid) AS object_uid, coalesce(e.relation_label, b.relation_label) AS relation_label, coalesce(e.status, 'active') AS status,
+        CASE WHEN b.hi THEN 'high' ELSE coalesce(e.confidence, b.c1) END AS confidence, coalesce(e.evidence_count, 0) AS n, coalesce(e.evidence_keys, CAST([] AS VARCHAR[])) AS old, coalesce(b.ks, CAST([] AS VARCHAR[])) AS ks
+        FROM v_edge e FULL JOIN b ON b.subject_uid = e.subject_uid AND b.object_uid = e.object_uid AND b.relation_label = e.relation_label)
+    SELECT subject_uid, object_uid, relation_label, status, confidence, CAST(n + len(list_filter(ks, lambda x: NOT list_contains(old, x))) AS INT) AS evidence_count,
+        array_to_string(list_sort(list_concat(old, list_filter(ks, lambda x: NOT list_contains(old, x)))), ',') AS evidence_keys FROM o""")
 def graph_upsert(spark, d):
     out = graph.upserted(frame(spark, d, "v_edge"), _relations(spark, d), now(), ["5-low"])
     return out.select("subject_uid", "object_uid", "relation_label", "status", "confidence", "evidence_count", F.array_join(F.array_sort("evidence_keys"), ",").alias("evidence_keys"))
@@ -427,7 +497,7 @@ def insert_summaries(spark, d):
 
 
 LINES = """WITH l AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM v_line)
-    SELECT session_key, CAST(done // CASE WHEN contains(session_key, ':gm:') THEN 5 ELSE 1 END AS BIGINT) AS batch_no, count(*) AS n_lines, count(*) FILTER (role = 'assistant') AS rounds, count(DISTINCT CASE WHEN role <> 'assistant' THEN uid END) AS n_people, sum(length(text)) AS chars FROM l GROUP BY 1, 2"""
+    SELECT session_key, CAST(done // CASE WHEN contains(session_key, ':gm:') THEN 1 ELSE 5 END AS BIGINT) AS batch_no, count(*) AS n_lines, count(*) FILTER (role = 'assistant') AS rounds, count(DISTINCT CASE WHEN role <> 'assistant' THEN uid END) AS n_people, sum(length(text)) AS chars FROM l GROUP BY 1, 2"""
 
 
 @query(LINES)
@@ -450,58 +520,13 @@ def import_preview(spark, d):
     return importers.preview(chunks)
 
 
-@query("""WITH t AS (SELECT id, user_id, category, canonical_statement FROM v_cluster WHERE id % 2 = 0), m AS (SELECT max(id) AS top FROM t), s AS (SELECT c.id AS old_id, t.id AS have FROM v_cluster c LEFT JOIN t ON t.user_id = c.user_id AND t.category = c.category AND t.canonical_statement = c.canonical_statement WHERE c.id % 3 = 0)
+@query("""WITH t AS (SELECT id, user_id, category, CASE WHEN id % 2 = 0 THEN canonical_statement ELSE concat(canonical_statement, '|x') END AS canonical_statement FROM v_cluster), m AS (SELECT max(id) AS top FROM t),
+    s AS (SELECT c.id AS old_id, t.id AS have FROM v_cluster c LEFT JOIN t ON t.user_id = c.user_id AND t.category = c.category AND t.canonical_statement = c.canonical_statement)
     SELECT old_id, coalesce(have, top + row_number() OVER (PARTITION BY have IS NULL ORDER BY old_id)) AS new_id FROM s, m""")
 def migrate_ids(spark, d):
-    c = frame(spark, d, "v_cluster")
-    return store.id_map(c.filter("id % 3 = 0"), c.filter("id % 2 = 0"), ["user_id", "category", "canonical_statement"])
-
-
-# -- the same over every row --------------------------------------------------------------------------------------
-# The second input is all rows of its view with some values altered, not a part of the ids.
-
-
-def whole(part: str, *changes: tuple[str, str]):
-    """Registers a query whose SQL is that of the query `part` with the changes."""
-
-    def add(f: Query) -> Query:
-        sql = ORACLES[part]
-        for old, new in changes:
-            if old not in sql:
-                raise ValueError(f"{part}: no {old}")
-            sql = sql.replace(old, new)
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-@whole("fact_merge", (" WHERE x.id % 2 = 0)", ")"))
-def fact_merge_all(spark, d):
-    c = frame(spark, d, "v_cluster").select(F.col("id").alias("cluster_id"), "platform", "user_id", "category", F.col("canonical_statement").alias("event_type"))
-    f = frame(spark, d, "v_fact").withColumn("evidence_key", F.concat("evidence_key", F.when(F.col("id") % 3 == 0, "|x").otherwise("")))
-    out = facts.merged(frame(spark, d, "v_cluster"), f.join(c, ["platform", "user_id", "category", "event_type"]), now(), CONFIG)
-    return out.select("id", F.round("score", 6).alias("score"), F.col("evidence_count").cast("int").alias("evidence_count"), "status", "last_evidence_at")
-
-
-@whole("fact_decay", (" AND id % 3 = 0", ""))
-def fact_decay_all(spark, d):
-    seen = frame(spark, d, "v_fact").select(F.lit("chat_summary").alias("kind"), "platform", "user_id", F.array().cast("array<string>").alias("participants"), "occurred_at")
-    out = facts.decay(frame(spark, d, "v_cluster"), frame(spark, d, "v_profile"), seen, now(), CONFIG, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    return out.select("id", F.round("score", 6).alias("score"), "status", "expired", "demoted")
-
-
-@whole("graph_probe", ("SELECT DISTINCT platform, subject_uid, object_uid, relation_label FROM v_edge WHERE id % 3 = 0", "SELECT DISTINCT platform, CASE WHEN id % 3 = 2 THEN object_uid ELSE subject_uid END AS subject_uid, CASE WHEN id % 3 = 2 THEN subject_uid ELSE object_uid END AS object_uid, CASE WHEN id % 3 = 1 THEN concat(relation_label, 'x') ELSE relation_label END AS relation_label FROM v_edge"))
-def graph_probe_all(spark, d):
-    e = frame(spark, d, "v_edge")
-    turned = F.col("id") % 3 == 2
-    asked = e.select("platform", F.when(turned, F.col("object_uid")).otherwise(F.col("subject_uid")).alias("subject_uid"), F.when(turned, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_uid"),
-        F.when(F.col("id") % 3 == 1, F.concat("relation_label", F.lit("x"))).otherwise(F.col("relation_label")).alias("relation_label"))
-    return graph.probe(e, asked).select("subject_uid", "object_uid", "relation_label")
-
-
-@whole("migrate_ids", ("canonical_statement FROM v_cluster WHERE id % 2 = 0", "CASE WHEN id % 2 = 0 THEN canonical_statement ELSE concat(canonical_statement, '|x') END AS canonical_statement FROM v_cluster"), (" WHERE c.id % 3 = 0)", ")"))
-def migrate_ids_all(spark, d):
     c = frame(spark, d, "v_cluster")
     have = c.withColumn("canonical_statement", F.concat("canonical_statement", F.when(F.col("id") % 2 == 0, "").otherwise("|x")))
     return store.id_map(c, have, ["user_id", "category", "canonical_statement"])
+
+
+from . import state_queries  # noqa: E402, F401 - registers the queries of state changes

@@ -7,8 +7,12 @@ the views that a DuckDB query names in front of it.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..sources.scratch import scratch_dir
 
 #: The clock of every query: a literal, so that results are replayable.
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -82,16 +86,26 @@ def _fill(sql: str, words: dict[str, str]) -> str:
     return _TOKEN.sub(lambda m: words[m[1]], sql)
 
 
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table of the driver, as a DataFrame."""
+    """A table of the driver, or a view, as a DataFrame. A view is stored once for an application and tables, as memory tables are."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    def text(view: str) -> str:
-        words = SPARK | {b: f"parquet.`{sf_dir}/{b}.parquet`" for b in BASE}
-        return _fill(VIEWS[view], words | {v: f"({text(v)})" for v in VIEWS if "{" + v + "}" in VIEWS[view]})
-
-    return spark.sql(text(name))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+
+        def text(view: str) -> str:
+            words = SPARK | {b: f"parquet.`{sf_dir}/{b}.parquet`" for b in BASE}
+            return _fill(VIEWS[view], words | {v: f"({text(v)})" for v in VIEWS if "{" + v + "}" in VIEWS[view]})
+
+        made = spark.sql(text(name))
+        path = f"{scratch_dir(spark)}/memlattice/{name}-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        _stored[key] = (path, made.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def oracle(sql: str) -> str:

@@ -11,6 +11,8 @@ from ..functions.exprs import search_tokens
 
 #: Directories of the posting table; a query reads those of its tokens.
 BUCKETS = 64
+#: Tasks that a bucket is dealt over when it is written.
+SPREAD = 8
 
 
 def bucket_of(token: str) -> int:
@@ -18,13 +20,10 @@ def bucket_of(token: str) -> int:
 
 
 def postings(rows: DataFrame, text: str = "content") -> DataFrame:
-    """(bucket, token, id, tf, len) of rows (id, text). A row's tokens are counted in place, so no frequent token is shuffled."""
-    tokens = search_tokens(F.col(text))
-    own = rows.select("id", F.array_sort(tokens).alias("t"))
-    # in a sorted array a token's count is the distance between its first and last place
-    each = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("token"), (F.size("t") - F.size(F.array_remove("t", w))).alias("tf")))
-    out = own.select("id", F.size("t").alias("len"), F.explode(each).alias("x")).select("id", "len", "x.*")
-    return out.select(F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "token", "id", "tf", "len")
+    """(bucket, token, id, tf, len) of rows (id, text); a row's tokens are counted in its task before anything is exchanged."""
+    tokens = rows.select("id", search_tokens(F.col(text)).alias("t"))
+    each = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("id", "len", "token").agg(F.count("*").cast("int").alias("tf"))
+    return each.select(F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "token", "id", "tf", "len")
 
 
 def stats(rows: DataFrame, text: str = "content") -> DataFrame:
@@ -33,8 +32,11 @@ def stats(rows: DataFrame, text: str = "content") -> DataFrame:
 
 
 def write(rows: DataFrame, root: str, text: str = "content") -> None:
-    """Writes both under root; postings lie by bucket and are sorted by token, so that a file's statistics prune the rest."""
-    made = postings(rows, text).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "token", "id")
+    """Writes both under root; postings lie by bucket and are sorted by token, so that a file's statistics prune the rest.
+
+    A bucket is dealt over SPREAD tasks by the rows' ids, as a token that every row holds has as many postings as there are rows.
+    """
+    made = postings(rows, text).repartition("bucket", F.pmod("id", F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "id")
     made.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
     stats(rows, text).coalesce(1).write.mode("overwrite").parquet(f"{root}/stats")
 
