@@ -80,3 +80,8 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def quoted(name: str) -> str:
     """A column's name as Spark takes it literally, dots included."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with plain names in place of its own, for Python operators: their input is taken by position, whatever the names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import fresh, ragged, slices
+from .common import fresh, positional, ragged, slices
 
 MARK = "▁"
 #: Bytes of a slice of texts, and the longest unit relaxed in rounds.
@@ -301,7 +301,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids", b
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*names, into, *([back] if back else [])])
 
     fields = [StructField(into, ArrayType(IntegerType())), *([StructField(back, StringType())] if back else [])]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
+    return positional(docs).mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -321,7 +321,7 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
                 texts = decode(part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64), n, local[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
+    return positional(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
 
 
 def op10_pieces(docs: DataFrame, path: str) -> DataFrame:

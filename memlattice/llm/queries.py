@@ -57,4 +57,37 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
 
-ORACLES: dict[str, str] = {}
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: Quality rules line by line; a line is told by its lower-cased words.
+QUALITY = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+    w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, {WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS})) AS ln FROM d),
+    win AS (SELECT r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+    cov AS (SELECT r, count(DISTINCT i + j) AS n FROM rep, (VALUES (0), (1), (2)) AS o(j) GROUP BY r),
+    ls AS (SELECT r, doc_id, source, array_to_string(k, ' ') AS k, len(k) AS n FROM (SELECT r, doc_id, source, regexp_extract_all(lower(unnest(ln)), {WORDS}) AS k FROM w)),
+    hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+    bad AS (SELECT l.source, l.k FROM ls l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, l.k, h.docs
+        HAVING count(DISTINCT l.doc_id) > greatest({quality.MIN_DOCS}, least({quality.SHARE} * h.docs, {quality.MAX_DOCS}))),
+    gone AS (SELECT l.r, sum(l.n) AS n FROM ls l JOIN bad b ON b.source IS NOT DISTINCT FROM l.source AND b.k = l.k GROUP BY l.r),
+    f AS (SELECT w.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+        len(w) < 50 OR 100 * coalesce(cov.n, 0) > 50 * len(w) AS base_failed, coalesce(gone.n, 0) AS gone FROM w LEFT JOIN cov ON cov.r = w.r LEFT JOIN gone ON gone.r = w.r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - gone >= {quality.MIN_LEFT} * n_words AS kept FROM f"""
+
+#: Mixing by sorting each source by the ids' hashes; the first ten digits of a hash order as their number does.
+MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS BIGINT) AS size, substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS wt FROM d GROUP BY source),
+    c AS (SELECT *, 2 * source_size AS cap, CAST(wt AS DOUBLE) AS w FROM s),
+    o AS (SELECT *, cap / w AS q, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level FROM c
+        WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT arg_min(level, q) AS spent FROM o WHERE q >= level),
+    g AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(spent * w, CAST(cap AS DOUBLE))) AS target FROM o, l),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
+    x AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h), y AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+    z AS (SELECT e.source, max(h) AS h, arg_max(before, h) AS b, arg_max(n, h) AS n, any_value(target - whole * source_size) AS rest FROM y JOIN e ON e.source IS NOT DISTINCT FROM y.source WHERE before <= target - whole * source_size GROUP BY e.source)
+    SELECT d.doc_id, d.size, e.source_size, e.target, CAST(d.size * (whole + CASE WHEN whole < 2 AND (d.h < z.h OR (d.h = z.h AND abs(z.b + z.n - z.rest) <= abs(z.b - z.rest))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source LEFT JOIN z ON z.source IS NOT DISTINCT FROM d.source"""
+
+#: Trained models, trees over hashes, tokenizers and cut trees are beyond SQL.
+ORACLES: dict[str, str] = {"op7_mix": MIX, "op9_quality": QUALITY}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, quoted, remainder, slices
+from .common import fresh, positional, quoted, remainder, slices
 
 #: Bound of the training sample.
 MAX_DOCS, MAX_BYTES = 1000, 65536
@@ -218,7 +218,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text
             p = scores(b.column(at).to_pylist(), shared.value, local)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
+    return positional(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

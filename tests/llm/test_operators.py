@@ -9,11 +9,12 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from memlattice.llm import common, lm, mixing, pieces, quality, search, sharding, simhash, tokencount
-from memlattice.llm.queries import QUERIES, tokenizer_path
+from memlattice.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _w string, slot string, _copies string"
 LONG = " ".join(f"w{i % 97} x{i % 89}" for i in range(3000))
@@ -380,3 +381,8 @@ def test_language_model_learns_from_all_rows(spark):
     asked = spark.createDataFrame([(1, "garden window garden window")], schema)
     a, b = (lm.scored(asked, lm.learned(t, path), path).first()["score"] for t in (few, all_))
     assert b > a + 1  # a row of more than MAX_BYTES counts, too
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, name):
+    oracle.compare(spark, "/root/testdata/sf0.001", QUERIES[name], ORACLES[name])
