@@ -295,40 +295,124 @@ def clean_alias(name: str | None) -> str:
     return "" if len(out) < 2 or re.match(FALLBACK, out) or sum(c.isalnum() for c in out) < 2 else out
 
 
+def _by_brackets(text: str) -> tuple[list[str], list[str]]:
+    """(parts outside of any bracket, parts inside an outermost pair), each without inner brackets, blank ones left out."""
+    outside, inside = [""], [""]
+    depth = 0
+    for c in text:
+        if c in BRACKETS:
+            depth += 1
+            if depth == 1:
+                outside.append("")
+                inside.append("")
+        elif depth and c in BRACKETS.values():
+            depth -= 1
+        else:
+            (inside if depth else outside)[-1] += c
+    if depth:  # never closed: what follows the bracket is a part of the outside
+        outside.append(inside.pop())
+    return [p.strip() for p in outside if p.strip()], [p.strip() for p in inside if p.strip()]
+
+
 def name_variants(name: str | None) -> list[str]:
     """The name, its text outside brackets, each outer part and each bracketed part; cleaned, each once."""
-    raw, outer, inner, depth, part = (name or "").strip(), [], [], 0, ""
-    for c in raw + "\0":
-        opens, closes = c in BRACKETS, c in BRACKETS.values() and depth > 0
-        if c == "\0" or (opens and depth == 0) or (closes and depth == 1):
-            (inner if closes else outer).append(part.strip())
-            part = ""
-        elif not opens and not closes:
-            part += c
-        depth += opens - closes
-    outer, inner = [x for x in outer if x], [x for x in inner if x]
-    return list(dict.fromkeys(filter(None, map(clean_alias, [raw, "".join(outer).replace(" ", ""), *outer, *inner])))) if raw else []
+    whole = (name or "").strip()
+    outer, inner = _by_brackets(whole)
+    forms = [whole, "".join(outer).replace(" ", ""), *outer, *inner]
+    cleaned = [clean_alias(f) for f in forms if f]
+    return list(dict.fromkeys(c for c in cleaned if c))
+
+
+class _Lenient:
+    """Reads what is meant as JSON: either quote, Python's literals, bare words, stray commas, and an end that is missing."""
+
+    LITERALS = {"true": True, "false": False, "null": None, "none": None}
+
+    def __init__(self, text: str, at: int) -> None:
+        self.text, self.at = text, at
+
+    def peek(self, skip: str = " \t\r\n") -> str:
+        while self.at < len(self.text) and self.text[self.at] in skip:
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def value(self):
+        c = self.peek()
+        if c == "{":
+            return self.members()
+        if c == "[":
+            return self.items()
+        if c in ("'", '"'):
+            return self.string(c)
+        word = self.bare(",]}")
+        if word.lower() in self.LITERALS:
+            return self.LITERALS[word.lower()]
+        try:
+            return json.loads(word)
+        except ValueError:
+            return word
+
+    def string(self, quote: str) -> str:
+        start = self.at = self.at + 1
+        while self.at < len(self.text) and self.text[self.at] != quote:
+            self.at += 2 if self.text[self.at] == "\\" else 1
+        raw = self.text[start : self.at]
+        self.at += 1
+        body = raw.replace('\\\'', "'") if quote == "'" else raw
+        try:
+            return json.loads('"' + (body.replace('"', '\\"') if quote == "'" else body) + '"', strict=False)
+        except ValueError:
+            return body
+
+    def bare(self, stops: str) -> str:
+        start = self.at
+        while self.at < len(self.text) and self.text[self.at] not in stops:
+            self.at += 1
+        return self.text[start : self.at].strip()
+
+    def items(self) -> list:
+        self.at, out = self.at + 1, []
+        while (c := self.peek(" \t\r\n,")) and c != "]":
+            if c == "}":  # closes an object that is further out
+                return out
+            out.append(self.value())
+        self.at += 1
+        return out
+
+    def members(self) -> dict:
+        self.at, out = self.at + 1, {}
+        while (c := self.peek(" \t\r\n,")) and c != "}":
+            if c == "]":
+                return out
+            key = self.string(c) if c in ("'", '"') else self.bare(":,}")
+            if self.peek() == ":":
+                self.at += 1
+                out[key] = self.value()
+            elif key:
+                out[key] = None
+        self.at += 1
+        return out
 
 
 def loose_json(text: str | None):
-    """JSON from a model's answer: fences dropped, else the outermost body with Python literals and trailing commas mended."""
-    body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (text or "").strip(), flags=re.I))
-    tries = [body]
-    spans = [(body.find(a), body.rfind(b)) for a, b in (("{", "}"), ("[", "]"))]
-    if body.startswith("[") and body.endswith("]"):
-        spans.reverse()
-    for i, j in spans:
-        if -1 < i < j:
-            mended = re.sub(r",\s*([}\]])", r"\1", body[i : j + 1])
-            tries.append(re.sub(r":\s*(True|False|None)\b", lambda m: ": " + {"True": "true", "False": "false", "None": "null"}[m[1]], mended))
-            break
-    for t in tries:
-        try:
-            got = json.loads(t)
-        except ValueError:
-            continue
-        return got
-    return None
+    """JSON from a model's answer: as it is without its fence, else read leniently from the first bracket; None if there is none."""
+    body = re.sub(r"^```\w*|```$", "", (text or "").strip()).strip()
+    try:
+        return json.loads(body)
+    except ValueError:
+        pass
+    # an answer that starts with a list is one; in prose, an object tells more than a list before it
+    starts = [0] if body.startswith("[") else [i for i in (body.find("{"), body.find("[")) if i >= 0]
+    return _Lenient(body, starts[0]).value() if starts else None
+
+
+def matches(pattern: str, value: Column) -> Column:
+    """1 where the pattern is found in value, in any case; 0 for null and, whatever the value, for a pattern that is none."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.lit(0)
+    return F.coalesce(value.rlike(f"(?i){pattern}").cast("int"), F.lit(0))
 
 
 def render(template: str, **values: object) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import admin, facts, graph, ingest, lifecycle, people, recall, tools
+from ..sources import store
 from ..streaming import retain
 from .queries import BM25, CONFIG, LATE, SCOPE, SESSION, TEXT, Q, now, query, scope, vector
 from .views import frame
@@ -193,6 +194,25 @@ def message_lines(spark, d):
     return rows.select("conv_id", "turn", line.alias("line"))
 
 
+@query("SELECT id, CAST(regexp_matches(lower(canonical_statement), 'c.i[ck]|^view') AS INT) AS hit, 0 AS none FROM v_cluster")
+def regexp_hits(spark, d):
+    c = frame(spark, d, "v_cluster")
+    return c.select("id", X.matches("C.i[ck]|^VIEW", F.col("canonical_statement")).alias("hit"), X.matches("(", F.col("canonical_statement")).alias("none"))
+
+
+@query("""SELECT concat('qq:', CASE WHEN conv_id % 2 = 0 THEN 'gm' ELSE 'dm' END, ':', conv_id) AS session_key, concat(conv_id, '-', turn) AS msg_key, role = 'assistant' AS is_bot, length(text) AS n FROM v_line WHERE trim(text) <> ''""")
+def hook_messages(spark, d):
+    rows = frame(spark, d, "v_line")
+    kind = F.when(F.col("conv_id") % 2 == 0, "gm").otherwise("dm")
+    hook = F.when(F.col("role") == "assistant", "message_sent").otherwise("im_message")
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    said = rows.select(hook.alias("hook"), F.lit("qq").alias("platform"), kind.alias("kind"), F.col("conv_id").cast("string").alias("peer"), key.alias("message_id"), F.col("uid").alias("user_id"), "text", F.lit(None).cast("timestamp").alias("ts"))
+    asked = said.withColumn("hook", F.lit("llm_request"))
+    out = retain.from_hooks(said.unionByName(asked))
+    body = F.regexp_replace(F.regexp_replace("line", "^<msg [^>]*>", ""), "</msg>$", "")
+    return out.select("session_key", "msg_key", "is_bot", F.length(body).cast("long").alias("n"))
+
+
 @query("SELECT vec_id, replace(concat(vec_id, chr(0), label), chr(0), chr(65533)) AS text FROM embeddings")
 def nul_text(spark, d):
     e = frame(spark, d, "embeddings")
@@ -277,3 +297,127 @@ def tool_resolve(spark, d):
     a = frame(spark, d, "v_alias")
     name = graph.directory(a).agg(F.min("name")).first()[0]  # one name
     return people.resolved(a, F.lower(F.lit(name))).select("user_id")
+
+
+# -- the store's scans and writes, and smaller reads ----------------------------------------------------------------
+
+
+@query("SELECT id FROM v_fact WHERE extracted_flag = 0 ORDER BY id LIMIT 50")
+def store_pending(spark, d):
+    return store.pending_facts(frame(spark, d, "v_fact"), 50).select("id")
+
+
+@query("SELECT id FROM v_summary WHERE NOT summarized AND kind <> 'bot_self' ORDER BY id LIMIT 30")
+def store_unsummarized(spark, d):
+    return store.unsummarized(frame(spark, d, "v_summary"), 30).select("id")
+
+
+@query("SELECT s.id, s.embedding IS NULL AND e.vec_id IS NOT NULL AND e.label < 5 AS filled, s.embedding IS NOT NULL OR (e.vec_id IS NOT NULL AND e.label < 5) AS known FROM v_summary s LEFT JOIN embeddings e ON e.vec_id = s.id - 300")
+def store_embeddings(spark, d):
+    s = frame(spark, d, "v_summary")
+    e = frame(spark, d, "embeddings")
+    short = F.slice("embedding", 1, F.when(F.col("label") < 5, 64).otherwise(10))  # others have a wrong length
+    out = store.with_embeddings(s, e.select((F.col("vec_id") + 300).alias("id"), short.alias("vector")), 64)
+    was = s.select("id", F.col("embedding").isNull().alias("lacked"))
+    return out.join(was, "id").select("id", (F.col("lacked") & F.col("embedding").isNotNull()).alias("filled"), F.col("embedding").isNotNull().alias("known"))
+
+
+@query("SELECT id, CASE WHEN NOT summarized AND kind <> 'bot_self' THEN concat('short ', id) ELSE content END AS content, summarized OR kind <> 'bot_self' AS summarized FROM v_summary")
+def store_encoded(spark, d):
+    s = frame(spark, d, "v_summary").withColumn("search_text", F.lit(None).cast("string"))
+    done = s.filter("NOT summarized AND kind <> 'bot_self'").select("id", F.concat(F.lit("short "), F.col("id").cast("string")).alias("content"), "embedding")
+    return store.encoded_back(s, done).select("id", "content", "summarized")
+
+
+@query("""SELECT document_id, CASE WHEN extracted_flag = 1 AND value_name <> '' THEN value_name ELSE display_name END AS display_name, extracted_flag FROM (SELECT *, CASE WHEN id % 3 = 0 THEN '' ELSE concat('new', id) END AS value_name FROM v_fact) WHERE extracted_flag = 1
+    UNION ALL SELECT document_id, CASE WHEN id % 3 = 0 THEN '' ELSE concat('new', id) END, 0 FROM v_fact WHERE extracted_flag = 0""")
+def store_upsert_facts(spark, d):
+    f = frame(spark, d, "v_fact")
+    new = f.withColumn("display_name", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("new"), F.col("id").cast("string")))).drop("id")
+    return store.upsert_facts(f.filter("extracted_flag = 1"), new).select("document_id", "display_name", "extracted_flag")
+
+
+@query("SELECT row_number() OVER (ORDER BY occurred_at, document_id) + (SELECT max(id) FROM v_fact WHERE extracted_flag = 1) AS id, document_id, 0 AS extracted_flag FROM v_fact WHERE extracted_flag = 0")
+def store_insert_facts(spark, d):
+    f = frame(spark, d, "v_fact")
+    old = f.filter("extracted_flag = 1")
+    out = store.insert_facts(old, f.drop("id", "extracted_flag"), now())
+    return out.join(old.select("id"), "id", "left_anti").select("id", "document_id", "extracted_flag")
+
+
+@query("""WITH t AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'nonsense' ELSE category END AS c2, CASE WHEN id % 7 = 0 THEN '  ' ELSE concat(' ', statement, ' ') END AS s2, CASE WHEN id % 11 = 0 THEN 'low' ELSE confidence END AS k2 FROM v_fact)
+    SELECT id, substring(trim(s2), 1, 20) AS statement FROM t WHERE c2 <> 'nonsense' AND trim(s2) <> '' AND k2 <> 'low'""")
+def encoder_facts(spark, d):
+    f = frame(spark, d, "v_fact")
+    items = f.withColumns({
+        "category": F.when(F.col("id") % 3 == 0, "nonsense").otherwise(F.col("category")), "statement": F.when(F.col("id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "statement", F.lit(" "))),
+        "confidence": F.when(F.col("id") % 11 == 0, "low").otherwise(F.col("confidence")),
+    })
+    return facts.valid_facts(items, 20).select("id", "statement")
+
+
+@query("""SELECT id FROM (SELECT *, CASE WHEN id % 5 = 0 THEN subject_uid ELSE object_uid END AS o2, CASE WHEN id % 3 = 0 THEN 'high' ELSE subject_name END AS n2 FROM v_edge)
+    WHERE subject_uid <> o2 AND length(relation_label) BETWEEN 2 AND 8 AND NOT (length(n2) >= 2 AND contains(relation_label, n2))""")
+def encoder_relations(spark, d):
+    e = frame(spark, d, "v_edge")
+    items = e.select(
+        "id", F.col("subject_uid").alias("subject_user_id"), F.when(F.col("id") % 5 == 0, F.col("subject_uid")).otherwise(F.col("object_uid")).alias("object_user_id"),
+        F.when(F.col("id") % 3 == 0, "high").otherwise(F.col("subject_name")).alias("subject_display_name"), F.lit("").alias("object_display_name"), F.col("relation_label").alias("label"), "statement", "confidence",
+    )
+    return graph.valid_relations(items).select("id")
+
+
+@query("SELECT id FROM v_edge WHERE relation_label NOT IN ('5-low', '2-high')")
+def graph_stopwords(spark, d):
+    return graph.without_stopwords(frame(spark, d, "v_edge"), ["5-low", "2-high"]).select("id")
+
+
+@query("""WITH o AS (SELECT canonical_statement FROM v_cluster WHERE status IN ('pending_uncertain', 'replaced') AND user_id IN ('7', '8', '9', '10', '11') ORDER BY occurred_at DESC, score DESC, updated_at DESC, id LIMIT 20) SELECT DISTINCT canonical_statement FROM o""")
+def profile_uncertain_multi(spark, d):
+    owners = spark.createDataFrame([("qq", str(i)) for i in range(7, 12)], "platform string, user_id string")
+    return people.uncertain(frame(spark, d, "v_cluster"), owners, 20).select("canonical_statement")
+
+
+@query("SELECT user_id, arg_max(display_name, occurred_at) AS display_name FROM v_fact WHERE display_name <> '' AND user_id IN ('7', '8', '9') GROUP BY user_id")
+def display_names_multi(spark, d):
+    owners = spark.createDataFrame([("qq", str(i)) for i in (7, 8, 9, 9)], "platform string, user_id string")
+    return people.latest_names(frame(spark, d, "v_fact"), owners).select("user_id", "display_name")
+
+
+@query("SELECT user_id, string_agg(name, '|' ORDER BY last_seen DESC, name) AS names FROM v_alias WHERE user_id IN ('3', '4', '5') GROUP BY user_id")
+def alias_variants(spark, d):
+    return people.variants_of(frame(spark, d, "v_alias"), ["qq", "wx"], ["3", "4", "5"]).select("user_id", F.array_join("names", "|").alias("names"))
+
+
+@query("SELECT platform FROM v_summary GROUP BY platform ORDER BY count(*) DESC, min(id) LIMIT 1")
+def import_platform(spark, d):
+    return admin.top_platform(frame(spark, d, "v_summary").select("platform", F.col("id").alias("pos")))
+
+
+@query("SELECT conv_id, turn FROM v_line WHERE (uid IN ('3', '5') OR concat('qq:', uid) IN ('3', '5')) AND (session_key LIKE 'qq:gm:%' AND CAST(conv_id % 20 AS VARCHAR) IN ('2', '4'))")
+def event_whitelist(spark, d):
+    e = frame(spark, d, "v_line").select("conv_id", "turn", F.lit("qq").alias("platform"), F.col("uid").alias("user_id"), F.concat(F.lit("gm:"), (F.col("conv_id") % 20).cast("string")).alias("raw_session"), F.col("session_key").alias("session_id"))
+    group = e.filter(F.startswith("session_id", F.lit("qq:gm:")))
+    return admin.allowed(group, ["3", "5"], ["gm:2", "qq:gm:4"]).select("conv_id", "turn")
+
+
+@query("SELECT 'cluster' AS name, count(*) AS n FROM v_cluster WHERE user_id <> '7' UNION ALL SELECT 'edge', count(*) FROM v_edge WHERE subject_uid <> '7' AND object_uid <> '7' UNION ALL SELECT 'fact', count(*) FROM v_fact WHERE user_id <> '7' UNION ALL SELECT 'summary', count(*) FROM v_summary")
+def admin_erase(spark, d):
+    left = admin.erase_user({n: frame(spark, d, f"v_{n}") for n in ("cluster", "edge", "fact", "summary")}, "qq", "7")
+    rows = [left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in sorted(left)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query("SELECT count(*) FILTER (category = 'recent' AND e) AS expired_recent, count(*) FILTER (category = 'commitment' AND e) AS expired_commitment FROM (SELECT *, status IN ('active', 'profiled') AND ((category = 'recent' AND occurred_at < {now} - INTERVAL 10 DAYS) OR (category = 'commitment' AND last_evidence_at < {now} - INTERVAL 15 DAYS)) AS e FROM v_cluster)")
+def fact_decay_stats(spark, d):
+    after = facts.decay(frame(spark, d, "v_cluster"), frame(spark, d, "v_profile"), None, now(), CONFIG)
+    return facts.decay_stats(after).select("expired_recent", "expired_commitment")
+
+
+@query(f"SELECT id, session_id = '{SESSION}' AND archived AS restored FROM v_summary WHERE id = (SELECT min(id) FROM v_summary WHERE archived AND session_id = '{SESSION}') OR id < 5")
+def lifecycle_restore(spark, d):
+    s = frame(spark, d, "v_summary").withColumn("archived_at", F.lit(None).cast("timestamp"))
+    first = s.filter(F.col("archived") & (F.col("session_id") == SESSION)).agg(F.min("id")).first()[0]
+    out = lifecycle.restore(s, -1 if first is None else first, SESSION).select("id", F.col("archived").alias("after"))
+    both = s.select("id", "archived").join(out, "id")
+    return both.filter((F.col("id") == (-1 if first is None else first)) | (F.col("id") < 5)).select("id", (F.col("archived") & ~F.col("after")).alias("restored"))

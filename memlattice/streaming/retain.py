@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.exprs import message_line
+
 HISTORY, LINES, BOT_IDS = 10, 30, 100
 #: A session of this name carries heartbeats alone.
 HEARTBEAT = ""
@@ -146,6 +148,19 @@ def heartbeats(spark: SparkSession, every_s: int = 60) -> DataFrame:
     return beat.select(F.lit(HEARTBEAT).alias("session_key"), none.alias("msg_key"), none.alias("line"), none.alias("uid"), F.lit(False).alias("is_bot"), F.col("timestamp").alias("ts"))
 
 
+#: What a hook's event is to the stream: a line of a person, a line of the bot, or nothing to keep.
+HOOKS = {"im_message": False, "message_sent": True}
+
+
+def from_hooks(events: DataFrame) -> DataFrame:
+    """Messages from a host's events (hook, platform, kind, peer, message_id, user_id, text, ts); kind: dm or gm. Others are left out."""
+    own = events.filter(F.col("hook").isin(*HOOKS) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    bot = F.col("hook") == "message_sent"
+    key = F.concat_ws(":", "platform", "kind", "peer")
+    line = message_line(F.col("user_id"), F.col("text"), F.col("ts"), F.col("user_id"), bot, F.lit(False), F.lit(""))
+    return own.select(key.alias("session_key"), F.col("message_id").alias("msg_key"), line.alias("line"), F.col("user_id").alias("uid"), bot.alias("is_bot"), "ts")
+
+
 def sink(batches: DataFrame, write, checkpoint: str, trigger: dict | None = None):
     """Starts the stream; write(df, epoch) must be idempotent, as insert by document_id is."""
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).outputMode("append").start()

@@ -95,3 +95,11 @@ def test_config():
     for bad in (Config(demote=5), Config(promote=11), Config(naming_promote=2.0, decay=0.5)):
         with pytest.raises(ValueError):
             bad.check()
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("{'a': 'it\\'s', 'b': None, c: True}", {"a": "it's", "b": None, "c": True}), ('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "cut off', {"a": "cut off"}),
+    ('say {"a": {"b": 1}, "c": [1,],} end', {"a": {"b": 1}, "c": [1]}), ('[{"x": 1}, {"x": 2', [{"x": 1}, {"x": 2}]), ("no json", None), ("", None), ('{"t": "note: True, }"}', {"t": "note: True, }"}),
+])
+def test_json_is_read_leniently(text, want):
+    assert X.loose_json(text) == want
