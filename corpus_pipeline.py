@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from memlattice.llm import mixing, pieces, quality, simhash, toxicity
 from memlattice.llm.common import documents, drop_saved, saved
 from memlattice.llm.queries import tokenizer_path
+from memlattice.sources.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again."""
+    ship(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
