@@ -119,9 +119,9 @@ def graph_confirmed(spark, d):
     return graph.confirmed(frame(spark, d, "v_cluster"), 50, "3")
 
 
-@query("SELECT id, concat(CASE WHEN subject_uid = '5' THEN 'Kira' ELSE subject_name END, '(', subject_uid, ')的', relation_label, '是', CASE WHEN object_uid = '5' THEN 'Kira' ELSE object_name END, '(', object_uid, ')（', strftime(last_seen, '%Y-%m-%d'), '）') AS line FROM v_edge")
+@query("SELECT id, concat(CASE WHEN subject_uid = '5' THEN 'Robin' ELSE subject_name END, '(', subject_uid, ')的', relation_label, '是', CASE WHEN object_uid = '5' THEN 'Robin' ELSE object_name END, '(', object_uid, ')（', strftime(last_seen, '%Y-%m-%d'), '）') AS line FROM v_edge")
 def graph_lines(spark, d):
-    return graph.statement_lines(frame(spark, d, "v_edge"), ["5"], "qq", "Kira", F.date_format("last_seen", "yyyy-MM-dd")).select("id", "line")
+    return graph.statement_lines(frame(spark, d, "v_edge"), ["5"], "qq", "Robin", F.date_format("last_seen", "yyyy-MM-dd")).select("id", "line")
 
 
 @query("""WITH t AS (SELECT * FROM v_edge WHERE status = 'active' ORDER BY evidence_count DESC, last_seen DESC, id LIMIT 30), a AS (SELECT *, row_number() OVER (ORDER BY evidence_count DESC, last_seen DESC, id) AS k FROM t),
@@ -185,12 +185,12 @@ def import_deltas(spark, d):
     return ingest.table_deltas({"fact": f.filter("extracted_flag = 1"), "alias": a.limit(0)}, {"fact": f, "alias": a})
 
 
-@query("""SELECT conv_id, turn, concat('<msg ts="', strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn), '%Y-%m-%d %H:%M:%S'), '" ', CASE WHEN role = 'assistant' THEN 'name="＜Kira＞" self="true"' ELSE concat('uid="', uid, '" name="n', uid, '"', CASE WHEN turn % 4 = 0 THEN ' at_bot="true"' ELSE '' END) END, '>', text, '</msg>') AS line FROM v_line""")
+@query("""SELECT conv_id, turn, concat('<msg ts="', strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn), '%Y-%m-%d %H:%M:%S'), '" ', CASE WHEN role = 'assistant' THEN 'name="＜Robin＞" self="true"' ELSE concat('uid="', uid, '" name="n', uid, '"', CASE WHEN turn % 4 = 0 THEN ' at_bot="true"' ELSE '' END) END, '>', text, '</msg>') AS line FROM v_line""")
 def message_lines(spark, d):
     rows = frame(spark, d, "v_line")
     own = F.col("role") == "assistant"
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn"))
-    line = X.message_line(F.when(own, "<Kira>").otherwise(F.concat(F.lit("n"), "uid")), F.col("text"), ts, F.col("uid"), own, F.col("turn") % 4 == 0, F.lit(""))
+    line = X.message_line(F.when(own, "<Robin>").otherwise(F.concat(F.lit("n"), "uid")), F.col("text"), ts, F.col("uid"), own, F.col("turn") % 4 == 0, F.lit(""))
     return rows.select("conv_id", "turn", line.alias("line"))
 
 

@@ -124,7 +124,7 @@ def test_tools(spark):
     e = table(spark, EDGE, [edge(1, "u", "v"), edge(2, "x", "y")])
     assert [(r["kind"], r["id"], r["name"]) for r in tools.lookup(c, e, a, [1.0, 0.0], 5).orderBy("kind").collect()] == [("fact", 1, "Ann"), ("relation", 1, "Ann")]
     assert people.resolved(a, "ａｎｎ").count() == 1 and people.resolved(a.unionByName(a.withColumn("user_id", F.lit("z"))), "Ann").count() == 0
-    section = tools.relation_section(e, "my friend", ["qq:u"], ["bot"], "qq", "Kira", False, now())
+    section = tools.relation_section(e, "my friend", ["qq:u"], ["bot"], "qq", "Robin", False, now())
     assert section.first()["line"] == "S(u)的friend是O(v)（2024-01-01）"
     assert [tuple(r) for r in graph.neighbours(e, [F.col("id")], ["qq:u"], [], "qq", 2).collect()] == [("qq", "v", "O"), ("qq", "x", "S")]
 
@@ -132,7 +132,7 @@ def test_tools(spark):
 def test_encoded_batches(spark):
     none = dict(bot="b")
     made = [("u", ["b", "v"], "Ann", "stable", "用户12345（Bob）likes tea", "high"), (none["bot"], [], "", "stable", "bot fact", "high"), ("u", [], "", "odd", "x", "high")]
-    rel = [("u", "v", "unknown", "Vic", "friend", "u and v", "high"), ("u", "b", "Ann", "Kira", "friend", "u and bot", "medium")]
+    rel = [("u", "v", "unknown", "Vic", "friend", "u and v", "high"), ("u", "b", "Ann", "Robin", "friend", "u and bot", "medium")]
     schema = f"session_id string, platform string, group_id string, user_id string, occurred_at timestamp, participants array<string>, text string, summary string, ok boolean, embedding array<float>, facts {ingest.FACTS}, relations {ingest.RELATIONS}"
     b = spark.createDataFrame([("s", "qq", "", "u", T0, ["qq:u"], "raw", "short", True, [1.0, 0.0], made, rel), ("s", "qq", "", "u", T0, ["qq:u"], "lost\0", None, False, None, [], [])], schema)
     tables = [table(spark, t, []) for t in (FACT, ALIAS, EDGE, SUMMARY)]
@@ -329,8 +329,8 @@ def test_import(spark, tmp_path):
     chunks = importers.read_sessions(spark, str(tmp_path / "chat_memory.json"))
     p = importers.preview(chunks).first()
     assert (p["sessions"], p["chunks_total"], p["chunks"], p["bot_only"], p["notices"]) == (2, 4, 2, 2, 1)
-    r = importers.summary_rows(chunks, now(), "Kira").collect()
-    assert len(r) == 1 and r[0]["participants"] == ["qq:5"] and r[0]["occurred_at"] == dt.datetime(2026, 9, 10, 18, 44) and r[0]["content"] == "Ann: [Sep 10 2026 18:44 Thu] hi\nKira: yo"
+    r = importers.summary_rows(chunks, now(), "Robin").collect()
+    assert len(r) == 1 and r[0]["participants"] == ["qq:5"] and r[0]["occurred_at"] == dt.datetime(2026, 9, 10, 18, 44) and r[0]["content"] == "Ann: [Sep 10 2026 18:44 Thu] hi\nRobin: yo"
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.toml").write_text('id = "1"\ntype = "fact"\ntext = " likes tea "\nimportance = 8\n[source]\nsession = "qq:dm:5"\ntime = 2026-09-01T10:00:00\n')
     (tmp_path / "f" / "b.toml").write_text("broken = ")
