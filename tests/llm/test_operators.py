@@ -13,7 +13,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.llm import common, lm, mixing, pieces, quality, search, sharding, simhash, tokencount
+from memlattice.llm import common, langid, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
 from memlattice.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _w string, slot string, _copies string"
@@ -386,3 +386,33 @@ def test_language_model_learns_from_all_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     oracle.compare(spark, "/root/testdata/sf0.001", QUERIES[name], ORACLES[name])
+
+
+def test_languages_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = QUERIES["op8_langid"](spark, sf).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in out) >= 0.95 * len(out) > 20
+    many = spark.createDataFrame([(i * 10 + j, f"{chr(97 + i % 26) * 5}{chr(97 + i // 26) * 4} " * 30, f"l{i:03d}") for i in range(230) for j in range(6)], "doc_id long, text string, lang string")
+    assert len(set(langid.sample(many)[1])) == 230  # no language is left out
+
+
+def test_toxicity_of_held_out_rows(spark):
+    import random
+
+    r = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bdfklm" for b in "aeiou" for c in ("n", "rt", "sk")]
+    d = []
+    for i in range(500):
+        w = [r.choice(words) for _ in range(r.randint(30, 300))]
+        if i % 4 == 0:
+            w[r.randint(0, len(w) - 1)] = r.choice(["you disgusting clown", "you disgustin clown", "disgusting clowns all"])
+        d.append((i, " ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame(d, "doc_id long, text string, toxic int")
+    out = toxicity.op2_toxicity(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic")).filter("held_out").collect()
+    truth = {i: y for i, _, y in d}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) >= 0.95 * len(out) > 50
+    twice = df.select("doc_id", "text").unionByName(df.select("doc_id", F.upper("text").alias("text")))
+    texts, _ = toxicity.sample(twice, df.select("doc_id", "toxic"))
+    assert len(texts) == len({i for i, *_ in d if zlib.crc32(str(i).encode()) % 5})  # one text for each id
