@@ -36,7 +36,7 @@ from .common import drop, quoted, saved, slices
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Most fingerprints that the driver sees to grow the top of the tree, and the sampled ones in a leaf at least; shards
 #: are as many as hold about LEAF fingerprints each, some 4,000 at most.
-LEAF = 20_000
+LEAF = 2_000
 SAMPLE, LEAF_SAMPLE = 65536, 16
 #: Fingerprints of a bucket that is compared outright, and rows of a block of comparisons.
 BUCKET, BLOCK = 192, 512
