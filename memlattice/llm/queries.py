@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
+from . import alignment, langid, linededup, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -55,7 +55,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op10_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11_alignment(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.op12_linededup(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment, "op12_linededup": op12_linededup}
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -89,5 +97,13 @@ MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesc
     SELECT d.doc_id, d.size, e.source_size, e.target, CAST(d.size * (whole + CASE WHEN whole < 2 AND (d.h < z.h OR (d.h = z.h AND abs(z.b + z.n - z.rest) <= abs(z.b - z.rest))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
     FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source LEFT JOIN z ON z.source IS NOT DISTINCT FROM d.source"""
 
+#: Line dedup by counting documents of each key; positions order the lines that stay.
+LINES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents),
+    l AS (SELECT r, doc_id, unnest(ln) AS line, generate_subscripts(ln, 1) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    bad AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= {linededup.MIN_DOCS}),
+    m AS (SELECT k.*, bad.key IS NOT NULL AS gone FROM k LEFT JOIN bad ON bad.key = k.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
+
 #: Trained models, trees over hashes, tokenizers and cut trees are beyond SQL.
-ORACLES: dict[str, str] = {"op7_mix": MIX, "op9_quality": QUALITY}
+ORACLES: dict[str, str] = {"op7_mix": MIX, "op9_quality": QUALITY, "op12_linededup": LINES}
