@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, langid, linededup, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
+from . import alignment, langid, linededup, lm, mixing, negatives, pieces, quality, search, sharding, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -63,7 +63,11 @@ def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op12_linededup(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment, "op12_linededup": op12_linededup}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.op13_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op1_search": op1_search, "op2_toxicity": op2_toxicity, "op3_shards": op3_shards, "op4_lm": op4_lm, "op5_tokens": op5_tokens, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_langid": op8_langid, "op9_quality": op9_quality, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment, "op12_linededup": op12_linededup, "op13_negatives": op13_negatives}
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -105,5 +109,15 @@ LINES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(c
     m AS (SELECT k.*, bad.key IS NOT NULL AS gone FROM k LEFT JOIN bad ON bad.key = k.key)
     SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
 
+#: Every anchor with every row; integers up to 2^53 are exact in doubles.
+NEGATIVES = f"""WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % {negatives.RELABEL} = 0 THEN (label + 1) % {negatives.LABELS} ELSE label END AS label, embedding AS x FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    v AS (SELECT id, label, list_transform(x, lambda c: floor({negatives.SCALE} * CAST(c AS DOUBLE))) AS v FROM e),
+    s AS (SELECT a.id AS a, r.id AS r, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS s FROM v a JOIN v r ON a.id <> r.id WHERE a.id % {negatives.ANCHOR} = 0),
+    p AS (SELECT a, r AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, r) <= {negatives.POSITIVES}),
+    n AS (SELECT p.a, p.p, p.ps, s.r, s.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.r) AS rank FROM p JOIN s ON s.a = p.a AND NOT s.same
+        AND {negatives.LOW} * p.ps <= 100 * s.s AND 100 * s.s <= {negatives.HIGH} * p.ps)
+    SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, r AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
+
 #: Trained models, trees over hashes, tokenizers and cut trees are beyond SQL.
-ORACLES: dict[str, str] = {"op7_mix": MIX, "op9_quality": QUALITY, "op12_linededup": LINES}
+ORACLES: dict[str, str] = {"op7_mix": MIX, "op9_quality": QUALITY, "op12_linededup": LINES, "op13_negatives": NEGATIVES}
