@@ -36,10 +36,10 @@ from .common import fresh, ragged, saved, slices
 
 #: Groups in the broadcast table (32 bytes each).
 HOT = 50_000
-#: Units that a worker remembers before it starts anew, and the longest of them.
-UNITS, KEEP = 500_000, 64
+#: Units that a worker remembers before it forgets the rarer half, the longest of them, and groups before it starts anew.
+UNITS, KEEP, GROUPS = 300_000, 64, 300_000
 #: Units that are encoded together.
-BATCH = 20_000
+BATCH = 8000
 #: A place between units: behind a printable ASCII character, letter or digit, before a space or a line end.
 CUT = re.compile(r"(?<=[!-~\w])(?=[ \n])")
 SAFE_END = re.compile(r"[!-~\w]\Z")
@@ -197,6 +197,7 @@ class Interned:
         self.sizes, self.unit_groups, self.group_links = [Grown() for _ in range(4)], Ragged(), Ragged()
         self.group_ids, self.pairs = Grown(), Grown()
         self.long: list[str] = []
+        self.hits = Grown()  # of each unit lately
 
     def add(self, units: list[str]) -> None:
         """Numbers new units. A unit is written without its space if that is followed by another character."""
@@ -217,7 +218,7 @@ class Interned:
             self.text.append(";".join([names[g] for g in own[at:end]]))
             at = end
         self.unit_groups.append(number, groups)
-        for to, value in zip(self.sizes, (n_x, n_y, groups, lost)):
+        for to, value in zip((*self.sizes, self.hits), (n_x, n_y, groups, lost, np.zeros(len(units), dtype=np.int64))):
             to.extend(value)
 
     def group(self, found: Groups, i: int) -> int:
@@ -240,6 +241,22 @@ class Interned:
             self.text[self.units.pop(u)] = ""
         self.long = []
 
+    def forget_rare(self) -> None:
+        """Keeps the units met most often, half of UNITS at most, and those met twice at least. Groups and pairs stay, so do their numbers."""
+        numbers = np.fromiter(self.units.values(), dtype=np.int64, count=len(self.units))
+        hits = self.hits.view[numbers]
+        best = np.argsort(-hits, kind="stable")[: UNITS // 2]
+        best = np.sort(best[hits[best] > 1])
+        old = numbers[best]
+        names = list(self.units)
+        self.units = {names[i]: n for n, i in enumerate(best.tolist())}
+        self.text = [self.text[i] for i in old.tolist()]
+        sizes, hits, lists = [s.view[old] for s in self.sizes], self.hits.view[old] // 2, self.unit_groups.of(old)
+        self.sizes, self.hits, self.unit_groups = [Grown() for _ in range(4)], Grown(), Ragged()
+        self.unit_groups.append(*lists)
+        for to, value in zip((*self.sizes, self.hits), (*sizes, hits)):
+            to.extend(value)
+
     def number(self, pair: int) -> int:
         n = self.ids.get(pair)
         if n is None:
@@ -280,6 +297,7 @@ class Task:
         digests = [hashlib.sha256(";".join(map(t.text.__getitem__, x)).encode()).hexdigest() if x and not b else "" for x, b in zip(numbers, bad)]
         u, doc = u[~bad[doc]], doc[~bad[doc]]
         counts = np.stack([np.bincount(doc, weights=s.view[u], minlength=len(texts)).astype(np.int64) for s in t.sizes[:3]])
+        t.hits.view[:] += np.bincount(u, minlength=len(t.text))
         kinds, times = np.unique(doc * len(t.text) + u, return_counts=True)
         doc, u = kinds // len(t.text), kinds % len(t.text)
         group, k = t.unit_groups.of(u)
@@ -336,14 +354,16 @@ def interned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", tex
         for whole in batches:
             target = pa.schema([*fixed, pa.field("doc", whole.schema.field(0).type)])
             for b in slices(whole, 1):
-                if task is None or len(task.tables.text) > UNITS:
+                if task is None or len(task.tables.names) > GROUPS:
                     if task is not None:
                         yield from (batch(*x) for x in task.parts())
-                    if paths not in _own or len(_own[paths].text) > UNITS:
+                    if paths not in _own or len(_own[paths].names) > GROUPS:
                         _own[paths] = Interned(_own[paths].pair if paths in _own else Pair(*paths))
                     task = Task(_own[paths])
                 counts, digests, gids, freqs, n = task.slice(b.column(1).to_pylist())
                 task.tables.forget_long()
+                if len(task.tables.text) > UNITS:
+                    task.tables.forget_rare()
                 yield batch("doc", {"row": np.arange(row, row + b.num_rows), "n_a": counts[0], "n_b": counts[1], "n_groups": counts[2], "groups_sha256": digests, "gids": listed(gids, n), "freqs": listed(freqs, n), "doc": b.column(0)})
                 row += b.num_rows
         if task is not None:

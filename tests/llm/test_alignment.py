@@ -64,21 +64,23 @@ def test_links(spark, rows):
     assert got == {p: (n, n == top[p[0]]) for p, n in count.items()}
 
 
-def test_worker_starts_anew(spark, rows, monkeypatch):
-    """A worker that forgets its units between slices tells the same counts."""
-    want = plain(rows)[0]
-    tables = alignment.Pair(A, B)
-    seen, pairs = [], Counter()
-    for at in range(0, len(rows), 40):
-        task = alignment.Task(alignment.Interned(tables))
-        counts, digests, *_ = task.slice([t for _, t in rows[at : at + 40]])
+def test_worker_forgets(spark, rows, monkeypatch):
+    """A worker that forgets most units between slices tells the same."""
+    monkeypatch.setattr(alignment, "UNITS", 200)
+    want, count, _ = plain(rows)
+    task = alignment.Task(alignment.Interned(alignment.Pair(A, B)))
+    seen, pairs = [], {}
+    for at in range(0, len(rows), 10):
+        counts, digests, *_ = task.slice([t for _, t in rows[at : at + 10]])
         seen += [(*map(int, c), d) for c, d in zip(counts.T, digests)]
         task.tables.forget_long()
-        for kind, x in task.parts(7):
-            if kind == "pair":
-                pairs.update(dict(zip(x["pair"].tolist(), x["docs"].tolist())))
+        task.tables.forget_rare()
+        assert len(task.tables.text) <= 100 and len(task.tables.units) == len(task.tables.text)
+    for kind, x in task.parts(7):
+        if kind == "pair":
+            pairs.update(dict(zip(x["pair"].tolist(), x["docs"].tolist())))
     assert seen == [(w[0], w[1], w[2], w[6]) for w in want]
-    assert pairs == {a << 32 | b: n for (a, b), n in plain(rows)[1].items()}
+    assert pairs == {a << 32 | b: n for (a, b), n in count.items()}
 
 
 def test_no_rows(spark):
