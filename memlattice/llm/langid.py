@@ -71,11 +71,14 @@ def _unfold(rows: np.ndarray, emb: np.ndarray) -> np.ndarray:
 
 
 def pooled(rows: np.ndarray, m: Model) -> np.ndarray:
-    return np.concatenate([(_unfold(part, m.emb) @ m.kernel).reshape(len(part), WINDOW, -1).max(axis=1) for part in np.split(rows, range(CHUNK, len(rows), CHUNK))]) if len(rows) else np.zeros((0, m.kernel.shape[1]), np.float32)
+    """The filters' maxima; rows: CHUNK windows."""
+    return (_unfold(rows, m.emb) @ m.kernel).reshape(len(rows), WINDOW, -1).max(axis=1)
 
 
 def log_probs(rows: np.ndarray, m: Model) -> np.ndarray:
-    z = np.maximum(pooled(rows, m) + m.shift, 0) @ m.out + m.bias
+    """Of each window. Windows go in products of one fixed shape (the last is padded), so a window's result does not depend on its neighbours."""
+    whole = np.concatenate([rows, np.zeros((-len(rows) % CHUNK, rows.shape[1]), rows.dtype)])
+    z = np.concatenate([np.maximum(pooled(part, m) + m.shift, 0) @ m.out + m.bias for part in np.split(whole, len(whole) // CHUNK)])[: len(rows)]
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 

@@ -101,11 +101,11 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[doc] + (np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * WINDOW, doc
 
 
-def _fresh(values: np.ndarray) -> np.ndarray:
-    """1 where a word differs from the three before it, else 0: runs of a repeated word count once."""
-    out = np.ones(len(values))
+def _fresh(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 where a word differs from the three before it in its text, else 0: runs of a repeated word count once."""
+    out, owner = np.ones(len(values)), np.repeat(np.arange(len(counts)), counts)
     for lag in (1, 2, 3):
-        out[lag:][values[lag:] == values[:-lag]] = 0
+        out[lag:][(values[lag:] == values[:-lag]) & (owner[lag:] == owner[:-lag])] = 0
     return out
 
 
@@ -127,7 +127,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     window_of = np.zeros(len(token), dtype=np.int64)
     window_of[starts[1:]] = 1
     window_of = np.cumsum(window_of)
-    fresh = _fresh(token) / WINDOW
+    fresh = _fresh(token, counts) / WINDOW
     rng = np.random.default_rng(5)
     # buckets of fewer than 4 running words say little and are left at zero
     common = np.bincount(ids, weights=np.bincount(token, minlength=len(known))[at], minlength=BUCKETS)[ids] >= 4
@@ -178,18 +178,20 @@ def scores(texts: list[str | None], model: Model, cache: dict[str, float]) -> np
     margin = np.zeros(len(texts))
     starts, doc = _windows(counts)
     if len(starts):
-        sums = np.add.reduceat(got * _fresh(got), starts) / WINDOW
+        sums = np.add.reduceat(got * _fresh(got, counts), starts) / WINDOW
         has = np.flatnonzero(counts)
         margin[has] = np.maximum.reduceat(sums, np.searchsorted(doc, has))
     return 1 / (1 + np.exp(-np.clip(margin + model.bias, -40, 40)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int | None = FOLDS) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: labelled rows outside fold 0, at most MAX_DOCS of each class."""
+    """Texts and labels to learn from: labelled rows outside fold 0, at most MAX_DOCS of each class. Only labels of rows that docs
+    has, short enough to learn from, are drawn from."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     rows = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).filter(F.octet_length("t") <= MAX_BYTES)
     if folds:
         rows, known = rows.filter(remainder(F.col("k"), folds) != 0), known.filter(remainder(F.col("k"), folds) != 0)
+    known = known.join(rows.select("k"), "k", "left_semi")  # ids alone move
     # each class by its hashes: a share that holds enough of it, of which the least are taken
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.llm import langid, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
+from memlattice.llm import alignment, langid, linededup, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
 from memlattice.llm.queries import tokenizer_path
 
 #: Names that operators use inside, beside those of documents.
@@ -53,6 +53,8 @@ EACH = {
     "op8": lambda s, d, l: langid.op8_langid(s, d),
     "op9": lambda s, d, l: quality.op9_quality(d),
     "op10": lambda s, d, l: pieces.op10_pieces(d, PIECE),
+    "op11": lambda s, d, l: alignment.op11_alignment(d, tokenizer_path("byte_bpe_50k.json"), PIECE),
+    "op12": lambda s, d, l: linededup.op12_linededup(d),
 }
 
 
@@ -67,6 +69,13 @@ def test_a_row_for_each_row(spark, odd, none, labels, name):
     assert empty.columns == out.columns and empty.count() == 0
 
 
+@pytest.mark.parametrize("name", ["op2", "op4", "op8"])
+def test_partitions_change_no_score(spark, labels, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = (EACH[name](spark, docs.repartition(n), labels) for n in (1, 12))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_search_of_odd_rows(odd, none):
     out = search.op1_search(odd).collect()
     assert {r["query_id"] for r in out} == {0} and sorted(r["rank"] for r in out) == list(range(1, search.K + 1))

@@ -209,3 +209,23 @@ def test_search_keeps_small_positive_scores():
     q.idf = np.array([math.log(1 + 0.5 / 20_000.5)])  # a term that all of 20,000 documents hold
     (_, d, s), = search.search_shard(shard, q, 2.0, np.full((1, 5), -np.inf), 5)
     assert d.tolist() == [0, 1, 2, 3, 4] and (s == 0.000025).all()
+
+
+@pytest.mark.parametrize("name", ["lm", "langid", "toxicity"])
+def test_neighbours_change_no_score(name):
+    """Equal texts get bitwise equal scores, whatever is scored beside them."""
+    rng = np.random.default_rng(7)
+    if name == "lm":
+        r = lm.Ready(lm.start(257 + lm.PIECES))
+        streams = [rng.integers(0, 257 + lm.PIECES, n) for n in (40, 1000, 7, 333, 90)]
+        of = lambda which: np.split(lm.score_streams(np.concatenate([streams[i] for i in which]).astype(np.int32), np.array([len(streams[i]) for i in which]), r), np.cumsum([len(streams[i]) - 1 for i in which])[:-1])
+    else:
+        texts = [bytes(rng.integers(97, 123, n).tolist()).decode() for n in (40, 9000, 7, 333, 900)]
+        texts[0] = texts[1][-9:] + " same same words " + texts[0]
+        texts[1] += " same same"
+        m, bad = langid.fit(texts, ["a", "b", "a", "b", "a"]), toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -1.0)
+        of = lambda which: [np.array(x) for x in (toxicity.scores([texts[i] for i in which], bad, {}) if name == "toxicity" else langid.predictions([texts[i] for i in which], m)[1])]
+    alone = [of([i])[0] for i in range(5)]
+    for which in ([0, 1, 2, 3, 4], [4, 1, 1, 0, 2], [2] * 70 + [3], [1, 0] * 9):
+        for i, got in zip(which, of(which)):
+            assert np.array_equal(alone[i], got)
