@@ -49,7 +49,7 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """The postings of v_summary, as a store keeps them: written once for an application and tables, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        root = f"{scratch.scratch_dir(spark)}/memlattice/postings-{uuid.uuid4().hex}"
+        root = scratch.path(spark, "postings")
         postings.write(frame(spark, sf_dir, "v_summary"), root)
         _stored[key] = root
     return postings.read(spark, _stored[key])

@@ -7,12 +7,11 @@ the views that a DuckDB query names in front of it.
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import scratch_dir
+from ..sources import scratch
 
 #: The clock of every query: a literal, so that results are replayable.
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -101,7 +100,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             return _fill(VIEWS[view], words | {v: f"({text(v)})" for v in VIEWS if "{" + v + "}" in VIEWS[view]})
 
         made = spark.sql(text(name))
-        path = f"{scratch_dir(spark)}/memlattice/{name}-{uuid.uuid4().hex}"
+        path = scratch.path(spark, name)
         made.write.parquet(path)
         _stored[key] = (path, made.schema)
     path, schema = _stored[key]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
-_paths: dict[int, str] = {}
+#: The paths of the tables that the innermost open run has made, and where a DataFrame keeps its own.
+_run: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("run", default=None)
+_PATH = "_scratch_path"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,35 +33,57 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new table's path; the table is deleted with its run, or when the application ends."""
+    out = f"{scratch_dir(spark)}/memlattice/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, out))
+    return out
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage; a lost executor costs no recomputing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/memlattice/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
+    at = path(spark, name)
+    if (own := _run.get()) is not None:
+        own.append((spark, at))
+    df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    setattr(out, _PATH, at)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def _delete(spark: SparkSession, at: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _made.remove((spark, path))
+    _made.remove((spark, at))
 
 
 def drop(df: DataFrame) -> None:
     """Deletes the scratch table that saved() returned as df; nothing may read it any more."""
-    path = _paths.pop(id(df), None)
-    if path and (df.sparkSession, path) in _made:
-        _delete(df.sparkSession, path)
-
-
-def drop_saved(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes every scratch table of this session but that of keep; call it once their readers are done."""
-    stays = _paths.get(id(keep)) if keep is not None else None
-    for owner, path in [x for x in _made if x[0] is spark and x[1] != stays]:
-        _delete(owner, path)
+    at = getattr(df, _PATH, None) if isinstance(getattr(df, _PATH, None), str) else None
+    if at and (df.sparkSession, at) in _made:
+        _delete(df.sparkSession, at)
+
+
+@contextlib.contextmanager
+def run() -> Iterator[list[DataFrame]]:
+    """Owns the scratch tables made inside: they are deleted at its end, but for those of the DataFrames put into the list that
+    it gives. Tables of other runs, and of results that were made outside of any, stay as they are."""
+    own: list[tuple[SparkSession, str]] = []
+    keep: list[DataFrame] = []
+    token = _run.set(own)
+    try:
+        yield keep
+    finally:
+        _run.reset(token)
+        stays = {getattr(df, _PATH, None) for df in keep}
+        outer = _run.get()
+        for x in own:
+            if x[1] not in stays:
+                if x in _made:
+                    _delete(*x)
+            elif outer is not None:
+                outer.append(x)
 
 
 @atexit.register
@@ -64,6 +91,7 @@ def _at_end() -> None:
     for spark in {id(s): s for s, _ in _made}.values():
         try:
             if not spark.sparkContext._jsc.sc().isStopped():
-                drop_saved(spark)
+                for _, at in [x for x in _made if x[0] is spark]:
+                    _delete(spark, at)
         except Exception:  # noqa: BLE001 - the JVM is gone already
             return
