@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop, drop_saved, saved, scratch_dir  # noqa: F401 - the operators take them from here
+from ..sources.scratch import drop, run, saved, scratch_dir  # noqa: F401 - the operators take them from here
 
 #: The white space that separates words, as a regular expression class and as characters.
 SPACE = r"[\x20\x09-\x0D]"

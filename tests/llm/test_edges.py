@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlattice.llm import alignment, langid, linededup, lm, mixing, pieces, quality, search, sharding, simhash, tokencount, toxicity
-from memlattice.llm.queries import tokenizer_path
+from memlattice.llm.queries import QUERIES, tokenizer_path
 
 #: Names that operators use inside, beside those of documents.
 CLASHES = ["key", "host", "th", "t", "w", "lines", "bad", "row", "stop", "new", "n_words", "kept", "score", "ids", "decoded", "k", "n", "_src", "_hash", "copies", "_w", "_host", "_whole", "_n", "slot", "a.b"]
@@ -130,6 +130,14 @@ def test_pipeline(spark, tmp_path):
     assert ran.exceptAll(last).count() == 0 and last.exceptAll(ran).count() == 0  # run() is the stages, and reruns agree
 
 
+def test_pipeline_leaves_other_results(spark):
+    """Results held lazily from before a run of the pipeline can still be read after it."""
+    sf = "/root/testdata/sf0.001"
+    held = {n: QUERIES[n](spark, sf) for n in ("op3_shards", "op6_neardup", "op7_mix", "op9_quality", "op11_alignment", "op12_linededup", "op13_negatives")}
+    corpus_pipeline.run(spark, sf).count()
+    assert all(df.count() > 0 for df in held.values())
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
