@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.llm import mixing, pieces, quality, simhash, toxicity
-from memlattice.llm.common import documents, drop_saved, saved
+from memlattice.llm.common import documents, drop, run as scratch_run, saved
 from memlattice.llm.queries import tokenizer_path
 from memlattice.sources.ship import ship
 
@@ -51,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
+    """All stages over the documents of sf_dir, each written and read again. A stage's own scratch tables go with it, those of
+    other results stay."""
     ship(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-        drop_saved(spark, keep=docs)
+        with scratch_run() as keep:
+            after = saved(stage(spark, docs, sf_dir), name)
+            keep.append(after)
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
