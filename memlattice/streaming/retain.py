@@ -3,33 +3,22 @@
 State of a session: its latest LINES lines (a message that arrives again under its key replaces the earlier one and moves
 to the end), which of them were consumed, and the batch that waits. A line of the bot ends a round; the round takes all
 lines not consumed yet, unless the bot alone spoke. A batch is flushed after ``every`` rounds, or when its session has
-been idle for ``idle_s`` seconds of event time. Its history are the lines before its first round.
-
-Timers run on event time: a stream without new events starts no batches, and one that ends does end. Where sessions
-must be flushed although nothing else happens, the stream is united with ``heartbeats``, whose times move the watermark.
+been idle. Its history are the lines before its first round. ``sessions`` keeps this state in a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import message_line
 
 HISTORY, LINES, BOT_IDS = 10, 30, 100
-#: A session of this name carries heartbeats alone.
-HEARTBEAT = ""
 OUT = (
     "session_key string, rounds int, n_lines int, lines array<string>, bot_lines array<string>, history array<string>, participants array<string>, "
     "first_ts timestamp, last_ts timestamp, reason string"
 )
-_LINE = "struct<key:string,line:string,uid:string,bot:boolean,ts:double,used:boolean>"
-STATE = f"cache array<{_LINE}>, rounds int, lines array<string>, bot_lines array<string>, history array<string>, people array<string>, first double, last double"
-_FIELDS = ("cache", "rounds", "lines", "bot_lines", "history", "people", "first", "last")
 
 
 def rounds_needed(session: Column, group: int = 1, private: int = 5) -> Column:
@@ -106,48 +95,6 @@ def step(state: dict | None, key: str, rows: pd.DataFrame, every: int) -> tuple[
     return s, out
 
 
-def retained(stream: DataFrame, group: int = 1, private: int = 5, idle_s: int = 1800, late: str = "0 seconds") -> DataFrame:
-    """Flushed batches of a stream of messages (session_key, msg_key, line, uid, is_bot, ts).
-
-    Spark's checkpoint holds the state, so a lost executor loses no batch; the sink is to be idempotent by session and
-    first_ts. Messages later than the watermark allows are taken all the same: they carry no aggregate that was closed.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] == HEARTBEAT:
-            return
-        held = None
-        if state.exists:
-            held = dict(zip(_FIELDS, state.get))
-            held = {k: [dict(zip(("key", "line", "uid", "bot", "ts", "used"), x)) for x in v] if k == "cache" else list(v) if isinstance(v, (list, tuple)) else v for k, v in held.items()}
-        if state.hasTimedOut:
-            if held and held["rounds"]:
-                yield pd.DataFrame([flush(key[0], held, "idle")])
-                state.update(_packed(held))
-            else:
-                state.remove()
-            return
-        held, due = step(held, key[0], pd.concat(list(batches)), group if ":gm:" in key[0] else private)
-        if due:
-            yield pd.DataFrame(due)
-        state.update(_packed(held))
-        last = max(x["ts"] for x in held["cache"])
-        state.setTimeoutTimestamp(int(max(last * 1000, state.getCurrentWatermarkMs()) + idle_s * 1000))
-
-    return stream.withWatermark("ts", late).groupBy("session_key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _packed(s: dict) -> tuple:
-    return tuple([tuple(x.values()) for x in s[f]] if f == "cache" else s[f] for f in _FIELDS)
-
-
-def heartbeats(spark: SparkSession, every_s: int = 60) -> DataFrame:
-    """A stream whose rows only move the watermark, to be united with messages."""
-    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % every_s == 0)
-    none = F.lit(None).cast("string")
-    return beat.select(F.lit(HEARTBEAT).alias("session_key"), none.alias("msg_key"), none.alias("line"), none.alias("uid"), F.lit(False).alias("is_bot"), F.col("timestamp").alias("ts"))
-
-
 #: What a hook's event is to the stream: a line of a person, a line of the bot, or nothing to keep.
 HOOKS = {"im_message": False, "message_sent": True}
 
@@ -204,11 +151,16 @@ def cleared(rows: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def without_user(batches: DataFrame, uid: str) -> DataFrame:
-    """Batches without the lines whose head (before the first '>') names the user; emptied ones go."""
+    """Batches without a person: the lines (of people, of the bot, of the history) whose head, before the first '>', names them,
+    and their place among the participants, whose first one owns the batch. A batch with lines of the bot alone stays; one without
+    any line or without anybody goes. A column user_id or generation then tells the owner, or that nobody read it before."""
     mark = f'uid="{uid}"'
     keep = lambda c: F.filter(c, lambda x: ~F.contains(F.split_part(x, F.lit(">"), F.lit(1)), F.lit(mark)))
-    out = batches.withColumns({"lines": keep("lines"), "participants": F.array_remove("participants", uid)})
-    return out.filter((F.size("lines") > 0) & (F.size("participants") > 0))
+    out = batches.withColumns({**{c: keep(c) for c in ("lines", "bot_lines", "history") if c in batches.columns}, "participants": F.array_remove("participants", uid)})
+    if "user_id" in out.columns:
+        out = out.withColumn("user_id", F.when(F.col("user_id") == uid, F.try_element_at("participants", F.lit(1))).otherwise(F.col("user_id")))
+    said = F.size("lines") + (F.size("bot_lines") if "bot_lines" in out.columns else F.lit(0))
+    return out.filter((said > 0) & (F.size("participants") > 0))
 
 
 def not_erased(batches: DataFrame, erased: DataFrame) -> DataFrame:

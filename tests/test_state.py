@@ -355,26 +355,6 @@ def test_retain_step():
     assert due[0]["rounds"] == 2 and due[0]["lines"][-1] == "y" and due[0]["participants"] == ["u", "v"]
 
 
-def test_retain_stream_ends(spark, tmp_path):
-    """Five private rounds make one batch, an idle session is flushed when time moves on, and the stream ends."""
-    def at(s):
-        return T0 + dt.timedelta(seconds=s)
-
-    talk = [("qq:dm:1", f"{k}{i}", f"{k}{i}", "u" if k == "q" else "bot", k == "a", at(60 * i + (k == "a"))) for i in range(6) for k in "qa"]
-    other = [("qq:gm:2", "x", "hello", "v", False, at(5)), ("qq:gm:2", "y", "hi", "bot", True, at(6))]
-    later = [("qq:dm:9", "z", "late", "w", False, at(9000)), ("qq:dm:9", "z2", "later", "w", False, at(9001))]
-    schema = "session_key string, msg_key string, line string, uid string, is_bot boolean, ts timestamp"
-    for i, part in enumerate((talk + other, later)):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got: list = []
-    q = retain.sink(retain.retained(src), lambda df, _: got.extend(df.collect()), f"{tmp_path}/ck", {"availableNow": True})
-    assert q.awaitTermination(60) and q.exception() is None
-    assert sorted((r["session_key"], r["reason"], r["rounds"], len(r["lines"])) for r in got) == [("qq:dm:1", "idle", 1, 1), ("qq:dm:1", "rounds", 5, 5), ("qq:gm:2", "rounds", 1, 1)]
-    assert [r["history"] for r in got if r["reason"] == "idle"] == [[f"{k}{i}" for i in range(5) for k in "qa"]]
-    assert len(q.recentProgress) <= 6  # no empty batches while nothing happens
-
-
 def test_waiting_batches(spark):
     kind = "session_key string, first_ts timestamp, last_ts timestamp, lines array<string>, bot_lines array<string>, history array<string>, participants array<string>, rounds int, failed boolean, user_id string, generation int"
     t = lambda h: T0 + dt.timedelta(hours=h)
