@@ -11,7 +11,7 @@ from ..functions.exprs import cosine
 from ..functions.numbering import numbered
 from ..schemas import CATEGORIES, CONFIDENCES, Config
 from ..sources.scratch import saved
-from . import graph, lifecycle
+from . import graph
 
 
 def threshold(category: Column, c: Config) -> Column:
@@ -365,41 +365,3 @@ def pending(facts: DataFrame, batch: int = 200, skips: DataFrame | None = None)
     if skips is not None:
         rows = rows.join(skips.filter(F.col("n") >= ATTEMPTS).select("id"), "id", "left_anti")
     return rows.orderBy("id").limit(batch)
-
-
-class Cycle(NamedTuple):
-    """The state after a consolidation cycle."""
-
-    clusters: DataFrame
-    facts: DataFrame
-    profiles: DataFrame
-    summaries: DataFrame
-    edges: DataFrame | None
-    deferred: DataFrame
-
-
-def cycle(clusters: DataFrame, facts: DataFrame, verdicts: DataFrame, profiles: DataFrame, summaries: DataFrame, now: Column, c: Config = Config(), since: Column | None = None, budget: int = 200, edges: DataFrame | None = None, skips: DataFrame | None = None, archive_on: bool = True) -> Cycle:
-    """One consolidation cycle: facts, decay, promotion, archive, in this order; verdicts are given as a table.
-
-    Facts go in id order up to the budget. One without candidates is created; one with candidates but without a
-    verdict on each of them waits. What audit and re-encoding need (verdicts on edges, encoded texts) has passes of its
-    own: graph.audit_pass, retain.reencoded.
-    """
-    batch = saved(pending(facts, budget, skips), "batch")
-    cand = saved(candidates(batch, clusters), "candidates")
-    given = saved(valid_verdicts(verdicts, cand), "verdicts")
-    open_ = cand.join(given, ["fact_id", "cluster_id"], "left_anti").select("fact_id").distinct()
-    ready = saved(batch.join(open_.withColumnRenamed("fact_id", "id"), "id", "left_anti"), "ready")
-    ranked = given.join(cand.select("fact_id", "cluster_id", "rank"), ["fact_id", "cluster_id"]).join(ready.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
-    ranked = saved(ranked, "ranked")
-    chosen = saved(actions(ready, clusters, ranked), "chosen")
-    state = applied(clusters, facts, chosen, now, c, successors(clusters, ranked), profiles, edges)
-    rows = saved(state.profiles, "profiles")
-    after = saved(decay(state.clusters, rows, summaries, now, c, since).drop("expired", "demoted", "deaded"), "decayed")
-    left = saved(synced_profiles(rows, after, now), "profiles")
-    after = saved(promote(after, now, c), "promoted")
-    archived = summaries
-    if archive_on:
-        archived = lifecycle.archive(summaries, now, c.archive_days(), c.reinforce_days).drop("archived_now")
-    waits = open_.select(F.col("fact_id").alias("id")).unionByName(state.deferred)
-    return Cycle(after, state.facts, synced_profiles(left, after, now), archived, state.edges, waits)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import admin, facts, graph, ingest, lifecycle, people, recall, tools
+from ..operators import admin, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
 from ..sources import store
+from ..sources.scratch import saved
 from ..streaming import retain
 from .queries import BM25, CONFIG, LATE, SCOPE, SESSION, TEXT, Q, now, query, scope, vector
 from .views import frame
@@ -22,6 +23,50 @@ TODO = """t AS (SELECT f.*, CASE WHEN f.confidence = 'high' THEN 3.0 ELSE 2.0 EN
         WHERE action = 'create' OR (c.status <> 'replaced' AND (fix IS NULL OR t.id < fix OR (t.id = fix AND action = 'replace'))))"""
 
 
+#: Clusters of the fact's own claim, drift of the person's other claims, and facts of one claim that make one cluster.
+CYCLE = """f AS (SELECT * FROM v_fact WHERE extracted_flag = 0),
+    own AS (SELECT f.id, min(c.id) FILTER (c.status <> 'replaced') AS cid FROM f JOIN v_cluster c ON c.user_id = f.user_id AND c.category = f.category AND c.canonical_statement = f.event_type GROUP BY f.id),
+    d AS (SELECT f.id, c.id AS cid FROM f JOIN v_cluster c ON c.user_id = f.user_id AND c.category = f.category AND c.canonical_statement <> f.event_type AND (f.id + c.id) % 5 = 0),
+    a AS (SELECT f.id, own.cid, f.user_id, f.category, f.event_type, f.evidence_key, min(f.id) FILTER (own.cid IS NULL) OVER (PARTITION BY f.user_id, f.category, f.event_type) AS first FROM f LEFT JOIN own ON own.id = f.id)"""
+
+
+def _cycle(spark, d):
+    """Decisions on every pending fact: the same claim joins, another claim of the person is drift now and then, all else is unrelated."""
+    f = frame(spark, d, "v_fact").withColumn("embedding", F.lit(None).cast("array<float>"))
+    none = {n: F.lit(None).cast("timestamp") for n in ("demoted_at", "contradicted_at")}
+    c = frame(spark, d, "v_cluster").withColumns({"embedding": F.lit(None).cast("array<float>"), "replaced_by": F.lit(None).cast("long"), "source_fact_ids": F.array("id"), "written_at": F.col("updated_at"), **none})
+    batch = f.filter("extracted_flag = 0")
+    pairs = facts.candidates(batch, c, 1 << 30)
+    claim = batch.select(F.col("id").alias("fact_id"), F.col("user_id").alias("u"), F.col("event_type").alias("e"))
+    on = pairs.join(claim, "fact_id").join(c.select(F.col("id").alias("cluster_id"), "user_id", "canonical_statement"), "cluster_id")
+    mine, again = F.col("u") == F.col("user_id"), F.col("e") == F.col("canonical_statement")
+    drift = mine & ((F.col("fact_id") + F.col("cluster_id")) % 5 == 0)
+    old = on.select("fact_id", F.col("cluster_id").cast("string").alias("cluster_id"), F.lit(None).cast("long").alias("made_by"), F.when(mine & again, "same").when(drift, "drift").otherwise("unrelated").alias("verdict"))
+    person = lambda x, n: x.select(F.col("id").alias(n), "category", F.explode(F.array_distinct(F.concat(F.array("user_id"), "related_user_ids"))).alias("p"))
+    met = person(batch, "fact_id").join(person(batch, "made_by"), ["category", "p"]).filter("made_by < fact_id").select("fact_id", "made_by").distinct()
+    met = met.join(claim, "fact_id").join(claim.toDF("made_by", "u2", "e2"), "made_by")
+    new = met.select("fact_id", F.lit(None).cast("string").alias("cluster_id"), "made_by", F.when((F.col("u") == F.col("u2")) & (F.col("e") == F.col("e2")), "same").otherwise("unrelated").alias("verdict"))
+    return f, c, saved(consolidation.decided(batch, c, old.unionByName(new), CONFIG, 1 << 30), "decisions")
+
+
+@query(f"""WITH {CYCLE} SELECT a.id AS fact_id, CASE WHEN cid IS NOT NULL OR a.id > first THEN 'merge' ELSE 'create' END AS action, cid AS cluster_id, CASE WHEN cid IS NULL AND a.id > first THEN first END AS made_by,
+    CAST(CASE WHEN cid IS NULL AND a.id > first THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(coalesce(m.n, 0) AS BIGINT) AS n_marks FROM a LEFT JOIN (SELECT id, count(*) AS n FROM d GROUP BY id) m ON m.id = a.id""")
+def fact_cycle(spark, d):
+    return _cycle(spark, d)[2].select("fact_id", "action", "cluster_id", "made_by", "level", F.size("marks").cast("long").alias("n_marks"))
+
+
+@query(f"""WITH {CYCLE}, g AS (SELECT cid, max(fid) AS grew FROM (SELECT a.cid, a.evidence_key, min(a.id) AS fid, any_value(c.evidence_keys) AS had FROM a JOIN v_cluster c ON c.id = a.cid GROUP BY a.cid, a.evidence_key) WHERE NOT list_contains(had, evidence_key) GROUP BY cid),
+    m AS (SELECT cid, max(id) AS marked FROM d GROUP BY cid)
+    SELECT canonical_statement, category, user_id, c.id AS old_id, m.marked IS NOT NULL AND (grew IS NULL OR grew <= marked) AS contradicted, 0 AS made FROM v_cluster c LEFT JOIN m ON m.cid = c.id LEFT JOIN g ON g.cid = c.id
+    UNION ALL SELECT any_value(statement), a.category, a.user_id, NULL, false, 1 FROM a JOIN f ON f.id = a.id WHERE a.cid IS NULL AND a.id = first GROUP BY a.id, a.category, a.user_id""")
+def fact_cycle_state(spark, d):
+    """Every cluster after the decisions of fact_cycle: who is contradicted, and the clusters made, one for each new claim."""
+    f, c, decisions = _cycle(spark, d)
+    out = consolidation.consolidated(c, f, decisions, now(), CONFIG).clusters
+    made = F.col("written_at") == now().cast("timestamp")
+    return out.select("canonical_statement", "category", "user_id", F.when(~made, F.col("id")).alias("old_id"), F.col("contradicted_at").isNotNull().alias("contradicted"), made.cast("int").alias("made"))
+
+
 def _applied(spark, d):
     f = frame(spark, d, "v_fact").withColumn("embedding", F.lit(None).cast("array<float>"))
     c = frame(spark, d, "v_cluster")
@@ -414,10 +459,9 @@ def fact_decay_stats(spark, d):
     return facts.decay_stats(after).select("expired_recent", "expired_commitment")
 
 
-@query(f"SELECT id, session_id = '{SESSION}' AND archived AS restored FROM v_summary WHERE id = (SELECT min(id) FROM v_summary WHERE archived AND session_id = '{SESSION}') OR id < 5")
+@query(f"SELECT id, archived AND id <> coalesce((SELECT min(id) FROM v_summary WHERE archived AND session_id = '{SESSION}'), -1) AS archived FROM v_summary")
 def lifecycle_restore(spark, d):
+    """The session's first archived summary comes back; every other row stays as it is."""
     s = frame(spark, d, "v_summary").withColumn("archived_at", F.lit(None).cast("timestamp"))
     first = s.filter(F.col("archived") & (F.col("session_id") == SESSION)).agg(F.min("id")).first()[0]
-    out = lifecycle.restore(s, -1 if first is None else first, SESSION).select("id", F.col("archived").alias("after"))
-    both = s.select("id", "archived").join(out, "id")
-    return both.filter((F.col("id") == (-1 if first is None else first)) | (F.col("id") < 5)).select("id", (F.col("archived") & ~F.col("after")).alias("restored"))
+    return lifecycle.restore(s, -1 if first is None else first, SESSION).select("id", "archived")

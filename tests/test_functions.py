@@ -103,3 +103,19 @@ def test_config():
 ])
 def test_json_is_read_leniently(text, want):
     assert X.loose_json(text) == want
+
+
+def test_numbers_survive_skew(spark):
+    """One outlier and many equal times: numbers are consecutive and in order, and no range holds most rows."""
+    from memlattice.functions import numbering
+
+    df = spark.range(20_000).select(F.when(F.col("id") == 7, 0.0).when(F.col("id") % 3 == 0, 1e9).otherwise(1e9 + F.col("id") / 1e6).alias("t"), (F.col("id") * 7919 % 20_011).alias("k"))
+    parts = []
+    out = numbering.numbered(df, F.col("t"), ["k"], "n", 5).withColumn("part", F.spark_partition_id())
+    rows = sorted(out.collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in rows] == list(range(6, 20_006))
+    assert [(r["t"], r["k"]) for r in rows] == sorted((r["t"], r["k"]) for r in rows)
+    placed = df.repartitionByRange(4, "t", "k").groupBy(F.spark_partition_id()).count().collect()
+    parts = [r["count"] for r in placed]
+    assert max(parts) < 0.5 * sum(parts)
+    assert numbering.numbered(df.limit(0), F.col("t"), ["k"]).count() == 0

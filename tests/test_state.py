@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlattice.functions.numbering import numbered
-from memlattice.operators import admin, facts, graph, ingest, lifecycle, people, recall, tools
+from memlattice.operators import admin, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
 from memlattice.schemas import ALIAS, CLUSTER, EDGE, FACT, KV, PROFILE, SUMMARY, Config
 from memlattice.sources import importers, store
 from memlattice.streaming import retain
@@ -88,16 +88,41 @@ def test_cycle(spark):
     c = table(spark, CLUSTER, [cluster(1, score=5.0, embedding=[1.0, 0.0]), cluster(2, user_id="w")])
     f = table(spark, FACT, [fact(1, embedding=[1.0, 0.0]), fact(2, user_id="nobody"), fact(3, embedding=[0.0, 1.0])])
     given = spark.createDataFrame([(1, "1.0", "same"), (3, "1.5", "same"), (3, "true", "same")], "fact_id long, cluster_id string, verdict string")
-    out = facts.cycle(c, f, given, table(spark, PROFILE, []), table(spark, SUMMARY, []), now())
+    out = consolidation.cycle(c, f, given, table(spark, PROFILE, []), table(spark, SUMMARY, []), now())
     got = {r["id"]: r for r in out.clusters.collect()}
     assert got[1]["status"] == "profiled" and len(got) == 3  # joined, then promoted; fact 2 made a cluster
     assert [r["id"] for r in out.deferred.collect()] == [3]  # its candidate has no valid verdict
     assert [r["cluster_id"] for r in out.profiles.collect()] == [1]
+    assert consolidation.reserved(200, True) == (150, 50) and consolidation.reserved(1, True) == (1, 0) and consolidation.reserved(3, True) == (2, 1) and consolidation.reserved(9, False) == (9, 0)
     skips = facts.skip_list(spark.createDataFrame([(9, 4, 0), (8, 1, 1)], "id long, n int, pos long"), spark.createDataFrame([(9,), (7,)], "id long"), spark.createDataFrame([(8,)], "id long"))
     assert sorted((r["id"], r["n"]) for r in skips.collect()) == [(7, 1), (9, 5)]
     assert [r["id"] for r in facts.pending(f, 2, spark.createDataFrame([(1, 5, 0)], "id long, n int, pos long")).collect()] == [2, 3]
 
 
+def test_facts_of_a_cycle_act_in_sequence(spark):
+    """A fact sees the clusters that earlier ones of its cycle made and replaced; corrections and drift mark, later evidence clears."""
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    t = lambda h: T0 + dt.timedelta(hours=h)
+    c = table(spark, CLUSTER, [cluster(7, embedding=v, evidence_keys=["k0"]), cluster(8, user_id="w", embedding=v), cluster(9, user_id="w", status="replaced", replaced_by=8, embedding=w)])
+    f = table(spark, FACT, [
+        fact(1, user_id="n", embedding=v, evidence_key="a"), fact(2, user_id="n", embedding=v, evidence_key="b"),  # equal new facts: one cluster
+        fact(3, user_id="n", embedding=v, evidence_key="c", occurred_at=t(1)), fact(4, user_id="n", embedding=v, evidence_key="d", occurred_at=t(1)),  # 3 replaces it, 4 says the new one again
+        fact(5, embedding=v, evidence_key="e"), fact(6, embedding=v, evidence_key="f"),  # drift marks 7, then new evidence for 7
+        fact(10, user_id="w", embedding=w, evidence_key="g"),  # says a replaced claim again: its successor is marked
+        fact(11, user_id="n", embedding=v, evidence_key="h"),  # no verdict on what 3 made
+    ])
+    said = [(2, None, 1, "same"), (3, None, 1, "correction"), (4, None, 1, "unrelated"), (4, None, 3, "same"), (5, "7", None, "drift"), (6, "7", None, "same"), (6, None, 5, "unrelated"), (10, "8", None, "unrelated"), (10, "9", None, "same"), (11, None, 1, "same")]
+    given = spark.createDataFrame(said, "fact_id long, cluster_id string, made_by long, verdict string")
+    out = consolidation.cycle(c, f, given, table(spark, PROFILE, []), table(spark, SUMMARY, []), now(), archive_on=False)
+    acts = {r["fact_id"]: (r["action"], r["cluster_id"], r["made_by"], r["level"]) for r in out.decisions.collect()}
+    assert acts == {1: ("create", None, None, 0), 2: ("merge", None, 1, 1), 3: ("replace", None, 1, 1), 4: ("merge", None, 3, 2), 5: ("create", None, None, 0), 6: ("merge", 7, None, 0), 10: ("create", None, None, 0), 11: ("wait", None, None, 0)}
+    got = {r["source_fact_ids"][0] if r["id"] > 9 else -r["id"]: r for r in out.clusters.collect()}
+    assert len(got) == 7 and len({r["id"] for r in got.values()}) == 7
+    assert got[1]["status"] == "replaced" and got[1]["replaced_by"] == got[3]["id"] and got[1]["evidence_count"] == 2 and got[3]["evidence_count"] == 2
+    assert got[1]["contradicted_at"] is not None and got[-7]["contradicted_at"] is None and got[-8]["contradicted_at"] is not None and got[3]["contradicted_at"] is None
+    assert [r["id"] for r in out.deferred.collect()] == [11] and {r["id"] for r in out.facts.filter("extracted_flag = 0").collect()} == {11}
+
+
 def test_related_users_come_from_the_first_known_source(spark):
     c = table(spark, CLUSTER, [cluster(1, source_fact_ids=[3, 2, 1]), cluster(2, related_user_ids=["z"], source_fact_ids=[2]), cluster(3)])
     f = table(spark, FACT, [fact(1), fact(2, related_user_ids=["b"]), fact(3, related_user_ids=["c"])])
