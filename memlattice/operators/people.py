@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cleaned_alias, is_placeholder, normalized_alias, uid_codes, variants
+from ..functions.exprs import cleaned_alias, is_placeholder, normalize_alias, normalized_alias, uid_codes, variants
+from .names import found
 
 OWNER = ["platform", "user_id"]
-#: Names that are broadcast to the texts at most; beyond that, grams meet them by a shuffle that adaptive execution splits.
-MANY = 50_000
 
 
 def alias_rows(seen: DataFrame, source: str, cap: int = 8) -> DataFrame:
@@ -51,28 +50,35 @@ def variants_of(aliases: DataFrame, platforms: list[str], uids: list[str]) -> Da
     return own.groupBy(*OWNER).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("t"), "name"))), lambda x: x["name"]).alias("names"))
 
 
-def matched(texts: DataFrame, aliases: DataFrame, window: DataFrame | None = None, cap: int = 4, min_chars: int = 2, gram: int = 2) -> DataFrame:
+def _spelled(aliases: DataFrame, min_chars: int, stopwords: tuple[str, ...]) -> DataFrame:
+    """(key, platform, user_id, name): a person's names by their normalised form, the latest spelling of each."""
+    at = F.col("last_seen") if "last_seen" in aliases.columns else F.lit(None).cast("timestamp")
+    names = aliases.select(*OWNER, "name", at.alias("at"), normalized_alias("name").alias("key")).filter(F.length("key") >= min_chars)
+    if stopwords:
+        names = names.filter(~F.col("key").isin(*map(normalize_alias, stopwords)))
+    return names.groupBy("key", *OWNER).agg(F.max(F.struct("at", "name"))["name"].alias("name"))
+
+
+def matched(texts: DataFrame, aliases: DataFrame, window: DataFrame | None = None, cap: int = 4, min_chars: int = 2, gram: int = 2, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(text_id, platform, user_id, name): people named in a text, longest names first, at most `cap`.
 
-    A name of several people counts only for those that the session window (platform, user_id) backs. Containment is
-    found by an equi-join on the name's first characters among the text's n-grams, then checked; no all-pairs product.
+    A name of several people counts only for those that the session window (platform, user_id) backs. Every row of texts is
+    read once by an automaton of the names; texts are shuffled only where the names are too many to be sent to them.
     """
-    names = aliases.select(*OWNER, "name").withColumn("key", normalized_alias("name")).filter(F.length("key") >= min_chars).dropDuplicates([*OWNER, "key"])
-    people = names.groupBy("key").agg(F.count("*").alias("n"))
-    names = names.join(people, "key")
+    names = _spelled(aliases, min_chars, stopwords)
+    clear = names.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*OWNER, "name")).alias("p")).filter("n = 1").select("key", "p.*")
+    if window is not None:
+        clear = clear.unionByName(names.join(window.select(*OWNER), OWNER, "left_semi")).distinct()
+    return found(texts, clear, True, gram, cap, tuple(OWNER)).select("text_id", *OWNER, "name")
+
+
+def skipped(texts: DataFrame, aliases: DataFrame, window: DataFrame | None = None, min_chars: int = 2, gram: int = 2, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(text_id, name): names of several people, none backed by the window, that a text holds and `matched` passes over."""
+    names = _spelled(aliases, min_chars, stopwords)
+    vague = names.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("name")).filter("n > 1").drop("n")
     if window is not None:
-        names = names.join(window.distinct().withColumn("_seen", F.lit(True)), OWNER, "left").filter((F.col("n") == 1) | F.coalesce("_seen", F.lit(False)))
-    else:
-        names = names.filter("n = 1")
-    names = names.withColumn("g", F.substring("key", 1, gram))
-    t = texts.select("text_id", normalized_alias("text").alias("t")).filter(F.length("t") >= gram)
-    if names.limit(MANY + 1).count() <= MANY:
-        # a bounded dictionary goes to the texts: no gram is shuffled, so none can be hot
-        names = F.broadcast(names)
-    grams = t.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - gram + 1), lambda i: F.substring(F.col("t"), i, F.lit(gram))))))
-    hits = grams.join(names, "g").filter(F.contains("t", "key"))
-    w = Window.partitionBy("text_id").orderBy(F.desc(F.length("key")), "key", *OWNER)
-    return hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap).select("text_id", *OWNER, "name")
+        vague = vague.join(names.join(window.select(*OWNER), OWNER, "left_semi"), "key", "left_anti")
+    return found(texts, vague, True, gram).select("text_id", "name")
 
 
 def resolved(aliases: DataFrame, name: str | Column) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import admin, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
+from ..operators import admin, backfill, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
 from ..sources import store
 from ..sources.scratch import saved
 from ..streaming import retain
-from .queries import BM25, CONFIG, LATE, SCOPE, SESSION, TEXT, Q, now, query, scope, vector
+from .queries import BM25, CONFIG, LATE, PH, SCOPE, SESSION, TEXT, Q, now, query, scope, vector
 from .views import frame
 
 THRESHOLD = "CASE category WHEN 'recent' THEN 4.0 WHEN 'naming' THEN 3.0 ELSE 6.0 END"
@@ -200,6 +200,42 @@ def graph_backfill(spark, d):
     return after.join(e.select("id"), "id", "left_anti").select("subject_uid", "object_uid", "relation_label", "evidence_count")
 
 
+@query(f"""WITH dir AS (SELECT name AS nm, min(user_id) AS uid FROM v_alias WHERE NOT {PH.format('name')} GROUP BY name HAVING count(DISTINCT user_id) = 1),
+    al AS (SELECT user_id, min(name) AS nm FROM v_alias WHERE NOT {PH.format('name')} GROUP BY user_id),
+    c AS (SELECT v.id, v.status, v.user_id AS s, CAST((CAST(v.user_id AS INT) + 1) % 150 AS VARCHAR) AS o, substring(v.canonical_statement, 1, 4) AS label, concat(v.canonical_statement, ' with ', coalesce(al.nm, 'nobody')) AS st
+        FROM v_cluster v LEFT JOIN al ON al.user_id = CAST((CAST(v.user_id AS INT) + 1) % 150 AS VARCHAR)),
+    src AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 40 AS b FROM c WHERE status IN ('active', 'profiled') AND id > 100),
+    named AS (SELECT DISTINCT b, uid FROM src JOIN dir ON contains(st, nm)),
+    stop AS (SELECT min(b) AS b FROM src WHERE id >= (SELECT max(id) * 3 // 4 FROM v_cluster) AND b IN (SELECT b FROM named)),
+    good AS (SELECT * FROM src WHERE b < (SELECT coalesce(b, 1 << 40) FROM stop)),
+    ok AS (SELECT good.*, row_number() OVER (PARTITION BY good.b, s, o, label ORDER BY id) AS rn FROM good JOIN named ON named.b = good.b AND named.uid = o WHERE s <> o)
+    SELECT s AS subject_uid, o AS object_uid, label AS relation_label, (SELECT min(nm) FROM dir WHERE uid = o) AS object_name, CAST(1 AS INT) AS evidence_count, concat('backfill|', CAST(min(id) AS VARCHAR)) AS first_key,
+        concat('seen ', CAST(max(id) AS VARCHAR)) AS statement, (SELECT max(id) FROM good) AS mark FROM ok WHERE rn = 1 GROUP BY s, o, label""")
+def graph_backfill_run(spark, d):
+    """A run over all sources, in passes, whose outer model fails at three quarters of the ids: what came before stays."""
+    a, e = frame(spark, d, "v_alias"), frame(spark, d, "v_edge")
+    other = ((F.col("user_id").cast("int") + 1) % 150).cast("string")
+    called = a.filter(~X.is_placeholder(F.col("name"))).groupBy(F.col("user_id").alias("o")).agg(F.min("name").alias("nm"))
+    c = frame(spark, d, "v_cluster").withColumn("o", other).join(called, "o", "left").withColumn("canonical_statement", F.concat("canonical_statement", F.lit(" with "), F.coalesce("nm", F.lit("nobody"))))
+    c = saved(c, "clusters")
+    end = c.agg(F.floor(F.max("id") * 3 / 4)).first()[0]
+
+    def relation(x):
+        return F.struct(
+            x["id"].alias("cluster_id"), x["user_id"].alias("subject_user_id"), ((x["user_id"].cast("int") + 1) % 150).cast("string").alias("object_user_id"), F.lit("S").alias("subject_display_name"),
+            F.lit("unknown").alias("object_display_name"), F.substring(x["statement"], 1, 4).alias("label"), F.concat(F.lit("seen "), x["id"].cast("string")).alias("statement"), F.lit("high").alias("confidence"),
+        )
+
+    def ask(asked):
+        lost = F.exists("items", lambda x: x["id"] >= end)
+        return asked.select("batch", F.when(lost, "sorry").otherwise(F.to_json(F.struct(F.transform("items", relation).alias("relations")))).alias("answer"))
+
+    kept = []
+    done = backfill.backfill_run(c, e, a, ask, now(), lambda one: kept.append(saved(one.edges, "kept")) or kept[-1], 100)
+    made = kept[-1].join(e.select("id"), "id", "left_anti").withColumn("first_key", F.col("evidence_keys")[0]).withColumn("mark", F.lit(done[-1].watermark).cast("long"))
+    return made.select("subject_uid", "object_uid", "relation_label", "object_name", "evidence_count", "first_key", "statement", "mark")
+
+
 # -- ingest and memory ---------------------------------------------------------------------------------------------
 
 PEOPLE = "array_to_string(list_sort(list_distinct(list_append(related_user_ids, user_id))), '-')"

@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from memlattice.functions import exprs
 from memlattice.functions.numbering import numbered
-from memlattice.operators import admin, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
+from memlattice.operators import admin, consolidation, facts, graph, ingest, lifecycle, names, people, recall, tools
 from memlattice.schemas import ALIAS, CLUSTER, EDGE, FACT, KV, PROFILE, SUMMARY, Config
 from memlattice.sources import importers, store
 from memlattice.streaming import retain
@@ -320,6 +321,46 @@ def test_aliases(spark):
     assert {r["user_id"] for r in people.matched(text, a, window).collect()} == {"1", "3"}
 
 
+@pytest.mark.parametrize("many", [names.MANY, 0])
+def test_names_in_texts_as_by_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(names, "MANY", many)  # 0: by grams, as where names do not fit
+    own = [("qq", "1", "Ann"), ("qq", "1", "ann"), ("wx", "2", "Anna"), ("qq", "3", "nab"), ("qq", "4", "Bob"), ("qq", "5", "BOB"), ("qq", "6", "猫"), ("qq", "7", "\U0001d4d0\U0001d4d1\U0001d4d2d"), ("qq", "8", "hello"), ("qq", "9", "小猫咪")]
+    a = spark.createDataFrame([(*r, T0 + dt.timedelta(i)) for i, r in enumerate(own)], "platform string, user_id string, name string, last_seen timestamp")
+    said = ["", None, "annab bob", "ANNABANNA", "小猫咪 hello", "abcd", "x", "nab" * 5000 + "ann", "ann", "ann"]
+    texts = spark.createDataFrame(list(enumerate(said)), "text_id int, text string")
+    keys = {}
+    for p, u, n in own:
+        if len(k := exprs.normalize_alias(n)) >= 2 and k != "hello":
+            keys.setdefault(k, {})[(p, u)] = n
+    for backed in (None, [("qq", "4")], [("qq", "4"), ("qq", "5")]):
+        window = None if backed is None else spark.createDataFrame(backed, "platform string, user_id string")
+        clear = sorted([(-len(k), k, p, u, n) for k, who in keys.items() for (p, u), n in who.items() if len(who) == 1 or (p, u) in (backed or [])])
+        for cap in (1, 2, 4):
+            want = sorted((i, p, u, n) for i, t in enumerate(said) for _, _, p, u, n in [c for c in clear if c[1] in exprs.normalize_alias(t)][:cap])
+            got = people.matched(texts, a, window, cap, stopwords=("Hello",))
+            assert sorted(map(tuple, got.collect())) == want
+        vague = people.skipped(texts, a, window, stopwords=("hello",))
+        assert sorted(map(tuple, vague.collect())) == ([] if backed else [(2, "BOB")])
+    assert people.matched(texts, a.limit(0)).count() == 0 and people.matched(texts.limit(0), a).count() == 0
+
+
+def test_names_leave_texts_where_they_are(spark):
+    a = spark.createDataFrame([("qq", "1", "Ann")], "platform string, user_id string, name string")
+    texts = spark.range(100).select(F.col("id").alias("text_id"), F.lit("ann and bob").alias("text"))
+    plan = people.matched(texts, a)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("ArrowEvalPython") == 1
+    assert people.matched(texts, a).count() == 100
+
+
+def test_people_of_the_window_come_first(spark):
+    kind = "text_id int, platform string, user_id string, name string"
+    directory = spark.createDataFrame([(1, "qq", "1", "Annabel"), (1, "qq", "2", "Bo"), (1, "qq", "3", "Caroline"), (2, "qq", "1", "Annabel")], kind)
+    window = spark.createDataFrame([(1, "qq", "1", "Ann"), (1, "qq", "4", "Di"), (3, "qq", "5", "Ed"), (3, "qq", "5", "Eddie")], kind)
+    got = lambda cap: sorted((r["text_id"], r["user_id"], r["name"]) for r in people.with_window(directory, window, cap).collect())
+    assert got(4) == [(1, "1", "Ann"), (1, "2", "Bo"), (1, "3", "Caroline"), (1, "4", "Di"), (2, "1", "Annabel"), (3, "5", "Eddie")]
+    assert got(3) == [(1, "1", "Ann"), (1, "3", "Caroline"), (1, "4", "Di"), (2, "1", "Annabel"), (3, "5", "Eddie")]
+
+
 def test_whitelist_denies_by_default(spark):
     e = spark.createDataFrame([("qq", "1", "9", "qq:gm:9")], "platform string, user_id string, raw_session string, session_id string")
     assert admin.allowed(e, [], []).count() == 0
