@@ -238,7 +238,7 @@ def confirmed(clusters: DataFrame, after_id: int = 0, bot: str = "") -> DataFram
 def backfill_pass(clusters: DataFrame, edges: DataFrame, extracted: DataFrame, known: DataFrame, now: Column, after_id: int = 0, revived: DataFrame | None = None, limit: int = 40, cap: int = 500) -> tuple[DataFrame, DataFrame]:
     """(edges, clusters read) after one batch: the next `limit` sources past the watermark and up to `cap` revived ones (cluster_id).
 
-    extracted: relations found in their statements; they count as evidence once for each source.
+    extracted: relations found in their statements; they make edges, and refresh those that exist without counting.
     """
     batch = backfill_sources(clusters, after_id, limit)
     if revived is not None:
@@ -247,7 +247,7 @@ def backfill_pass(clusters: DataFrame, edges: DataFrame, extracted: DataFrame, k
     rows = backfill_rows(extracted, batch, known).select(
         "platform", F.col("subject_user_id").alias("subject_uid"), F.col("object_user_id").alias("object_uid"), F.col("label").alias("relation_label"),
         F.col("subject_display_name").alias("subject_name"), F.col("object_display_name").alias("object_name"), "statement", "confidence", "occurred_at",
-        "evidence_key", F.col("cluster_id").alias("pos"), F.lit(True).alias("count_on_conflict"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"),
+        "evidence_key", F.col("cluster_id").alias("pos"), F.lit(False).alias("count_on_conflict"), F.lit(False).alias("is_bot_edge"), F.lit(1).alias("min_evidence"),
     )
     return upserted(edges, rows, now), batch.select(F.col("id").alias("cluster_id"))
 
