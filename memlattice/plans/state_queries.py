@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import admin, backfill, consolidation, facts, graph, ingest, lifecycle, people, recall, tools
-from ..sources import store
+from ..sources import encoders, store
 from ..sources.scratch import saved
 from ..streaming import retain
 from .queries import BM25, CONFIG, LATE, PH, SCOPE, SESSION, TEXT, Q, now, query, scope, vector
@@ -388,6 +388,22 @@ def store_pending(spark, d):
     return store.pending_facts(frame(spark, d, "v_fact"), 50).select("id")
 
 
+def _lengths():
+    """A client whose vectors are (length, length % 7); of texts whose length 5 divides they are too short."""
+    return lambda texts: [[float(len(t)), float(len(t) % 7)][: 1 if len(t) % 5 == 0 else 2] for t in texts]
+
+
+@query("""WITH x AS (SELECT 'summary' AS name, id, content AS t FROM v_summary UNION ALL SELECT 'fact', id, statement FROM v_fact UNION ALL SELECT 'cluster', id, canonical_statement FROM v_cluster)
+    SELECT name, id, CASE WHEN length(t) % 5 > 0 THEN CAST(length(t) AS DOUBLE) END AS first, CASE WHEN length(t) % 5 > 0 THEN CAST(length(t) % 7 AS DOUBLE) END AS second FROM x WHERE trim(t) <> ''""")
+def store_filled(spark, d):
+    """Vectors of an outer model for all summaries, facts and clusters, none of which has one."""
+    none = F.lit(None).cast("array<float>")
+    tables = {"summary": frame(spark, d, "v_summary").withColumns({"embedding": none, "search_text": F.lit("")}), "fact": frame(spark, d, "v_fact").withColumn("embedding", none), "cluster": frame(spark, d, "v_cluster").withColumn("embedding", none)}
+    after, _ = encoders.filled(tables, _lengths, 2, None)
+    rows = [after[n].select(F.lit(n).alias("name"), "id", F.get("embedding", 0).cast("double").alias("first"), F.get("embedding", 1).cast("double").alias("second")) for n in tables]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("SELECT id FROM v_summary WHERE NOT summarized AND kind <> 'bot_self' ORDER BY id LIMIT 30")
 def store_unsummarized(spark, d):
     return store.unsummarized(frame(spark, d, "v_summary"), 30).select("id")

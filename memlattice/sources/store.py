@@ -114,11 +114,12 @@ def upsert_facts(old: DataFrame, new: DataFrame) -> DataFrame:
 _TEXT = {"summary": "content", "fact": "statement", "cluster": "canonical_statement"}
 
 
-def missing_embeddings(table: str, rows: DataFrame, limit: int) -> DataFrame:
-    """(id, text) of rows without a vector whose text is not blank, in id order."""
+def missing_embeddings(table: str, rows: DataFrame, limit: int | None) -> DataFrame:
+    """(id, text) of rows without a vector whose text is not blank: the first `limit` in id order, or all."""
     if table not in _TEXT:
         raise ValueError(f"no vectors in {table}")
-    return rows.filter(F.col("embedding").isNull() & (F.trim(F.col(_TEXT[table]), F.lit(" \t\r\n")) != "")).orderBy("id").limit(limit).select("id", F.col(_TEXT[table]).alias("text"))
+    lacking = rows.filter(F.col("embedding").isNull() & (F.trim(F.col(_TEXT[table]), F.lit(" \t\r\n")) != "")).select("id", F.col(_TEXT[table]).alias("text"))
+    return lacking if limit is None else lacking.orderBy("id").limit(limit)
 
 
 def with_embeddings(rows: DataFrame, vectors: DataFrame, dims: int | None = None) -> DataFrame:
