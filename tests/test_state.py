@@ -10,7 +10,7 @@ from memlattice.functions import exprs
 from memlattice.functions.numbering import numbered
 from memlattice.operators import admin, consolidation, facts, graph, ingest, lifecycle, names, people, recall, tools
 from memlattice.schemas import ALIAS, CLUSTER, EDGE, FACT, KV, PROFILE, SUMMARY, Config
-from memlattice.sources import importers, store
+from memlattice.sources import importers, postings, store
 from memlattice.streaming import retain
 
 T0 = dt.datetime(2024, 1, 1)
@@ -451,3 +451,13 @@ def test_decay_needs_activity(spark):
     p = facts.profile_of(c, now()).withColumn("id", F.lit(1))
     got = {r["id"]: r for r in facts.decay(c, p, s, now(), Config(), F.lit("2023-12-01").cast("timestamp")).collect()}
     assert got[1]["score"] == pytest.approx(2.7) and got[2]["score"] == 3.0 and got[3]["status"] in ("pending_uncertain", "dead")
+
+
+def test_postings_are_made_without_an_exchange(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Tea tea 茶道茶 x"), (2, ""), (3, None), (4, "x y")], "id long, content string")
+    got = {(r["token"], r["id"]): (r["tf"], r["len"], r["bucket"]) for r in postings.postings(rows).collect()}
+    assert got == {(t, i): (n, size, postings.bucket_of(t)) for t, i, n, size in [("tea", 1, 2, 5), ("茶道", 1, 1, 5), ("道茶", 1, 1, 5), ("x", 1, 1, 5), ("x", 4, 1, 2), ("y", 4, 1, 2)]}
+    assert "Exchange" not in postings.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    postings.write(rows, str(tmp_path))
+    read, stats = postings.read(spark, str(tmp_path))
+    assert read.count() == 6 and stats.first().asDict() == {"n": 4, "avg": 7 / 4}
