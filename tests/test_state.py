@@ -124,6 +124,24 @@ def test_facts_of_a_cycle_act_in_sequence(spark):
     assert [r["id"] for r in out.deferred.collect()] == [11] and {r["id"] for r in out.facts.filter("extracted_flag = 0").collect()} == {11}
 
 
+def test_a_fold_reads_its_facts_one_by_one(spark, monkeypatch):
+    """Facts of persons that share nothing are folded apart, and what a fold gets at once is no whole group."""
+    f = table(spark, FACT, [fact(i, user_id=f"u{i % 3}", category="stable" if i < 9 else "naming", related_user_ids=["u0"] if i == 11 else [], embedding=[1.0, 0.0]) for i in range(1, 15)])
+    pairs = [(j, None, i, "same") for i in range(1, 15) for j in range(i + 1, 15)]
+    given = spark.createDataFrame(pairs, "fact_id long, cluster_id string, made_by long, verdict string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r["fact_id"]: (r["action"], r["made_by"]) for r in consolidation.decided(f, table(spark, CLUSTER, []), given).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    makers = {i: [j for j in range(1, 9) if j % 3 == i % 3][0] for i in range(1, 9)} | {9: 9, 10: 10, 11: 9, 12: 9, 13: 10, 14: 14}
+    assert {i: m for i, (a, m) in got.items() if a == "merge"} == {i: m for i, m in makers.items() if i != m}
+    rows = f.select("id", "platform", "category", consolidation.people_of(f).alias("people"))
+    by = {r["id"]: r["part"] for r in consolidation.parts(rows, given.limit(0)).collect()}
+    assert len({by[i] for i in range(1, 9)}) == 3 and len({by[i] for i in range(9, 15)}) == 1  # of the others, one is about two persons
+
+
 def test_related_users_come_from_the_first_known_source(spark):
     c = table(spark, CLUSTER, [cluster(1, source_fact_ids=[3, 2, 1]), cluster(2, related_user_ids=["z"], source_fact_ids=[2]), cluster(3)])
     f = table(spark, FACT, [fact(1), fact(2, related_user_ids=["b"]), fact(3, related_user_ids=["c"])])
