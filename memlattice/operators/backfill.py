@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import backfill_key, is_placeholder, repaired_json
 from ..functions.numbering import numbered
 from ..sources.scratch import saved
-from .graph import backfill_sources, directory, upserted, valid_relations
+from .graph import UPSERTED, backfill_sources, directory, upserted, valid_relations
 from .names import found
 
 #: What an answer's relation holds, besides the cluster it was read from.
@@ -27,14 +27,27 @@ def known_names(aliases: DataFrame, bot: str = "", nickname: str = "") -> DataFr
     return known.filter(F.col("key") != nickname.strip()).unionByName(own)
 
 
-def batches(clusters: DataFrame, known: DataFrame, after_id: int = 0, revived: DataFrame | None = None, size: int = 40, count: int = 256, cap: int = 500, bot: str = "") -> DataFrame:
+def ordered(clusters: DataFrame, after_id: int = 0) -> DataFrame:
+    """The sources past the watermark with their place n from 1, stored: passes of a run read their own part of it."""
+    return saved(numbered(backfill_sources(clusters, after_id, None), F.col("id"), [], "n", 0), "sources")
+
+
+def batches(
+    clusters: DataFrame, known: DataFrame, after_id: int = 0, revived: DataFrame | None = None, size: int = 40, count: int = 256, cap: int = 500, bot: str = "",
+    sources: DataFrame | None = None, done: int = 0,
+) -> DataFrame:
     """(batch, last_id, items, names): up to `cap` revived clusters (cluster_id) in batches before 0, then the next `count` batches past the watermark.
 
     items: up to `size` (id, platform, user_id, statement, occurred_at) in the order of ids; the bot's own clusters belong to a
     window, but are not asked about. names: (name, platform, user_id) that stand in one of its statements, by name. Where
-    there are none, nothing need be asked. Runs jobs; the result is a stored table.
+    there are none, nothing need be asked. sources: what `ordered` gave, of which the first `done` are behind the watermark; without
+    it the next ones are looked up. Runs jobs; the result is a stored table.
     """
-    rows = numbered(backfill_sources(clusters, after_id, size * count), F.col("id"), [], "n", 0).withColumn("batch", F.floor((F.col("n") - 1) / size))
+    if sources is None:
+        rows = numbered(backfill_sources(clusters, after_id, size * count), F.col("id"), [], "n", 0)
+    else:
+        rows = sources.filter((F.col("n") > done) & (F.col("n") <= done + size * count)).withColumn("n", F.col("n") - done)
+    rows = rows.withColumn("batch", F.floor((F.col("n") - 1) / size))
     rows = rows.withColumn("asked", F.col("user_id") != bot)
     if revived is not None:
         ids = revived.select(F.col("cluster_id").alias("id")).distinct().orderBy("id").limit(cap)
@@ -106,16 +119,18 @@ class Pass:
 def backfill_wave(
     clusters: DataFrame, edges: DataFrame, aliases: DataFrame, ask: Callable[[DataFrame], DataFrame], now: Column, after_id: int = 0, revived: DataFrame | None = None,
     size: int = 40, count: int = 256, cap: int = 500, bots: tuple[str, ...] = (), nickname: str = "", stopwords: list[str] | None = None, min_evidence: int = 2,
+    known: DataFrame | None = None, sources: DataFrame | None = None, done: int = 0,
 ) -> Pass:
     """One pass over the next `count` batches. ask: (batch, items, names) with names -> (batch, answer), once for all of them.
 
     Batches count in their order, revived ones first, up to the first that failed: that one and all behind it change nothing, the
     watermark stays before them, and revived clusters among them are to be taken again. The batches of a pass are asked
-    together, so what a failure wastes is at most one pass. The first of bots is the bot's own number. Runs jobs.
+    together, so what a failure wastes is at most one pass. The first of bots is the bot's own number. known, sources and done: what a
+    run has made once for all its passes, as for `batches`. A pass without relations leaves the edges as they are. Runs jobs.
     """
     bot = bots[0] if bots else ""
-    known = saved(known_names(aliases, bot, nickname), "known")
-    made = batches(clusters, known, after_id, revived, size, count, cap, bot)
+    known = saved(known_names(aliases, bot, nickname), "known") if known is None else known
+    made = batches(clusters, known, after_id, revived, size, count, cap, bot, sources, done)
     told = saved(read(made, ask(made.filter(F.size("names") > 0).select("batch", "items", "names"))), "told")
     stop = told.filter("NOT ok").agg(F.min("batch")).first()[0]
     good = told if stop is None else told.filter(F.col("batch") < stop)
@@ -128,24 +143,30 @@ def backfill_wave(
     again = lost.select(F.explode("items.id").alias("cluster_id"))
     written = rows.count()
     return Pass(
-        upserted(edges, rows.drop("batch"), now, stopwords), after_id if seen["to"] is None else seen["to"], again, total["c"], total["b"],
+        upserted(edges, rows.drop("batch"), now, stopwords) if written else edges.select(*UPSERTED), after_id if seen["to"] is None else seen["to"], again, total["c"], total["b"],
         0 if stop is None else 1, written, seen["told"] - written, stop is None and total["new"] == count,
     )
 
 
 def backfill_run(
     clusters: DataFrame, edges: DataFrame, aliases: DataFrame, ask: Callable[[DataFrame], DataFrame], now: Column, commit: Callable[[Pass], DataFrame],
-    after_id: int = 0, revived: DataFrame | None = None, **sizes: object,
+    after_id: int = 0, revived: DataFrame | None = None, size: int = 40, count: int = 256, bots: tuple[str, ...] = (), nickname: str = "", **rules: object,
 ) -> list[Pass]:
     """Passes until the sources end or a batch fails; full from after_id 0.
 
     commit stores a pass (edges, watermark, clusters to take again) and returns the stored edges: a run that is killed goes on
-    from the last one stored, and a pass that is done twice changes nothing, as its evidence keys are known.
+    from the last one stored, and a pass that is done twice changes nothing, as its evidence keys are known. Sources are put
+    in order, and names looked up, once for the run. Every second pass doubles the batches of a pass: a run over many
+    sources takes few passes, and one that fails has not asked more than all before it together, or `count`.
     """
+    known = saved(known_names(aliases, bots[0] if bots else "", nickname), "known")
+    sources, taken = ordered(clusters, after_id), 0
     done: list[Pass] = []
     while True:
-        one = backfill_wave(clusters, edges, aliases, ask, now, after_id, revived, **sizes)
+        own = count << len(done) // 2
+        one = backfill_wave(clusters, edges, aliases, ask, now, after_id, revived, size, own, bots=bots, nickname=nickname, known=known, sources=sources, done=taken, **rules)
         edges, after_id, revived = commit(one), one.watermark, None
+        taken += size * own
         done.append(one)
         if not one.more:
             return done

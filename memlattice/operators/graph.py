@@ -10,6 +10,8 @@ from ..functions.numbering import hash_order, numbered
 from ..sources.scratch import saved
 
 KEY = ["platform", "subject_uid", "object_uid", "relation_label"]
+#: The columns of edges after a merge.
+UPSERTED = ["id", *KEY, "subject_name", "object_name", "statement", "status", "confidence", "evidence_count", "evidence_keys", "first_seen", "last_seen", "occurred_at", "updated_at"]
 
 
 def valid_relations(items: DataFrame, max_chars: int = 200) -> DataFrame:

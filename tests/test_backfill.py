@@ -131,3 +131,14 @@ def test_a_run_goes_on_where_it_stopped(spark, aliases):
     again = backfill.backfill_run(c, kept["edges"], aliases, teller(spark, answers), now(), commit, 0, **args)
     assert len(again) == 3 and {r["evidence_count"] for r in kept["edges"].collect()} == {1}
     assert graph.confirmed(c, kept["mark"]).first()["n"] == 0
+
+
+def test_a_long_run_takes_few_passes(spark, aliases, monkeypatch):
+    """Passes grow, sources are put in order once, and passes without relations leave the edges alone."""
+    c = table(spark, CLUSTER, [cluster(i, canonical_statement="alone") for i in range(1, 13)])
+    numbered, calls = backfill.numbered, []
+    monkeypatch.setattr(backfill, "numbered", lambda *a: calls.append(1) or numbered(*a))
+    monkeypatch.setattr(backfill, "upserted", None)
+    e = table(spark, EDGE, [])
+    done = backfill.backfill_run(c, e, aliases, teller(spark, {}), now(), lambda one: one.edges, size=1, count=1)
+    assert [p.watermark for p in done] == [1, 2, 4, 6, 10, 12] and len(calls) == 1 and done[-1].edges.columns == graph.UPSERTED
