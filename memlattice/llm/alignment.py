@@ -37,7 +37,7 @@ from .common import fresh, ragged, saved, slices
 #: Groups in the broadcast table (32 bytes each).
 HOT = 50_000
 #: Units that a worker remembers before it forgets the rarer half, the longest of them, and groups before it starts anew.
-UNITS, KEEP, GROUPS = 300_000, 64, 300_000
+UNITS, KEEP, GROUPS = 150_000, 64, 150_000
 #: Units that are encoded together.
 BATCH = 8000
 #: A place between units: behind a printable ASCII character, letter or digit, before a space or a line end.
