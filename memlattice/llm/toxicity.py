@@ -17,6 +17,7 @@ empty result; other columns pass through ``clean`` unchanged, whatever their nam
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 from typing import NamedTuple
@@ -36,6 +37,8 @@ EPOCHS, RATE = 140, 0.5
 #: Words a worker remembers.
 CACHE = 300_000
 FOLDS = 5
+#: Running words that are fitted on at once, and different words whose n-grams are made at once.
+PASS, RUN = 1 << 17, 1 << 13
 
 
 class Model(NamedTuple):
@@ -109,55 +112,101 @@ def _fresh(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+class Part(NamedTuple):
+    """Some texts with words, as numbers."""
+
+    token: np.ndarray  # the words' numbers, one text behind the other
+    fresh: np.ndarray  # whether a word counts
+    starts: np.ndarray  # of the windows, among the words
+    sizes: np.ndarray  # words of each window
+    docs: np.ndarray  # the texts
+    first: np.ndarray  # of each text, its first window
+    windows: np.ndarray  # of each text, how many
+
+
+def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, the number of every word of the texts in order, how many each text has); one text is split at a time."""
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    found = []
+    for t in texts:
+        w = t.lower().split() if t else []
+        found.append(np.fromiter(map(known.__getitem__, w), dtype=np.int32, count=len(w)))
+    return list(known), np.concatenate(found), np.array([len(x) for x in found])
+
+
+def _parts(token: np.ndarray, counts: np.ndarray) -> Iterator[Part]:
+    """Runs of whole texts of about PASS words each (a longer text comes alone or last)."""
+    docs = np.flatnonzero(counts)
+    ends = np.cumsum(counts[docs])
+    for own in np.split(np.arange(len(docs)), np.flatnonzero(np.diff((ends - 1) // PASS)) + 1):
+        if len(own):
+            n = counts[docs[own]]
+            mine = token[ends[own[0]] - n[0] : ends[own[-1]]]
+            starts, doc = _windows(n)
+            windows = np.bincount(doc, minlength=len(n))
+            yield Part(mine, _fresh(mine, n) > 0, starts, np.diff(starts, append=len(mine)), docs[own], np.cumsum(windows) - windows, windows)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Full-batch momentum on the pooled windows; the loss weighs both classes alike.
 
-    One scale for each parameter array, so that rare n-grams do not move as far as frequent ones.
+    One scale for each parameter array, so that rare n-grams do not move as far as frequent ones. Beside the texts it holds 5 bytes
+    for each of their words and 8 for each frequent n-gram of a different word; all else is made for a run of texts or words at a time.
     """
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), -30.0 if not len(y) or y.max() == 0 else 30.0)
-    words, counts = _split(texts)
-    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    token = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-    del words
-    ids, at = bags(list(known))
-    size = np.bincount(at, minlength=len(known)).astype(np.float64)
-    starts, doc = _windows(counts)
-    window_of = np.zeros(len(token), dtype=np.int64)
-    window_of[starts[1:]] = 1
-    window_of = np.cumsum(window_of)
-    fresh = _fresh(token, counts) / WINDOW
-    rng = np.random.default_rng(5)
+    words, token, counts = _numbered(texts)
+    runs = [(a, words[a : a + RUN]) for a in range(0, len(words), RUN)]
     # buckets of fewer than 4 running words say little and are left at zero
-    common = np.bincount(ids, weights=np.bincount(token, minlength=len(known))[at], minlength=BUCKETS)[ids] >= 4
-    ids, at = ids[common], at[common]
-    used = np.unique(ids)
-    slot = np.searchsorted(used, ids)
+    times, size, running = np.bincount(token, minlength=len(words)).astype(np.float64), np.zeros(len(words)), np.zeros(BUCKETS)
+    for a, run in runs:
+        ids, at = bags(run)
+        size[a : a + len(run)] = np.bincount(at, minlength=len(run))
+        running += np.bincount(ids, weights=times[a + at], minlength=BUCKETS)
+    used, slots, mark = np.zeros(BUCKETS, dtype=bool), [], running >= 4
+    for a, run in runs:
+        ids, at = bags(run)
+        keep = mark[ids]
+        used[ids[keep]] = True
+        slots.append((a, len(run), ids[keep].astype(np.int32), at[keep].astype(np.int32)))
+    used, place = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
+    slots = [(a, n, place[ids], at) for a, n, ids, at in slots]
+    del words, runs, times
+    parts = list(_parts(token, counts))
+    rng = np.random.default_rng(5)
     emb, lin, bias = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     params = [emb, lin, bias]
     first, second = [np.zeros_like(p) for p in params], [0.0, 0.0, 0.0]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    seen = np.bincount(doc, minlength=len(y)) > 0
     for step in range(1, EPOCHS + 1):
         side = lin[:, 1] - lin[:, 0]
-        per_word = np.bincount(at, weights=(emb @ side)[slot], minlength=len(known)) / size
-        margin = np.bincount(window_of, weights=per_word[token] * fresh, minlength=len(starts))
-        top = np.full(len(y), -np.inf)
-        np.maximum.at(top, doc, margin)
-        soft = np.exp(np.minimum(0, (margin - top[doc]) * (0.5 + 2.0 * step / EPOCHS)))
-        soft /= np.bincount(doc, weights=soft, minlength=len(y))[doc]
-        pooled = np.bincount(doc, weights=soft * margin, minlength=len(y)) + bias[1] - bias[0]
-        prob = 1 / (1 + np.exp(-np.clip(pooled, -40, 40)))
-        err = (prob - y) * weight * seen
-        g_word = np.bincount(token, weights=(err[doc] * soft)[window_of] * fresh, minlength=len(known)) / size
-        g_bucket = np.bincount(slot, weights=g_word[at], minlength=len(used))
+        per_slot, per_word = emb @ side, np.zeros(len(size))
+        for a, n, slot, at in slots:
+            per_word[a : a + n] = np.bincount(at, weights=per_slot[slot], minlength=n)
+        per_word /= size
+        g_word, g_bucket, g_bias = np.zeros(len(size)), np.zeros(len(used)), 0.0
+        for p in parts:
+            margin = np.add.reduceat(per_word[p.token] * p.fresh, p.starts) / WINDOW
+            soft = np.exp(np.minimum(0, (margin - np.repeat(np.maximum.reduceat(margin, p.first), p.windows)) * (0.5 + 2.0 * step / EPOCHS)))
+            soft /= np.repeat(np.add.reduceat(soft, p.first), p.windows)
+            pooled = np.add.reduceat(soft * margin, p.first) + bias[1] - bias[0]
+            err = (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - y[p.docs]) * weight[p.docs]
+            g_bias += err.sum()
+            np.add.at(g_word, p.token.astype(np.intp), np.repeat(np.repeat(err, p.windows) * soft / WINDOW, p.sizes) * p.fresh)
+        g_word /= size
+        for a, n, slot, at in slots:
+            np.add.at(g_bucket, slot.astype(np.intp), g_word[a : a + n][at])
         g_lin = emb.T @ g_bucket
-        grads = [np.outer(g_bucket, side) + 1e-7 * emb, np.stack([-g_lin, g_lin], axis=1), np.array([-err.sum(), err.sum()])]
-        for i, (p, g, m) in enumerate(zip(params, grads, first)):
-            m += 0.1 * (g - m)
-            second[i] = max(second[i] * 0.95, float(np.abs(g).max()))
-            p -= RATE * (0.3 + 0.7 * (1 - step / EPOCHS)) * m / (second[i] + 1e-12)
+        of_emb = np.outer(g_bucket, side)
+        of_emb += 1e-7 * emb
+        for i, (p, g, m) in enumerate(zip(params, [of_emb, np.stack([-g_lin, g_lin], axis=1), np.array([-g_bias, g_bias])], first)):
+            second[i] = max(second[i] * 0.95, float(g.max(initial=0)), -float(g.min(initial=0)))
+            g -= m
+            g *= 0.1
+            m += g
+            p -= np.multiply(m, RATE * (0.3 + 0.7 * (1 - step / EPOCHS)) / (second[i] + 1e-12), out=g)
     value = np.zeros(BUCKETS, dtype=np.float32)
     value[used] = emb @ (lin[:, 1] - lin[:, 0])
     return Model(value, float(bias[1] - bias[0]))
@@ -203,9 +252,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if chosen is None:
         return [], []
     # at most 2 * MAX_DOCS ids, so that no text is shuffled to find them; one text for each
-    got = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
-    got = sorted(got, key=lambda r: (r["y"], r["k"]))
-    return [r["t"] for r in got], [r["y"] for r in got]
+    got = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    return got.column("t").to_pylist(), got.column("y").to_pylist()
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

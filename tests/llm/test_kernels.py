@@ -229,3 +229,31 @@ def test_neighbours_change_no_score(name):
     for which in ([0, 1, 2, 3, 4], [4, 1, 1, 0, 2], [2] * 70 + [3], [1, 0] * 9):
         for i, got in zip(which, of(which)):
             assert np.array_equal(alone[i], got)
+
+
+def test_toxicity_fits_in_bounded_memory(monkeypatch):
+    """Beside the texts, the fit holds little for each running word, and no words without their n-grams twice."""
+    import tracemalloc
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts, y = [" ".join(r.choice(vocabulary) for _ in range(4000)) for _ in range(400)], [0, 1] * 200
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    tracemalloc.start()
+    toxicity.fit(texts, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 400 * 4000
+
+
+def test_toxicity_parts_change_no_weight(monkeypatch):
+    """However many texts and words are taken at once, null, empty and long ones included."""
+    r = random.Random(5)
+    texts = [None, "", " ", *[" ".join(r.choice(["bad", "good", "so", "mild", "odd"]) for _ in range(r.randint(1, 200))) for _ in range(60)], "last " * 900]
+    y = [0, 1, 0, *[int("bad bad" in t) for t in texts[3:]]]
+    whole = toxicity.fit(texts, y)
+    monkeypatch.setattr(toxicity, "PASS", 50)
+    monkeypatch.setattr(toxicity, "RUN", 2)
+    parts = toxicity.fit(texts, y)
+    assert np.allclose(whole.value, parts.value, rtol=1e-5, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
+    assert np.isfinite(toxicity.fit(["", " "], [0, 1]).value).all()
