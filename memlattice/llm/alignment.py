@@ -23,8 +23,10 @@ error instead of mixing their links. An empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .common import fresh, ragged, saved, slices
 HOT = 50_000
 #: Units that a worker remembers before it forgets the rarer half, the longest of them, and groups before it starts anew.
 UNITS, KEEP, GROUPS = 150_000, 64, 150_000
-#: Units that are encoded together.
-BATCH = 8000
+#: Units whose groups are found together, and that are encoded as one run.
+BATCH, RUN = 8000, 64
 #: A place between units: behind a printable ASCII character, letter or digit, before a space or a line end.
 CUT = re.compile(r"(?<=[!-~\w])(?=[ \n])")
 SAFE_END = re.compile(r"[!-~\w]\Z")
@@ -110,6 +112,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads have caches and memory of their own
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -128,9 +131,43 @@ class Pair:
         self.front = self.b.encode("\n")  # the mark put before each text, and a line end
 
     def encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of the first, how many for each unit, ids of the second, how many, whether the unit lost its bytes and so its ids)."""
+        """(ids of the first, how many for each unit, ids of the second, how many, whether the unit lost its bytes and so its ids).
+
+        Units are encoded as runs, one behind the other as in a text; those of a run that loses bytes or has a token across
+        units are encoded apart. Only a run's last unit may end otherwise than units within a text do.
+        """
+        size = np.array([len(u.encode()) for u in units])
+        last = np.array([SAFE_END.search(u) is None for u in units])
+        last[RUN - 1 :: RUN] = last[-1] = True
+        to = np.flatnonzero(last) + 1
+        n = np.diff(to, prepend=0)
+        x, n_x, y, n_y, lost = self.apart(["".join(units[b - k : b]) for b, k in zip(to.tolist(), n.tolist())])
+        run = np.repeat(np.arange(len(to)), n)
+        ends, across = np.cumsum(size[~lost[run]]), np.zeros(len(to), dtype=bool)
+        for ids, table in ((x, self.bytes_a), (y, self.bytes_b)):
+            across[run[~lost[run]][~np.isin(ends, np.cumsum(table.size[ids]))]] = True
+        odd = (lost | across)[run]
+        if across.any():
+            x, y = x[~np.repeat(across, n_x)], y[~np.repeat(across, n_y)]
+        ends, alone, out = np.cumsum(size[~odd]), self.apart([units[i] for i in np.flatnonzero(odd).tolist()]) if odd.any() else None, []
+        for k, (ids, table) in enumerate(((x, self.bytes_a), (y, self.bytes_b))):
+            count = np.zeros(len(units), dtype=np.int64)
+            count[~odd] = np.diff(np.searchsorted(np.cumsum(table.size[ids]), ends, side="right"), prepend=0)
+            if alone is not None:
+                count[odd] = alone[2 * k + 1]
+                of, both = np.repeat(odd, count), np.empty(count.sum(), dtype=np.int64)
+                both[of], both[~of] = alone[2 * k], ids
+                ids = both
+            out += [ids, count]
+        bad = np.zeros(len(units), dtype=bool)
+        if alone is not None:
+            bad[odd] = alone[4]
+        return out[0], out[1], out[2], out[3], bad
+
+    def apart(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, each of units by itself."""
         k = len(self.front)
-        first = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        first = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         second = self.b.encode(["\n" + u for u in units], num_threads=1)
         raw = [u.encode() for u in units]
         size = np.array([len(r) for r in raw])
@@ -153,7 +190,7 @@ class Pair:
 
 def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(x) for x in lists], dtype=np.int64)
-    return np.fromiter((i for x in lists for i in x), dtype=np.int64, count=n.sum()), n
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=n.sum()), n
 
 
 class Groups:
@@ -290,7 +327,7 @@ class Task:
         numbers = [list(map(t.units.__getitem__, x)) for x in found]
         del found
         n = np.array([len(x) for x in numbers])
-        u = np.fromiter((k for x in numbers for k in x), dtype=np.int64, count=n.sum())
+        u = np.fromiter(chain.from_iterable(numbers), dtype=np.int64, count=n.sum())
         doc = np.repeat(np.arange(len(texts)), n)
         bad = np.zeros(len(texts), dtype=bool)
         bad[doc[t.sizes[3].view[u] > 0]] = True

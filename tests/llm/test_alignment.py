@@ -86,3 +86,16 @@ def test_worker_forgets(spark, rows, monkeypatch):
 def test_no_rows(spark):
     out = alignment.op11_alignment(spark.createDataFrame([], "doc_id long, text string"), A, B)
     assert out.count() == 0 and out.columns == ["doc_id", *NAMES]
+
+
+def test_units_are_encoded_as_runs():
+    """A run of units is one call's text and gives what its units give apart, odd ones included."""
+    pair = alignment.Pair(A, B)
+    found = list(dict.fromkeys(u for t in [*ODD, " ".join(f"word{i} a{i}b" for i in range(900))] if t for u in alignment.units(t)))
+    units = [u if u[0] in " \n" else " " + u for u in found]
+    apart, asked = pair.apart(units), []
+    one = pair.apart
+    pair.apart = lambda texts: (asked.append(len(texts)), one(texts))[1]
+    for got, want in zip(pair.encoded(units), apart):
+        assert alignment.np.array_equal(got, want)
+    assert apart[4].any() and sum(asked) < len(units) / 4
