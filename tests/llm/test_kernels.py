@@ -257,3 +257,24 @@ def test_toxicity_parts_change_no_weight(monkeypatch):
     parts = toxicity.fit(texts, y)
     assert np.allclose(whole.value, parts.value, rtol=1e-5, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-6
     assert np.isfinite(toxicity.fit(["", " "], [0, 1]).value).all()
+
+
+def test_search_shards_hold_documents_alike_together(monkeypatch):
+    """Two vocabularies in turn: few posting blocks mix them, fewer are opened, and no result differs."""
+    r = random.Random(6)
+    words = [[f"{kind}{i}" for i in range(400)] for kind in "ab"]
+    texts = ["", None, *[" ".join(min(r.choices(words[i % 2], k=3), key=len) for _ in range(r.randint(1, 80))) for i in range(1500)]]
+    ids = list(range(len(texts)))
+    q = search.Block([(i, texts[i]) for i in range(100, 130)])
+    q.idf = np.ones(len(q.terms))
+
+    def found() -> tuple[dict, list]:
+        s = search.pack(pa.array(ids, pa.int64()), pa.array(texts))
+        return s, [(i, a.tolist(), b.tolist()) for i, a, b in search.search_shard(s, q, 40.0, np.full((30, 10), -np.inf), 10)]
+
+    s, got = found()
+    assert sorted(s["doc_ids"].tolist()) == ids
+    assert all(len((texts[i] or "").split()) == n for i, n in zip(s["doc_ids"].tolist(), s["lengths"].tolist()))
+    mixed = [len({i % 2 for i in s["doc_ids"][a : a + search.DOC_BLOCK].tolist()}) > 1 for a in range(0, len(ids), search.DOC_BLOCK)]
+    monkeypatch.setattr(search, "arranged", lambda words, lengths: np.arange(len(lengths)), raising=False)
+    assert got == found()[1] and sum(mixed) < len(mixed) / 2
