@@ -278,3 +278,34 @@ def test_search_shards_hold_documents_alike_together(monkeypatch):
     mixed = [len({i % 2 for i in s["doc_ids"][a : a + search.DOC_BLOCK].tolist()}) > 1 for a in range(0, len(ids), search.DOC_BLOCK)]
     monkeypatch.setattr(search, "arranged", lambda words, lengths: np.arange(len(lengths)), raising=False)
     assert got == found()[1] and sum(mixed) < len(mixed) / 2
+
+
+def test_language_model_computes_equal_windows_once(monkeypatch):
+    """Windows that occur often are computed once, with the scores that each has alone."""
+    rng = np.random.default_rng(5)
+    r = lm.Ready(lm.start(257 + lm.PIECES))
+    text, other = (np.concatenate([[0], rng.integers(1, 257, 70), [0]]).astype(np.int32) for _ in range(2))
+    alone = [lm.score_streams(x, np.array([len(x)]), r) for x in (text, other, text[:3])]
+    computed, plain = [], lm.log_probs
+    monkeypatch.setattr(lm, "log_probs", lambda ids, *rest: computed.append(len(ids)) or plain(ids, *rest))
+    many = [text, other, text[:3]] * 30
+    got = np.split(lm.score_streams(np.concatenate(many), np.array([len(x) for x in many]), r), np.cumsum([len(x) - 1 for x in many])[:-1])
+    assert sum(computed) <= sum(len(lm.windows(np.array([len(x) - 1]))[0]) for x in many[:3])
+    assert all(np.array_equal(x, alone[i % 3]) for i, x in enumerate(got))
+    monkeypatch.setattr(lm, "_ODD", np.zeros_like(lm._ODD))  # every window has one hash
+    assert np.array_equal(lm.score_streams(np.concatenate(many), np.array([len(x) for x in many]), r), np.concatenate(got))
+
+
+def test_language_model_encodes_a_word_once_for_a_worker(monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids, plain = lm.ids_for(path, [300, 301, 302]), lm.Ids(path, [300, 301, 302])
+    asked, pieces = [], ids.pieces
+    monkeypatch.setattr(ids, "pieces", lambda words: asked.extend(words) or pieces(words))
+    for words in (["the", "garden", "of", "the"], ["garden", "of", "windows", ""], [], ["windows", "the"]):
+        one, two = (x.streams(pa.array(words, pa.string()), np.array([len(words), 0])) for x in (lm.ids_for(path, [300, 301, 302]), plain))
+        plain.met, plain.met_pieces, plain.met_n = plain.met[:0], plain.met_pieces[:0], plain.met_n[:0]
+        assert all(np.array_equal(a, b) for a, b in zip(one[:4], two[:4]))
+    assert sorted(asked) == ["", "garden", "of", "the", "windows"]
+    monkeypatch.setattr(lm, "TABLE", len(ids.met) + 1)  # a bounded number is kept
+    ids.coded(pa.array(["new", "newer", "newest"]))
+    assert len(ids.met) == lm.TABLE and lm.ids_for(path, [300]) is not ids
